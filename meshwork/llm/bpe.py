@@ -149,7 +149,7 @@ class ByteBpe:
                 else:  # no common place: match on from the last true boundary
                     out += self.encode_pieces(held)
                     last = int(true_ends[-1])
-                    joined = tail[last - tail_at : offset - tail_at] + text
+                    joined = tail[last - tail_at : max(last, offset) - tail_at] + text[max(0, last - offset) :]
                     pieces, ends = self.pieces_from(joined)
                     ends, offset, text = ends + last, last, joined
             if k + 1 < len(chunks):

@@ -5,8 +5,8 @@ have on average; the whole part is given to all, the fraction becomes an inclusi
 probability.  The cube method then moves the probabilities of a few documents at a
 time along the null space of the balancing constraints (token total and document
 total of the source), until each is 0 or 1; a source's totals stay what they were
-while it flies, and only the two documents or so that are left at the end are
-landed by rounding.
+while it flies, and only the dozen documents that are left at the end are landed
+by the rounding that keeps the totals nearest.
 
 Flight is dealt out: documents of a source fall into blocks by a hash of their id,
 each block flies alone and hands on two documents at most, which fly together on
@@ -36,8 +36,8 @@ from .common import checkpointed
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, MOST_COPIES = 1.5, 2
-#: Units that fly together, and how many of the last ones are landed together.
-BLOCK = 2048
+#: Units that fly together, and how many of a source's last ones are landed together.
+BLOCK, LANDED = 2048, 12
 NEAR_0 = 1e-9
 #: Tables of more sources than this are joined by a shuffle instead of a broadcast.
 BROADCAST_SOURCES = 100_000
@@ -83,22 +83,20 @@ def source_targets(
     return found.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 
-def fly(sizes: np.ndarray, probabilities: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Flight phase over one block: all but two entries at most become 0 or 1.
+def fly(sizes: np.ndarray, probabilities: np.ndarray, draws: np.ndarray, leave: int = 2) -> np.ndarray:
+    """Flight phase over one block: all but ``leave`` entries (two at least) become 0 or 1.
 
     Three undecided entries at a time move along the direction that keeps the sum of
     probabilities and of ``size * probability``; ``draws`` in [0, 1) choose the way.
     """
     p = probabilities.astype(float).copy()
-    ids: list[int] = []
-    n, following, at = len(p), 0, 0
-    while True:
-        while len(ids) < 3 and following < n:
-            if NEAR_0 < p[following] < 1 - NEAR_0:
-                ids.append(following)
+    undecided = np.flatnonzero((p > NEAR_0) & (p < 1 - NEAR_0)).tolist()
+    p = np.where(p <= NEAR_0, 0.0, np.where(p >= 1 - NEAR_0, 1.0, p))
+    left, ids, following, at = len(undecided), [], 0, 0
+    while left > max(2, leave):
+        while len(ids) < 3:
+            ids.append(undecided[following])
             following += 1
-        if len(ids) < 3:
-            break
         x, y, z = (float(sizes[i]) for i in ids)
         way = (y - z, z - x, x - y)
         largest = max(map(abs, way))
@@ -107,31 +105,26 @@ def fly(sizes: np.ndarray, probabilities: np.ndarray, draws: np.ndarray) -> np.n
         back = min(p[i] / w if w > 0 else (1 - p[i]) / -w for i, w in zip(ids, way) if w)
         step = ahead if draws[at] * (ahead + back) < back else -back
         at += 1
-        left = []
-        for i, w in zip(ids, way):
-            p[i] = min(1.0, max(0.0, p[i] + step * w))
-            if p[i] <= NEAR_0:
-                p[i] = 0.0
-            elif p[i] >= 1 - NEAR_0:
-                p[i] = 1.0
-            else:
-                left.append(i)
-        if len(left) == len(ids):  # rounding kept all inside: settle the nearest
-            i = min(ids, key=lambda i: min(p[i], 1 - p[i]))
-            p[i] = round(p[i])
-            left = [j for j in ids if j != i]
-        ids = left
+        moved = [min(1.0, max(0.0, p[i] + step * w)) for i, w in zip(ids, way)]
+        if all(NEAR_0 < m < 1 - NEAR_0 for m in moved):  # rounding kept all inside: settle the nearest
+            k = min(range(3), key=lambda k: min(moved[k], 1 - moved[k]))
+            moved[k] = float(round(moved[k]))
+        for i, m in zip(ids, moved):
+            p[i] = 0.0 if m <= NEAR_0 else 1.0 if m >= 1 - NEAR_0 else m
+        ids = [i for i in ids if 0 < p[i] < 1]
+        left -= 3 - len(ids)
     return p
 
 
 def land(sizes: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
-    """Round the few that are left so that the word total stays nearest; ties: fewer documents."""
+    """Round the last ``LANDED`` so that the word total, then the document total, stays nearest."""
     p = probabilities.copy()
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    wanted = float((sizes[open_] * p[open_]).sum())
-    choices = [[(c >> k) & 1 for k in range(len(open_))] for c in range(1 << len(open_))]
-    best = min(choices, key=lambda c: (abs(float(np.dot(sizes[open_], c)) - wanted), sum(c), c))
-    p[open_] = best
+    if len(open_):
+        choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+        words = np.abs(choices @ sizes[open_] - (sizes[open_] * p[open_]).sum())
+        count = np.abs(choices.sum(axis=1) - p[open_].sum())
+        p[open_] = choices[np.lexsort((count, np.round(words, 6)))[0]]
     return p
 
 
@@ -140,7 +133,7 @@ def _fly_block(last: bool):
         block = block.sort_values(["h", "doc_key", "size"], kind="stable").reset_index(drop=True)
         draws = ((block["h"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) / float(1 << 53)
         sizes = (block["size"] * block["n_rows"]).to_numpy(float)
-        p = fly(sizes, block["p"].to_numpy(float), draws)
+        p = fly(sizes, block["p"].to_numpy(float), draws, LANDED if last else 2)
         block["p"] = land(sizes, p) if last else p
         return block
 

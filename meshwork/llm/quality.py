@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Terms are pairs of neighbouring bytes of the whole text (letters folded to their
-kind of case, 64 classes a byte).  Document frequencies are counted over all
+Terms are pairs of neighbouring bytes of the whole text (64 classes a byte) and the
+event that a word repeats the word before it.  Document frequencies are counted over all
 documents; a truncated singular value decomposition of the labelled rows' TF-IDF
 vectors gives the latent space.  The labelled vectors are broadcast (``SAMPLE``
 rows of ``RANK`` numbers at most), every document's cosine with all of them is an
@@ -20,6 +20,7 @@ input column named like an output is replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -33,11 +34,13 @@ SAMPLE, RANK, NEIGHBOURS = 4096, 48, 15
 SHARPNESS = 8.0
 KINDS = 64
 TERMS = KINDS * KINDS
+#: The term of a repeated word takes the place of a pair that no text has.
+REPEATED = 0
 
 
 def _kinds() -> np.ndarray:
     """Class of each byte: letters keep apart by case, other bytes by what they are."""
-    kind = np.zeros(256, np.uint16)
+    kind = np.full(256, 21, np.uint16)  # control bytes count as blanks; no byte has kind 0
     for b in range(256):
         c = chr(b)
         if "a" <= c <= "z":
@@ -65,9 +68,12 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
     out = np.zeros((len(texts), TERMS), np.float32)
     for i, text in enumerate(texts):
         if text:
-            k = _KIND[np.frombuffer(text.encode(), np.uint8)]
+            raw = text.encode()
+            k = _KIND[np.frombuffer(raw, np.uint8)]
             if len(k) > 1:
                 out[i] = np.bincount(k[:-1] * np.uint16(KINDS) + k[1:], minlength=TERMS)
+            words = raw.split()
+            out[i, REPEATED] = sum(map(eq, words, words[1:]))
     return out
 
 

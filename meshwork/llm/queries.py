@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, quality, urls
+from . import bpe, chat, fingerprints, licenses, lines, mixing, quality, urls
 from .common import table
 
 #: Rows whose crc32 of the id, as text, leaves 0 when divided by this are held out.
@@ -36,6 +36,82 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def licence_paths(docs: DataFrame) -> DataFrame:
+    """Documents as files of a tree: every eighth is a licence file, of an upper or a lower directory."""
+    part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    upper = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), part(1024), F.lit("/"))
+    lower = F.concat(upper, part(128), F.lit("/"))
+    name = F.col("doc_id").cast("string")
+    path = (
+        F.when(F.col("doc_id") % 16 == 0, F.concat(upper, F.lit("LICENSE."), name))
+        .when(F.col("doc_id") % 16 == 8, F.concat(lower, F.lit("LICENSE."), name))
+        .otherwise(F.concat(lower, F.lit("doc"), name, F.lit(".txt")))
+    )
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(licence_paths(table(spark, sf_dir, "documents")))
+
+
+SQL_OP4 = r"""
+WITH files AS (
+  SELECT doc_id, text, CASE
+    WHEN doc_id % 16 = 0 THEN coalesce(source, 'none') || '/' || (doc_id // 1024) || '/LICENSE.' || doc_id
+    WHEN doc_id % 16 = 8 THEN coalesce(source, 'none') || '/' || (doc_id // 1024) || '/' || (doc_id // 128) || '/LICENSE.' || doc_id
+    ELSE coalesce(source, 'none') || '/' || (doc_id // 1024) || '/' || (doc_id // 128) || '/doc' || doc_id || '.txt' END AS path
+  FROM documents
+), templates(template, license, body) AS (VALUES
+  (0, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+  (1, 'MIT', 'Released under the MIT License.'),
+  (2, 'GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+  (3, 'CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+  (4, 'Proprietary', 'All rights reserved.')
+), tterms AS (
+  SELECT template, license, term, count(*) AS n
+  FROM (SELECT template, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL
+), held AS (
+  SELECT unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS term FROM files
+), idf AS (
+  SELECT v.term, ln((1.0 + (SELECT count(*) FROM files)) / (1 + count(h.term))) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM tterms) v LEFT JOIN held h ON h.term = v.term GROUP BY v.term
+), weights AS (
+  SELECT template, license, term, idf, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY template)) AS weight
+  FROM tterms JOIN idf USING (term)
+), cut AS (
+  SELECT path, string_split(regexp_replace(text, '([.!?])[ 	
+]+', '' || chr(10), 'g'), chr(10)) AS s FROM files
+), stated AS (
+  SELECT path, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS pos FROM cut
+), counts AS (
+  SELECT path, pos, term, count(*) AS n
+  FROM (SELECT path, pos, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS term FROM stated)
+  WHERE term IN (SELECT term FROM idf) GROUP BY ALL
+), norms AS (
+  SELECT path, pos, sqrt(sum((n * idf) * (n * idf))) AS norm FROM counts JOIN idf USING (term) GROUP BY ALL
+), scored AS (
+  SELECT path, pos, template, license, round(sum(n * idf * weight) / max(norm), 6) AS score
+  FROM counts JOIN weights USING (term) JOIN norms USING (path, pos) GROUP BY ALL
+), own AS (
+  SELECT path, license, score FROM scored WHERE score >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, template, pos) = 1
+), given AS (
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, path AS license_path, license, score FROM own
+  WHERE regexp_matches(path, '(^|/)(LICEN[CS]E|COPYING)(\.[a-z0-9]+)?$')
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path) = 1
+), inherited AS (
+  SELECT f.path, g.license, g.score, g.license_path
+  FROM (SELECT path FROM files WHERE path NOT IN (SELECT path FROM own)) f JOIN given g ON starts_with(f.path, g.dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(g.dir) DESC) = 1
+), found AS (
+  SELECT path, license, score, path AS license_path,
+         CASE WHEN regexp_matches(path, '(^|/)(LICEN[CS]E|COPYING)(\.[a-z0-9]+)?$') THEN 'licence file' ELSE 'header' END AS origin FROM own
+  UNION ALL SELECT path, license, score, license_path, 'inherited' FROM inherited
+)
+SELECT doc_id, path, license, score, origin, license_path FROM files LEFT JOIN found USING (path)
+"""
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
@@ -77,15 +153,128 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def preference_sides(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations 2k and 2k + 1 as a pair: the rejected side goes as the chosen one up to
+    its last assistant turn, and then as the other conversation from its last assistant turn."""
+    last = F.coalesce(F.max(F.when(F.col("role") == "assistant", F.col("turn"))), F.min("turn"))
+    cuts = turns.groupBy("conv_id").agg(last.alias("last"))
+    told = turns.join(cuts, "conv_id").withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long"))
+    even = F.col("conv_id") % 2 == 0
+    names = ["pair_id", "turn", "role", "text"]
+    chosen = told.filter(even).select(names)
+    rejected = told.filter((even & (F.col("turn") < F.col("last"))) | (~even & (F.col("turn") >= F.col("last")))).select(names)
+    return chosen, rejected
+
+
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(*preference_sides(table(spark, sf_dir, "conversations")))
+
+
+SQL_OP9 = r"""
+WITH cuts AS (
+  SELECT conv_id, coalesce(max(CASE WHEN role = 'assistant' THEN turn END), min(turn)) AS last FROM conversations GROUP BY conv_id
+), told AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS odd, turn, last, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations JOIN cuts USING (conv_id)
+), sides AS (
+  SELECT 'c' AS side, pair_id, turn, role, text FROM told WHERE odd = 0
+  UNION ALL SELECT 'r', pair_id, turn, role, text FROM told WHERE (odd = 0 AND turn < last) OR (odd = 1 AND turn >= last)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY side, pair_id ORDER BY turn, role, text) - 1 AS place FROM sides
+), matched AS (
+  SELECT pair_id, place, c.role AS c_role, c.text AS c_text, r.role AS r_role, r.text AS r_text
+  FROM (SELECT * FROM placed WHERE side = 'c') c FULL JOIN (SELECT * FROM placed WHERE side = 'r') r USING (pair_id, place)
+), cut AS (
+  SELECT pair_id, min(CASE WHEN c_role IS NULL OR r_role IS NULL OR c_role <> r_role OR c_text <> r_text THEN place END) AS cut, count(*) AS n
+  FROM matched GROUP BY pair_id
+), shown AS (
+  SELECT side, pair_id, place, role, coalesce(cut, n) AS head, cut IS NOT NULL AS differs,
+         '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS body,
+         length('<|im_start|>' || role || chr(10)) AS header, length(text) + 10 AS trained
+  FROM placed JOIN cut USING (pair_id)
+), spans AS (
+  SELECT *, sum(CASE WHEN place >= head THEN length(body) ELSE 0 END) OVER (PARTITION BY side, pair_id ORDER BY place) - length(body) AS begins FROM shown
+)
+SELECT pair_id, CAST(max(head) AS INTEGER) AS n_prompt_turns,
+       coalesce(string_agg(body, '' ORDER BY place) FILTER (WHERE side = 'c' AND place < head), '') AS prompt,
+       coalesce(string_agg(body, '' ORDER BY place) FILTER (WHERE side = 'c' AND place >= head), '') AS chosen,
+       coalesce(string_agg(body, '' ORDER BY place) FILTER (WHERE side = 'r' AND place >= head), '') AS rejected,
+       coalesce(string_agg((begins + header) || ':' || trained, ',' ORDER BY place) FILTER (WHERE side = 'c' AND place >= head AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg((begins + header) || ':' || trained, ',' ORDER BY place) FILTER (WHERE side = 'r' AND place >= head AND role = 'assistant'), '') AS rejected_mask,
+       bool_or(differs) AS differs
+FROM spans GROUP BY pair_id
+"""
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select(
+        "doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
+SQL_OP10 = r"""
+WITH cut AS (
+  SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
+), raw AS (
+  SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos FROM cut
+), tokens AS (
+  SELECT doc_id, pos, list_transform(
+    string_split_regex(regexp_replace(raw, '^[ 	
+]+|[ 	
+]+$', '', 'g'), '[ 	
+]+'),
+    lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
+  FROM raw
+), parsed AS (
+  SELECT doc_id, pos, t, len(t) AS n, len(t) - 3 AS rest, t[1:3] AS lead,
+         list_transform(range(8), lambda j: t[CAST(floor(j * (len(t) - 3) / 8) AS BIGINT) + 4 : CAST(floor((j + 1) * (len(t) - 3) / 8) AS BIGINT) + 3]) AS places
+  FROM tokens WHERE len(t) >= 4 AND len(list_filter(t, lambda x: x <> '<*>')) >= 2
+), in_docs AS (
+  SELECT n, lead, t, places, rest, doc_id, min(pos) AS pos FROM parsed GROUP BY ALL
+), variants AS (
+  SELECT n, lead, t, places, rest, count(*) AS docs, min({'doc_id': doc_id, 'pos': pos}) AS first FROM in_docs GROUP BY ALL
+), best AS (
+  SELECT n, lead, t AS best, places AS best_places, sum(docs) OVER (PARTITION BY n, lead) AS leaf_docs FROM variants
+  QUALIFY row_number() OVER (PARTITION BY n, lead ORDER BY docs DESC, first) = 1
+), grouped AS (
+  SELECT v.t, v.docs, v.first, CASE WHEN
+    len(list_filter(range(1, 9), lambda j: v.places[j] = b.best_places[j])) - (8 - least(rest, 8)) >= 0.75 * least(rest, 8) THEN best ELSE v.t END AS template
+  FROM variants v JOIN best b ON v.n = b.n AND v.lead = b.lead
+), total AS (
+  SELECT template, min({'doc_id': doc_id, 'pos': pos}).doc_id AS keep FROM in_docs JOIN grouped USING (t)
+  GROUP BY template HAVING count(DISTINCT doc_id) >= 3
+), dropped AS (
+  SELECT doc_id, pos FROM parsed JOIN grouped USING (t) JOIN total USING (template) WHERE doc_id <> keep
+), counted AS (
+  SELECT doc_id, count(*) AS n FROM dropped GROUP BY doc_id
+), kept AS (
+  SELECT r.doc_id, string_agg(r.raw, chr(10) ORDER BY r.pos) AS text
+  FROM raw r ANTI JOIN dropped d ON d.doc_id = r.doc_id AND d.pos = r.pos GROUP BY r.doc_id
+)
+SELECT c.doc_id, CAST(len(l) AS INTEGER) AS n_lines, CAST(coalesce(n, 0) AS INTEGER) AS n_dropped,
+       CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, sha256(coalesce(text, '')) AS text_sha256
+FROM cut c LEFT JOIN counted USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_quality": op2_quality,
+        "op4_license_scan": op4_license_scan,
         "op5_url_filters": op5_url_filters,
         "op6_mixing": op6_mixing,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_preferences": op9_preferences,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": SQL_OP5}
+    return {
+        "op4_license_scan": SQL_OP4,
+        "op5_url_filters": SQL_OP5,
+        "op9_preferences": SQL_OP9,
+        "op10_line_dedup": SQL_OP10,
+    }

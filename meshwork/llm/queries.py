@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, licenses, lines, mixing, quality, urls
+from . import bpe, chat, fingerprints, licenses, lines, mixing, quality, topk, urls
 from .common import table
 
 #: Rows whose crc32 of the id, as text, leaves 0 when divided by this are held out.
@@ -36,6 +36,23 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+SQL_OP3 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0 AND len(a.q) = len(b.q)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
 def licence_paths(docs: DataFrame) -> DataFrame:
     """Documents as files of a tree: every eighth is a licence file, of an upper or a lower directory."""
     part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
@@ -262,6 +279,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_quality": op2_quality,
+        "op3_exact_top_k": op3_exact_top_k,
         "op4_license_scan": op4_license_scan,
         "op5_url_filters": op5_url_filters,
         "op6_mixing": op6_mixing,
@@ -273,6 +291,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_exact_top_k": SQL_OP3,
         "op4_license_scan": SQL_OP4,
         "op5_url_filters": SQL_OP5,
         "op9_preferences": SQL_OP9,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, licenses, lines, mixing, quality, topk, urls
+from . import bpe, chat, fingerprints, jaccard, licenses, lines, mixing, quality, topk, urls
 from .common import table
 
 #: Rows whose crc32 of the id, as text, leaves 0 when divided by this are held out.
@@ -163,6 +163,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -283,6 +288,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scan": op4_license_scan,
         "op5_url_filters": op5_url_filters,
         "op6_mixing": op6_mixing,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_preferences": op9_preferences,
         "op10_line_dedup": op10_line_dedup,

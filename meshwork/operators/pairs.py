@@ -6,9 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import classify, geo, intervals
+from .common import numbered
 
 #: Radii are joined class by class, so that one wide circle does not widen every cell.
 RADIUS_CLASSES = (2.0, 12.0, float("inf"))
@@ -98,22 +98,13 @@ def pair_order(key: str = "score") -> list[Column]:
 
 
 def ranked(pairs: DataFrame, key: str = "score") -> DataFrame:
-    """Every pair's rank over all, in steps that sort in parallel.
-
-    Pairs are range-partitioned by the order; a partition's ranks start after the rows of those before it.
-    """
-    order = pair_order(key)
-    dealt = pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    dealt = dealt.withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
-    before = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn(
-        "before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    return dealt.join(F.broadcast(before.select("part", "before")), "part").withColumn("rank", F.col("before") + F.col("at") + 1).drop("part", "at", "before")
+    """Every pair's rank over all in the order of the key."""
+    return numbered(pairs, *pair_order(key))
 
 
 def shown_rank(pairs: DataFrame, key: str = "score") -> DataFrame:
     """Rank among qualifying pairs only, null for others: they always come first in every order."""
-    return ranked(pairs, key).withColumn("shown_rank", F.when("qualifies", F.col("rank")))
+    return ranked(pairs, key).withColumn("shown_rank", F.when(F.col("qualifies"), F.col("rank")))
 
 
 def nearby_endpoints(pairs: DataFrame, endpoints: DataFrame, within: float = 0.5) -> DataFrame:

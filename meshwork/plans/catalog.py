@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pair_queries, text_queries
+from . import edition_queries, pair_queries, text_queries
 
-MODULES = [pair_queries, text_queries]
+MODULES = [pair_queries, text_queries, edition_queries]
 
 
 def queries() -> dict:

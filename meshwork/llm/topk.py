@@ -37,7 +37,9 @@ from pyspark.sql.window import Window
 
 from .common import checkpointed
 
-SHARD, QUERY_BLOCK, LEAF = 4096, 512, 64
+SHARD, QUERY_BLOCK = 4096, 512
+#: Points of a leaf of a data tree and of a query tree.
+LEAF, QUERY_LEAF = 512, 64
 FEWEST_PIVOTS, MOST_PIVOTS = 16, 1024
 #: Tables of more shards than this are met by a join on cells instead of a broadcast.
 EXACT = float(1 << 53)
@@ -104,8 +106,6 @@ class Best:
 
     def __init__(self, n: int, k: int, floor: np.ndarray) -> None:
         self.k, self.floor = k, floor
-        self.scores = np.full((n, 0), -np.inf)
-        self.ids = np.zeros((n, 0), np.int64)
         self.scores = np.full((n, k), -np.inf)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
 
@@ -113,11 +113,18 @@ class Best:
         return float(np.maximum(self.scores[rows, -1], self.floor[rows]).min())
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        all_scores = np.concatenate([self.scores[rows], scores], axis=1)
-        all_ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, scores.shape)], axis=1)
-        order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
-        self.scores[rows] = np.take_along_axis(all_scores, order, axis=1)
-        self.ids[rows] = np.take_along_axis(all_ids, order, axis=1)
+        """Take in what reaches a row's k-th score."""
+        least = np.maximum(self.scores[rows, -1], self.floor[rows])
+        reach = (scores >= least[:, None]) & (scores > -np.inf)
+        for i in np.flatnonzero(reach.any(axis=1)):
+            row, at = rows[i], np.flatnonzero(reach[i])
+            if len(at) > 4 * self.k:  # the k best and all that tie with the last of them
+                values = scores[i, at]
+                at = at[values >= np.partition(values, len(values) - self.k)[-self.k]]
+            all_scores = np.append(self.scores[row], scores[i, at])
+            all_ids = np.append(self.ids[row], ids[at])
+            best = np.lexsort((all_ids, -all_scores))[: self.k]
+            self.scores[row], self.ids[row] = all_scores[best], all_ids[best]
 
 
 def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, k: int, floor: np.ndarray) -> Best:
@@ -194,7 +201,7 @@ def _search(k: int):
                 continue
             query_ids, floor = rows["id"].to_numpy(np.int64), rows["floor"].to_numpy(float)
             if _exact_scores(points, tree.points):
-                best = dual_search(CoverTree(points), query_ids, tree, ids, k, floor)
+                best = dual_search(CoverTree(points, QUERY_LEAF), query_ids, tree, ids, k, floor)
                 taken = np.isfinite(best.scores) & (best.scores >= floor[:, None])
                 at, place = np.nonzero(taken)
                 out = (query_ids[at], best.ids[at, place], best.scores[at, place].astype(np.int64))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +11,17 @@ from pyspark.sql.window import Window
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared folder; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write the rows as a table in the folder the cluster names, and read it.
+
+    The folder is that of ``spark.checkpoint.dir``, which all executors share; a temporary one
+    is used only where none is named, as in tests.  Unlike a checkpoint of the RDD, the rows are
+    computed once.  A lost executor costs nothing: what is read again is on the shared store.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, *order, name: str = "rank") -> DataFrame:

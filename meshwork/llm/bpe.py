@@ -29,6 +29,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 CHUNK, OVERLAP = 32768, 1024
 #: Characters beyond a match's start that may decide what it is (a contraction has 3).
 LOOK_AHEAD = 3
@@ -191,7 +193,7 @@ def encode_digests(
 
 def _encoded(docs, ranks, pattern, id_col, text_col, chunk, overlap, digest) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
-    rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema[id_col].dataType.simpleString()
     out = f"`{id_col}` {id_type}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded binary")
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of a batch of texts on its way to Python.
+BATCH_ROWS, BATCH_BYTES = 2048, "8m"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark whatever store it lies in."""
@@ -13,20 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
+    """Cut the lineage: write the rows as a table in the folder the cluster names, and read it.
 
-    Spark takes the folder from ``spark.checkpoint.dir``; a temporary one is set
-    only where the session has none, as in tests.
+    The folder is that of ``spark.checkpoint.dir``, which all executors share; a temporary one
+    is used only where none is named, as in tests.  Unlike a checkpoint of the RDD, the rows are
+    computed once.  A lost executor costs nothing: what is read again is on the shared store.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns that an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Texts go to Python in batches of a few MB, whatever the length of a text.
+
+    Sets the session's Arrow limits unless they are already lower.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df

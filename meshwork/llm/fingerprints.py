@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525011)
 #: Spans are kept at lengths 2**(k / PER_OCTAVE).
@@ -210,7 +212,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     holds one bound and one first id per bucket, ``MOST_BUCKETS`` at most.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    ids = small_batches(docs).select(F.col(id_col).cast("long").alias("id"))
     count = ids.count()
     n = int(min(MOST_BUCKETS, max(1, count // BUCKET_ROWS)))
     shares = [i / n for i in range(1, n)]

@@ -16,11 +16,13 @@ this twice, each time over all documents that are left:
    pair is a candidate if it shares ``min(l_x, l_y)`` prefix shingles, its sizes are
    near, and the places of the matches leave room for the overlap.
 
-Documents of equal sets are one class from the start.  Candidate pairs of a posting
-list are not all made: first each document meets the list's most central one, and
-links join components; then only pairs across components are counted.  So copies cost
-rows in proportion to their number, and no link between components is lost.  Every
-candidate is verified on the whole sets.
+Documents of equal sets are one class from the start.  Pairs of a posting list are
+never made as rows: every document belongs to the cluster of the most central document
+that most of its lists name, and visits other clusters with which it shares enough
+prefix shingles, sizes and places allowing.  Members and visitors of a cluster are
+compared on their whole sets by blocked products of incidence matrices, and only links
+that join components of a block are passed on.  So rows grow with the documents, not
+with the square of a group, and no link between components is lost.
 
 Shingles travel in packed arrays, one per block of documents and bucket of hashes,
 already merged within the block, so that a shingle of all documents costs one entry
@@ -43,18 +45,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 
 #: Shingles of one block of documents; text bytes for one bucket of hashes.
-BLOCK_SHINGLES, BUCKET_BYTES = 1 << 20, 32 << 20
+BLOCK_SHINGLES, BUCKET_BYTES = 1 << 19, 32 << 20
 BROADCAST_IDS = 1_000_000
 #: In the first filter, a match is asked for every so many shingles.
 FILTER_STEP = 16
 MOST_MATCHES = 8
 #: What the verification of a candidate costs, in postings.
 VERIFY_COST = 16.0
-#: Members that one task compares with a document.
-COMPARED = 2048
+#: Members and shingles of one block of a cluster, and visitors compared at a time.
+MEMBERS, MEMBER_SHINGLES, VISITORS = 1024, 1 << 19, 64
+#: Shingles that so many members of a block have are compared by a dense product.
+DENSE = 64
 
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -205,7 +209,7 @@ def shared_enough(docs: DataFrame, k: int, num: int, den: int, buckets: int) ->
             least = _least(n, num, den)
             matches = min(1 + n // FILTER_STEP, least)
             ids.append(i)
-            prefixes.append(s[: n - least + matches])
+            prefixes.append(s[: n - least + matches].copy())
             # A partner may be smaller, and then asks for fewer matches.
             wants.append(min(1 + least // FILTER_STEP, _least(least, num, den), matches))
             size += len(prefixes[-1])
@@ -297,7 +301,8 @@ def matches_wanted(df: np.ndarray, n: int, least: int) -> int:
 
 
 def postings(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
-    """Prefix entries ``h, id, n, place, l`` of shingles that are in two sets at least."""
+    """Prefix entries ``h, id, n, place, l, first`` of shingles that are in two sets at least;
+    ``first`` is the number of shingles before the first such one."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +327,7 @@ def postings(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
                     yield _packed([(0, r["block"], 1, mine[d > 1].tobytes(), d[d > 1].tobytes(), b"")])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["h", "id", "n", "place", "l"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        names, kinds = ["h", "id", "n", "place", "l", "first"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
         for _, rows in _runs(batches, "block"):
             if len(rows) < 2:
                 continue
@@ -345,63 +350,115 @@ def postings(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
                 wanted = matches_wanted(mine, n, least)
                 length = n - least + wanted
                 place = np.flatnonzero(mine[:length] > 1)
-                for column, values in zip(out, (
-                    h[start + place].view(np.int64), np.full(len(place), ids[i]), np.full(len(place), n, np.int32), place.astype(np.int32), np.full(len(place), wanted, np.int32),
-                )):
-                    column.append(values)
+                if not len(place):
+                    continue
+                for column, values in zip(out, (h[start + place].view(np.int64), ids[i], n, place, wanted, place[0])):
+                    column.append(np.broadcast_to(values, len(place)))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, kinds)], names=names)
 
     counted = sets.mapInArrow(distinct, _PACKED).repartition("key").sortWithinPartitions("key").mapInArrow(count, _PACKED)
     return (
         sets.unionByName(counted).repartition("block").sortWithinPartitions("block", "kind")
-        .mapInArrow(prefixes, "h long, id long, n int, place int, l int")
+        .mapInArrow(prefixes, "h long, id long, n int, place int, l int, first int")
     )
 
 
-def _can_link(x: str, y: str, num: int, den: int):
-    """Sizes near enough, and room for the overlap behind these places."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    i, j = F.col(f"{x}.place"), F.col(f"{y}.place")
-    near = (F.lit(den) * F.least(n, m)) >= (F.lit(num) * F.greatest(n, m))
-    # The first shared shingle in the order has nothing shared before it, so some match must leave this much.
-    room = F.least(n - i, m - j)
-    return near, F.lit(num + den) * room >= F.lit(num) * (n + m)
-
-
-def first_meetings(p: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of each document and the most central one of a posting list of its."""
-    lead = p.groupBy("h").agg(F.min(F.struct("place", "id", "n")).alias("y"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    near, room = _can_link("x", "y", num, den)
-    met = p.select("h", F.struct("id", "n", "place").alias("x")).join(lead, "h").filter((F.col("x.id") != F.col("y.id")) & near & room)
-    one_way = met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
-    # A pair that leads each other in different lists is kept once.
-    return one_way.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(F.struct("x", "y")).alias("p")).select("p.x", "p.y")
-
-
-def rest_meetings(p: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different components that share enough prefix shingles."""
-    told = p.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    per = told.groupBy("h", "label").agg(F.count("*").alias("many"))
-    major = per.groupBy("h").agg(F.max_by("label", F.struct("many", "label")).alias("major"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
-    open_ = told.join(major, "h")
-    entry = F.struct("id", "n", "place", "l", "label")
-    minor = open_.filter(F.col("label") != F.col("major")).select("h", "major", entry.alias("x"))
-    every = open_.select("h", entry.alias("y"))
-    near, room = _can_link("x", "y", num, den)
-    apart = F.col("x.label") != F.col("y.label")
-    # Two minor entries meet twice; count them from one side.
-    once = (F.col("y.label") == F.col("major")) | (F.col("x.id") < F.col("y.id"))
-    pairs = minor.join(every, "h").filter(apart & once & near)
+def clusters(p: DataFrame) -> DataFrame:
+    """``id, cluster``: the most central document that most of the id's posting lists name."""
+    lead = p.groupBy("h").agg(F.min(F.struct("first", "id")).alias("y"), F.count("*").alias("many")).filter("many > 1").select("h", "y")
+    named = p.select("h", "id").join(lead, "h").groupBy("id", "y").agg(F.count("*").alias("many"))
+    return named.groupBy("id").agg(F.max_by("y.id", F.struct("many", (-F.col("y.first")).alias("c"), (-F.col("y.id")).alias("i"))).alias("cluster"))
+
+
+def visits(p: DataFrame, homes: DataFrame, num: int, den: int) -> DataFrame:
+    """``id, cluster``: clusters of smaller ids that an id has to be compared with.
+
+    Of two documents that link, the first l shared shingles have places that leave room for
+    the rest of the overlap; l is the smaller of the document's and of the cluster's least.
+    """
+    told = p.join(homes, "id")
+    told = told.join(told.groupBy("cluster").agg(F.min("l").alias("cluster_l")), "cluster")
+    lists = told.groupBy("h", "cluster", "cluster_l").agg(
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("place")).alias("room")
+    )
+    wanted = F.least("x.l", "y.cluster_l")
+    n = F.col("x.n")
+    near = (F.lit(den) * F.col("y.most_n") >= F.lit(num) * n) & (F.lit(den) * n >= F.lit(num) * F.col("y.least_n"))
+    overlap = F.lit(num) * (n + F.col("y.least_n"))
+    left = F.lit(num + den) * (F.least(n - F.col("x.place"), F.col("y.room")) + wanted - 1)
+    met = (
+        told.select("h", F.struct("id", "n", "place", "l", "cluster").alias("x"))
+        .join(lists.select("h", F.struct("cluster", "cluster_l", "least_n", "most_n", "room").alias("y")), "h")
+        .filter((F.col("y.cluster") < F.col("x.cluster")) & near & (left >= overlap))
+    )
     return (
-        pairs.groupBy(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y"))
-        .agg(F.count("*").alias("shared"), F.min(F.least("x.l", "y.l")).alias("wanted"), F.max(room).alias("room"))
-        .filter("shared >= wanted AND room").select("x", "y")
+        met.groupBy(F.col("x.id").alias("id"), F.col("y.cluster").alias("cluster")).agg(F.count("*").alias("shared"), F.min(wanted).alias("wanted"))
+        .filter("shared >= wanted").select("id", "cluster")
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``x, y`` that link, by their whole sets; ``y`` is sent once to each task."""
+class _Members:
+    """An index of one block's sets that counts intersections with other sets."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
+        self.ids = np.array(ids, np.int64)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.label = np.arange(len(ids))
+        h = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(ids)), self.sizes)
+        order = np.argsort(h, kind="stable")
+        self.owner = owner[order]
+        self.h, self.start, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        column = np.full(len(self.h), -1)
+        dense = np.flatnonzero(self.count >= DENSE)
+        column[dense] = np.arange(len(dense))
+        self.column = column
+        self.matrix = np.zeros((len(dense), len(ids)), np.float32)
+        row = np.repeat(column, self.count)
+        self.matrix[row[row >= 0], self.owner[row >= 0]] = 1
+
+    def intersections(self, sets: list[np.ndarray]) -> np.ndarray:
+        sizes = [len(s) for s in sets]
+        h, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        held = self.h[at] == h
+        at, who = at[held], who[held]
+        column = self.column[at]
+        dense = np.zeros((len(sets), len(self.matrix)), np.float32)
+        dense[who[column >= 0], column[column >= 0]] = 1
+        out = (dense @ self.matrix).astype(np.int64)
+        at, who = at[column < 0], who[column < 0]
+        many = self.count[at]
+        ends = np.cumsum(many)
+        flat = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many) + np.repeat(self.start[at], many)
+        width = len(self.ids)
+        out += np.bincount(np.repeat(who, many) * width + self.owner[flat], minlength=len(sets) * width).reshape(len(sets), width)
+        return out
+
+    def links(self, ids: list[int], sets: list[np.ndarray], num: int, den: int, own: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Links of these documents that join what was apart; ``own``: their places, if members."""
+        both = self.intersections(sets)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        linked = den * both >= num * (sizes[:, None] + self.sizes[None, :] - both)
+        out = []
+        for i in np.flatnonzero(linked.any(axis=1)):
+            to = np.flatnonzero(linked[i])
+            labels, first = np.unique(self.label[to], return_index=True)
+            mine = self.label[own[i]] if own is not None else -1
+            out += [(int(ids[i]), int(self.ids[to[f]])) for label, f in zip(labels, first) if label != mine]
+            low = labels[0] if own is None else min(mine, labels[0])
+            joined = np.isin(self.label, labels if own is None else np.append(labels, mine))
+            self.label[joined] = low
+        return [(a, b) for a, b in out if a != b]
+
+
+def compared(homes: DataFrame, away: DataFrame, sizes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``x, y`` of members and visitors of all clusters, enough to join what is linked.
+
+    ``sizes`` is ``id, n``; clusters are cut into blocks of a bounded size, and a member
+    visits the blocks before its own.
+    """
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -412,33 +469,53 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                     rows = [(int(i), h[e - n : e].tobytes()) for i, n, e in zip(ids[s : s + 1024], sizes[s : s + 1024], ends[s : s + 1024])]
                     yield _batch(["id", "set"], [pa.int64(), pa.binary()], rows)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, leads = None, []
-        for batch in batches:
-            rows = []
-            for row in (r for at in range(0, batch.num_rows, 256) for r in batch.slice(at, 256).to_pylist()):
-                if (row["y"], row["salt"]) != key:
-                    key, leads = (row["y"], row["salt"]), []
-                mine = _u64(row["set"])
-                if row["x"] is None:
-                    leads.append(mine)
-                    continue
-                for other in leads:
-                    at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
-                    both = int((other[at] == mine).sum())
-                    if den * both >= num * (len(mine) + len(other) - both):
-                        rows.append((row["x"], row["y"]))
-                        break
-            yield _batch(["x", "y"], [pa.int64(), pa.int64()], rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kind, ids, held, index = None, None, [], [], None
+
+        def settle() -> list[tuple[int, int]]:
+            """Deal with what is held: a whole block of members, or some visitors."""
+            nonlocal index, ids, held
+            out: list[tuple[int, int]] = []
+            if held and kind == 0:
+                index = _Members(ids, held)
+                for at in range(0, len(ids), VISITORS):
+                    own = np.arange(at, min(at + VISITORS, len(ids)))
+                    out += index.links(ids[at : at + VISITORS], held[at : at + VISITORS], num, den, own)
+            elif held and index is not None:
+                out += index.links(ids, held, num, den)
+            ids, held = [], []
+            return out
 
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for row in (r for at in range(0, batch.num_rows, 128) for r in batch.slice(at, 128).to_pylist()):
+                this = (row["cluster"], row["block"])
+                if this != key or row["kind"] != kind or (kind == 1 and len(held) == VISITORS):
+                    links += settle()
+                    if this != key:
+                        index = None
+                    key, kind = this, row["kind"]
+                ids.append(row["id"])
+                held.append(_u64(row["set"]))
+            yield _batch(["x", "y"], [pa.int64(), pa.int64()], links)
+        yield _batch(["x", "y"], [pa.int64(), pa.int64()], settle())
+
+    members = homes.join(sizes, "id")
+    guests = away.groupBy("cluster").agg(F.count("*").alias("guests"))
+    shape = (
+        members.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"))
+        .join(guests, "cluster", "left").filter("many > 1 OR guests > 0")
+        .select("cluster", F.ceil(F.greatest(F.col("many") / MEMBERS, F.col("shingles") / MEMBER_SHINGLES)).alias("blocks"))
+    )
+    shape = checkpointed(shape)
+    placed = homes.join(shape, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    before = placed.filter("block > 0").select("id", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("block"))
+    every = away.join(shape, "cluster").select("id", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    tasks = placed.select("id", "cluster", "block", F.lit(0).alias("kind")).unionByName(before.unionByName(every).select("id", "cluster", "block", F.lit(1).alias("kind")))
     each = sets.mapInArrow(single, "id long, set binary")
-    degree = pairs.groupBy("y").agg(F.ceil(F.count("*") / COMPARED).alias("salts"))
-    dealt = pairs.join(degree, "y").withColumn("salt", F.pmod(F.xxhash64("x"), "salts"))
-    members = dealt.select("x", "y", "salt").join(each, F.col("x") == F.col("id")).select("y", "salt", "x", "set")
-    leads = dealt.select("y", "salt").distinct().join(each, F.col("y") == F.col("id")).select("y", "salt", F.lit(None).cast("long").alias("x"), "set")
     return (
-        members.unionByName(leads).repartition("y", "salt").sortWithinPartitions("y", "salt", F.col("x").asc_nulls_first())
-        .mapInArrow(compare, "x long, y long").distinct()
+        tasks.join(each, "id").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "kind")
+        .mapInArrow(run, "x long, y long").distinct()
     )
 
 
@@ -466,7 +543,7 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
     """``id, n_shingles, component_id`` per row: the smallest id that links reach, its own included."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(8, -(-size // BUCKET_BYTES)))
     meta = checkpointed(document_sets(rows, k))
@@ -480,17 +557,13 @@ def near_duplicates(
     known = keep_ids(rows.filter("id IS NOT NULL"), checkpointed(repeats.join(alone, "id", "left_anti")), "left_anti")
     stays = checkpointed(shared_enough(known, k, num, den, buckets))
     sets = checkpointed(block_sets(keep_ids(known, stays), k))
-    few = int(max(8, buckets // 4))
-    entries = checkpointed(postings(sets, num, den, few))
-    met = checkpointed(first_meetings(entries, num, den))
-    links = checkpointed(verified(met, sets, num, den))
-    labels = components(links)
-    seen = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    rest = checkpointed(rest_meetings(entries, labels, num, den).join(seen, ["x", "y"], "left_anti"))
-    more = verified(rest, sets, num, den)
+    entries = checkpointed(postings(sets, num, den, buckets))
+    homes = checkpointed(clusters(entries))
+    away = checkpointed(visits(entries, homes, num, den))
+    links = compared(homes, away, entries.groupBy("id").agg(F.max("n").alias("n")), sets, num, den)
     # An id of several texts joins the classes of all of them; other copies hang on their class's smallest id.
     bridges = full.join(copies, "sig").filter("id <> rep").join(alone, "id", "left_semi").select(F.col("id").alias("x"), F.col("rep").alias("y"))
-    between = checkpointed(links.unionByName(more).unionByName(bridges))
+    between = checkpointed(links.unionByName(bridges))
     final = components(between)
     shown = (
         meta.join(copies, "sig", "left")

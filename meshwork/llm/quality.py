@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bounds of what is collected and broadcast.
 SAMPLE, RANK, NEIGHBOURS = 4096, 48, 15
 #: Exponent of a neighbour's cosine in its vote.
@@ -180,7 +182,7 @@ def score_documents(
     ``learn_from`` is a condition on ``id`` that says which labelled rows may be learnt.
     """
     keep = F.lit(True) if learn_from is None else learn_from
-    model = fit(docs, labels, id_col, text_col, label_col, keep, sample, rank)
+    model = fit(small_batches(docs), labels, id_col, text_col, label_col, keep, sample, rank)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (carry or [id_col]) if c.lower() != "score"]
 

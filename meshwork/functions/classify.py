@@ -117,3 +117,22 @@ def flood_text(zone: Column, subtype: Column) -> Column:
         .when((zone == "X") & subtype.contains("0.2"), "0.2% annual chance").when(zone == "X", "minimal")
         .when(zone == "D", "undetermined").when(zone == "OPEN WATER", "open water")
     )
+
+
+def reasons(qualifies: Column, miles: Column, level: Column, remaining: Column, overlap: Column, gap: Column) -> Column:
+    """Why a pair is listed, as ordered short statements; those that do not apply are left out."""
+    first = F.when(qualifies, F.format_string("centres %.2f mi apart, under the rule", F.round(miles, 2))).otherwise(F.format_string("centres %.2f mi apart, outside the rule", F.round(miles, 2)))
+    windows = (
+        F.when(remaining > 0, F.format_string("windows overlap %d months ahead", js_round(remaining / MONTH_DAYS)))
+        .when(overlap > 0, "windows overlapped in the past").when(gap.isNotNull(), F.format_string("dates %d days apart", gap.cast("long")))
+    )
+    return F.array_compact(F.array(first, windows, F.when(level == "sensitive", "only at best-estimate locations")))
+
+
+def shared_resources(qualifies: Column, remaining: Column, same_type: Column) -> Column:
+    """What two projects may share, as ordered short statements."""
+    ahead = F.coalesce(remaining > 0, F.lit(False))
+    listed = F.array_compact(F.array(
+        F.when(ahead, "one yard instead of two"), F.when(ahead, "crane, mat and crew mobilisations"), F.when(same_type, "procurement, spares or one contractor"),
+    ))
+    return F.when(~qualifies, F.array(F.lit("verify locations first"))).when(F.size(listed) == 0, F.array(F.lit("crew and contractor scheduling"))).otherwise(listed)

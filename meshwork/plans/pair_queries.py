@@ -271,6 +271,21 @@ def q_project_types(spark, sf_dir):
     return parts.select("p_partkey", classify.project_type(F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 2 == 0, words)), words).alias("kind"))
 
 
+def q_rationale(spark, sf_dir):
+    """Why pairs are listed and what they may share."""
+    p = all_pairs(spark, sf_dir)
+    why = classify.reasons(F.col("qualifies"), F.col("miles"), F.col("certainty"), F.col("remaining_days"), F.col("overlap_days"), F.col("gap_days"))
+    share = classify.shared_resources(F.col("qualifies"), F.col("remaining_days"), F.col("a.zone") == F.col("b.zone"))
+    return p.select("id", F.array_join(F.slice(why, 2, 9), "; ").alias("why"), F.size(why).alias("n_reasons"), F.array_join(share, "; ").alias("share"))
+
+
+SQL_RATIONALE = f"""WITH {PAIRS_CTE}, z AS (SELECT p.*, a.zone = b.zone AS same FROM pairs p JOIN projects a ON a.id = p.a_id JOIN projects b ON b.id = p.b_id), w AS (
+  SELECT *, list_filter([CASE WHEN remaining_days > 0 THEN 'windows overlap ' || CAST(floor(remaining_days / 30.44 + 0.5) AS BIGINT) || ' months ahead' WHEN overlap_days > 0 THEN 'windows overlapped in the past' WHEN gap_days IS NOT NULL THEN 'dates ' || gap_days || ' days apart' END,
+    CASE WHEN certainty = 'sensitive' THEN 'only at best-estimate locations' END], lambda x: x IS NOT NULL) AS why,
+    list_filter([CASE WHEN remaining_days > 0 THEN 'one yard instead of two' END, CASE WHEN remaining_days > 0 THEN 'crane, mat and crew mobilisations' END, CASE WHEN same THEN 'procurement, spares or one contractor' END], lambda x: x IS NOT NULL) AS listed FROM z)
+SELECT id, array_to_string(why, '; ') AS why, CAST(len(why) + 1 AS INTEGER) AS n_reasons, CASE WHEN NOT qualifies THEN 'verify locations first' WHEN len(listed) = 0 THEN 'crew and contractor scheduling' ELSE array_to_string(listed, '; ') END AS share FROM w"""
+
+
 TITLE_WORDS = ("new line", "capacitor bank", "SCADA relay", "rebuild", "river crossing", "jumpers", "substation", "misc")
 
 
@@ -286,10 +301,10 @@ SELECT p_partkey, CASE {cases('title')} {cases("(title || ' ' || d)")} ELSE '{cl
 QUERIES = {
     "pairs": q_pairs, **{f"rank_{k}": q_rank(k) for k in RANKS}, "pair_filter": q_filter_flags, "leave_one_out": q_leave_one_out, "pair_labels": q_labels,
     "yard_scenario": q_scenario, "nearby_endpoints": q_nearby_endpoints, "nearest_partner": q_nearest_partner, "partner_counts": q_partner_counts, "overview": q_overview,
-    "same_stations": q_same_stations, "pairing_range": q_pairing_range, "csv_export": q_csv_export, "project_types": q_project_types,
+    "same_stations": q_same_stations, "pairing_range": q_pairing_range, "csv_export": q_csv_export, "project_types": q_project_types, "rationale": q_rationale,
 }
 SQL = {
     "pairs": SQL_PAIRS, **{f"rank_{k}": sql_rank(v) for k, v in RANKS.items()}, "pair_filter": sql_filter_flags(), "leave_one_out": sql_leave_one_out(), "pair_labels": SQL_LABELS,
     "yard_scenario": SQL_SCENARIO, "nearby_endpoints": SQL_NEARBY, "nearest_partner": SQL_NEAREST, "partner_counts": SQL_PARTNERS, "overview": SQL_OVERVIEW,
-    "same_stations": SQL_SAME, "pairing_range": SQL_RANGE, "csv_export": SQL_CSV, "project_types": sql_project_types(),
+    "same_stations": SQL_SAME, "pairing_range": SQL_RANGE, "csv_export": SQL_CSV, "project_types": sql_project_types(), "rationale": SQL_RATIONALE,
 }

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import editions, matching, shapes
+from ..sources import sinks
 from ..sources.adapters import AREAS, ENDPOINTS, GAZETTEER, RECORDS, build
 from ..streaming import replay
 from .edition_queries import ordered
+from .place_queries import q_area_shares
 
 #: Keys repeat here: the customer's key without its last digit, so that up to ten share one.
 REPEATING = f"SELECT filing, plan, state, ord AS pos, CAST(CAST(floor(ord / 4.0) AS BIGINT) AS STRING) AS rkey, name || ' ' || CAST(ord % 97 AS STRING) AS name FROM ({RECORDS}) r"
@@ -76,6 +78,11 @@ def q_shapes(spark, sf_dir):
     )
 
 
+def q_evidence(spark, sf_dir):
+    """Evidence features of areas that projects' circles meet."""
+    return sinks.evidence(build(spark, sf_dir, AREAS), q_area_shares(spark, sf_dir), 0.002)
+
+
 def q_stream_replay(spark, sf_dir):
     """Editions replayed as a stream, read from a table of records."""
     folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='replay-')).rstrip('/')}/replay-{uuid.uuid4().hex}"
@@ -87,5 +94,5 @@ def q_stream_replay(spark, sf_dir):
     return spark.read.schema(replay.CHANGES).parquet(f"{folder}/changes")
 
 
-QUERIES = {"match_reused_ids": q_match_reused, "lineage": q_lineage, "leader_clusters": q_clusters, "greedy_matches": q_greedy, "bipartite_matching": q_bipartite, "any_date": q_any_date, "shapes": q_shapes, "stream_replay": q_stream_replay}
+QUERIES = {"match_reused_ids": q_match_reused, "lineage": q_lineage, "leader_clusters": q_clusters, "greedy_matches": q_greedy, "bipartite_matching": q_bipartite, "any_date": q_any_date, "shapes": q_shapes, "evidence": q_evidence, "stream_replay": q_stream_replay}
 SQL: dict[str, str] = {}

@@ -54,3 +54,20 @@ def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert Path(__spark_entry__.__file__).exists()
+
+
+def test_sinks(spark, sf_dir, tmp_path):
+    import json
+
+    from meshwork.plans import edition_queries as e
+    from meshwork.sources import sinks
+
+    features = catalog.queries()["evidence"](spark, sf_dir).collect()
+    drawn = [json.loads(r.feature) for r in features]
+    assert drawn and all(d["geometry"]["coordinates"][0][0] == d["geometry"]["coordinates"][0][-1] for d in drawn)
+    export = catalog.queries()["csv_export"](spark, sf_dir)
+    sinks.write_export(export, f"{tmp_path}/export")
+    lines = b"".join(p.read_bytes() for p in sorted((tmp_path / "export").glob("part-*"))).decode().split("\r\n")[:-1]
+    assert lines == [r.line for r in export.orderBy("rank").collect()]
+    sinks.write_change_log(f"{tmp_path}/log", e.ordered(spark, sf_dir), e.q_changes(spark, sf_dir), e.q_pair_changes(spark, sf_dir), e.q_counts(spark, sf_dir))
+    assert spark.read.parquet(f"{tmp_path}/log/events").count() == e.q_counts(spark, sf_dir).count()

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import released, small_batches
 
 CHUNK, OVERLAP = 32768, 1024
 #: Characters beyond a match's start that may decide what it is (a contraction has 3).
@@ -230,7 +230,7 @@ def _encoded(docs, ranks, pattern, id_col, text_col, chunk, overlap, digest) ->
             yield from copies * [results(bpe, key_of, [bpe.stitch(chunks)])]
 
     size = F.char_length("text")
-    short = rows.filter(size <= chunk).mapInArrow(whole, out)
+    short = rows.filter(size <= chunk).mapInArrow(released(whole), out)
     starts = F.sequence(F.lit(0), size - 1, F.lit(chunk))
     # A key of id and text keeps rows of one id apart; rows that are the same in both are encoded once and counted.
     long = rows.filter(size > chunk).withColumn("row", F.concat_ws(" ", F.xxhash64(id_col), F.sha2("text", 256)))
@@ -239,4 +239,4 @@ def _encoded(docs, ranks, pattern, id_col, text_col, chunk, overlap, digest) ->
         .select(F.col(id_col), "row", "offset", F.col("text").substr(F.col("offset") + 1, F.lit(chunk + overlap)).alias("text"))
         .repartition("row").sortWithinPartitions("row", "offset")
     )
-    return short.unionByName(dealt.mapInArrow(stitched, out))
+    return short.unionByName(dealt.mapInArrow(released(stitched), out))

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import checkpointed, released, small_batches
 
 #: Shingles of one block of documents; text bytes for one bucket of hashes.
 BLOCK_SHINGLES, BUCKET_BYTES = 1 << 19, 32 << 20
@@ -128,7 +128,7 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
                 rows = []
         yield _batch(["id", "n", "sig"], [pa.int64(), pa.int64(), pa.binary()], rows)
 
-    return docs.mapInArrow(run, "id long, n long, sig binary")
+    return docs.mapInArrow(released(run), "id long, n long, sig binary")
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -247,9 +247,9 @@ def shared_enough(docs: DataFrame, k: int, num: int, den: int, buckets: int) ->
                 have += np.bincount(np.frombuffer(r["a"], np.uint16), minlength=len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(ids[have >= wants], pa.int64())], names=["id"])
 
-    packed = docs.mapInArrow(pack, _PACKED)
-    counted = packed.repartition("key").sortWithinPartitions("key").mapInArrow(count, _PACKED)
-    return counted.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(choose, "id long").distinct()
+    packed = docs.mapInArrow(released(pack), _PACKED)
+    counted = packed.repartition("key").sortWithinPartitions("key").mapInArrow(released(count), _PACKED)
+    return counted.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(released(choose), "id long").distinct()
 
 
 def block_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -278,7 +278,7 @@ def block_sets(docs: DataFrame, k: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.mapInArrow(run, _PACKED)
+    return docs.mapInArrow(released(run), _PACKED)
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -357,10 +357,10 @@ def postings(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, kinds)], names=names)
 
-    counted = sets.mapInArrow(distinct, _PACKED).repartition("key").sortWithinPartitions("key").mapInArrow(count, _PACKED)
+    counted = sets.mapInArrow(released(distinct), _PACKED).repartition("key").sortWithinPartitions("key").mapInArrow(released(count), _PACKED)
     return (
         sets.unionByName(counted).repartition("block").sortWithinPartitions("block", "kind")
-        .mapInArrow(prefixes, "h long, id long, n int, place int, l int, first int")
+        .mapInArrow(released(prefixes), "h long, id long, n int, place int, l int, first int")
     )
 
 
@@ -377,8 +377,9 @@ def visits(p: DataFrame, homes: DataFrame, num: int, den: int) -> DataFrame:
     Of two documents that link, the first l shared shingles have places that leave room for
     the rest of the overlap; l is the smaller of the document's and of the cluster's least.
     """
-    told = p.join(homes, "id")
-    told = told.join(told.groupBy("cluster").agg(F.min("l").alias("cluster_l")), "cluster")
+    # A cluster's least l is found from ids, so that entries of a large cluster stay dealt by id.
+    per_id = p.groupBy("id").agg(F.min("l").alias("l")).join(homes, "id")
+    told = p.join(homes.join(per_id.groupBy("cluster").agg(F.min("l").alias("cluster_l")), "cluster"), "id")
     lists = told.groupBy("h", "cluster", "cluster_l").agg(
         F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("place")).alias("room")
     )
@@ -512,10 +513,10 @@ def compared(homes: DataFrame, away: DataFrame, sizes: DataFrame, sets: DataFram
     before = placed.filter("block > 0").select("id", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("block"))
     every = away.join(shape, "cluster").select("id", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     tasks = placed.select("id", "cluster", "block", F.lit(0).alias("kind")).unionByName(before.unionByName(every).select("id", "cluster", "block", F.lit(1).alias("kind")))
-    each = sets.mapInArrow(single, "id long, set binary")
+    each = sets.mapInArrow(released(single), "id long, set binary")
     return (
         tasks.join(each, "id").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "kind")
-        .mapInArrow(run, "x long, y long").distinct()
+        .mapInArrow(released(run), "x long, y long").distinct()
     )
 
 

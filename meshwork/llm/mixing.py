@@ -200,4 +200,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         & (sized["mix_words"] == units["mix_size"])
     )
     repeats = F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
-    return sized.join(units, same).withColumn("mix_turn", repeats).select(*[sized[f"`{c}`"] for c in docs.columns])
+    return sized.join(units.hint("shuffle_hash"), same).withColumn("mix_turn", repeats).select(*[sized[f"`{c}`"] for c in docs.columns])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release_memory, released, small_batches
 
 #: Bounds of what is collected and broadcast.
 SAMPLE, RANK, NEIGHBOURS = 4096, 48, 15
@@ -101,7 +101,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
             [pa.array(np.append(np.arange(TERMS), -1), pa.int32()), pa.array(np.append(total, n), pa.int64())], names=["term", "n"]
         )
 
-    sums = docs.select(text_col).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    sums = docs.select(text_col).mapInArrow(released(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df, n = np.zeros(TERMS), 0
     for term, many in sums:
         if term < 0:
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "y").mapInArrow(vectors, "id long, y int, x binary").collect()
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "y").mapInArrow(released(vectors), "id long, y int, x binary").collect()
     rows.sort(key=lambda r: (r["id"], r["y"], r["x"]))
     if not rows:
         return {}
@@ -192,5 +192,6 @@ def score_documents(
             values = texts.where(texts.notna(), None).tolist()
             parts = [vote(sent.value, values[at : at + 256], neighbours) for at in range(0, len(values), 256)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        release_memory()
 
     return docs.withColumn("score", score(F.col(text_col))).select(*names, "score")

@@ -1,19 +1,20 @@
 """License scans: sparse TF-IDF cosine to templates, and inheritance down the path tree.
 
-Every statement of a file (a line, or a sentence of it) is a sparse vector over the
-templates' terms; a term's weight is its count times ``ln((1 + N) / (1 + df)) + 1``
-with document frequencies over all files.  The statement of the greatest cosine with
-a template names the file's licence if the cosine is ``THRESHOLD`` or more (ties: the
-first template, then the first statement).  Statements without a term that could
-bring the cosine up to the threshold are left out before any term is counted; this
-loses nothing, since what is left of every template stays below it.
+Every statement of a file (a line, a sentence of it, or a paragraph of several) is a
+sparse vector over all of its terms; a term's weight is its count times
+``ln((1 + N) / (1 + df)) + 1`` with document frequencies over all files.  The statement
+of the greatest cosine with a template names the file's licence if the cosine is
+``THRESHOLD`` or more (ties: the first template, then the first statement).  Statements
+without a term that could bring the cosine up to the threshold are left out before any
+term is counted; this loses nothing, since what is left of every template stays below
+it, and a statement's other terms only add to its norm.
 
 A file named as a licence file gives its licence to its directory (several in one:
 the smallest path).  Files without a licence of their own take that of the nearest
 ancestor directory that has one, found by joining each path's ancestors.
 
 DataFrame functions alone.  Only numbers per template term, a fixed vocabulary, come
-to the driver.  Defined results: null or empty texts have no licence of their own but
+to the driver; the frequencies of the statements' other terms are joined.  Defined results: null or empty texts have no licence of their own but
 may inherit; null paths have no ancestors; repeated paths are judged together as one
 file of several texts, and each row gets its result; other columns are kept.
 """
@@ -29,36 +30,82 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, without
 
-#: Short licence statements, in the order that decides ties.
+_GPL_NOTICE = (
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the "
+    "Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+)
+_CC_NOTICE = "This work is licensed under a Creative Commons {name} 4.0 International License."
+
+#: Licence statements, notices and grants, one on a line, in the order that decides ties.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0.\n"
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "MIT": "Released under the MIT License.\nMIT License\n"
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions:",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.\n"
+    + _GPL_NOTICE.format(what="program", name="General Public License", version="3"),
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.\n" + _CC_NOTICE.format(name="Attribution-NonCommercial"),
     "Proprietary": "All rights reserved.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.\n"
+    + _GPL_NOTICE.format(what="program", name="General Public License", version="2"),
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.\n"
+    + _GPL_NOTICE.format(what="library", name="Lesser General Public License", version="3"),
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.\n"
+    + _GPL_NOTICE.format(what="library", name="Lesser General Public License", version="2.1"),
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.\n"
+    + _GPL_NOTICE.format(what="program", name="Affero General Public License", version="3"),
+    "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.\n"
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    # The clause that only the longer one has comes first.
+    "BSD-3-Clause": "Licensed under the BSD 3-Clause License.\n"
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission.",
+    "BSD-2-Clause": "Licensed under the BSD 2-Clause License.\n"
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.\n" + _CC_NOTICE.format(name="Attribution"),
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.\n" + _CC_NOTICE.format(name="Attribution-ShareAlike"),
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.\n" + _CC_NOTICE.format(name="Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.\n" + _CC_NOTICE.format(name="Attribution-NoDerivatives"),
 }
 THRESHOLD = 0.6
 TERM = "[a-z0-9]+"
 LICENCE_FILES = r"(^|/)(LICEN[CS]E|COPYING)(\.[a-z0-9]+)?$"
+#: Sets of more terms than this are joined by a shuffle instead of a broadcast.
+BROADCAST_TERMS = 1_000_000
 
 
 def statements(text: Column) -> Column:
-    """Lines and sentences of a text."""
-    return F.split(F.regexp_replace(text, r"([.!?])[ \t\r\f]+", "$1\n"), "\n")
+    """Lines and sentences of a text, and then its paragraphs of several of them."""
+    pieces = F.split(F.regexp_replace(text, r"([.!?])[ \t\r\f]+", "$1\n"), "\n")
+    return F.concat(pieces, F.array_except(F.split(text, "\n[^A-Za-z0-9\n]*+\n"), pieces))
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
 
 
-def inverse_frequencies(files: DataFrame, text_col: str, vocabulary: list[str]) -> dict[str, float]:
-    """Weights of the vocabulary's terms, from all files."""
+def inverse_frequencies(files: DataFrame, text_col: str, vocabulary: list[str]) -> tuple[dict[str, float], int]:
+    """Weights of the vocabulary's terms, from all files, and the number of these."""
     known = F.array(*[F.lit(t) for t in vocabulary])
     held = F.array_intersect(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+"), known)
     counts = files.select(F.explode(F.array_append(held, F.lit(""))).alias("term")).groupBy("term").count().collect()
     found = {r["term"]: r["count"] for r in counts}
     n = found.get("", 0)
-    return {t: math.log((1 + n) / (1 + found.get(t, 0))) + 1 for t in vocabulary}
+    return {t: math.log((1 + n) / (1 + found.get(t, 0))) + 1 for t in vocabulary}, n
+
+
+def term_weights(files: DataFrame, text_col: str, wanted: DataFrame, n: int) -> DataFrame:
+    """``term, idf`` of the wanted terms, from all ``n`` files."""
+    held = files.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), "[^a-z0-9]+"))).alias("term"))
+    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        counts = held.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        counts = held.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
+    return counts.select("term", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def deciding_terms(vectors: dict[str, dict[str, float]], idf: dict[str, float], threshold: float) -> list[str]:
@@ -74,17 +121,17 @@ def deciding_terms(vectors: dict[str, dict[str, float]], idf: dict[str, float],
 
 def own_licences(files: DataFrame, path_col: str, text_col: str, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``path, license, score`` of files that state a licence."""
-    counts = {name: Counter(re.findall(TERM, text.lower())) for name, text in templates.items()}
+    counts = {(name, line): Counter(re.findall(TERM, line.lower())) for name, text in templates.items() for line in text.split("\n")}
     vocabulary = sorted({t for c in counts.values() for t in c})
-    idf = inverse_frequencies(files, text_col, vocabulary)
-    vectors = {name: {t: n * idf[t] for t, n in c.items()} for name, c in counts.items()}
+    idf, n_files = inverse_frequencies(files, text_col, vocabulary)
+    vectors = {key: {t: n * idf[t] for t, n in c.items()} for key, c in counts.items()}
     needed = deciding_terms(vectors, idf, threshold)
     spark = files.sparkSession
     rows = [
-        (i, name, t, idf[t], w / math.sqrt(sum(x * x for x in v.values())))
-        for i, (name, v) in enumerate(vectors.items()) for t, w in v.items()
+        (i, name, t, w / math.sqrt(sum(x * x for x in v.values())))
+        for i, ((name, _), v) in enumerate(vectors.items()) for t, w in v.items()
     ]
-    weights = spark.createDataFrame(rows, "template int, license string, term string, idf double, weight double")
+    weights = spark.createDataFrame(rows, "template int, license string, term string, weight double")
     cue = "(?i)(?<![a-z0-9])(" + "|".join(sorted(needed)) + ")(?![a-z0-9])"
     # The cue is searched in the whole text first, so that only files that have it are cut into statements.
     stated = (
@@ -92,18 +139,17 @@ def own_licences(files: DataFrame, path_col: str, text_col: str, templates: dict
         .select(F.col(path_col).alias("path"), F.xxhash64(text_col).alias("text_key"), F.posexplode(statements(F.col(text_col))).alias("pos", "s"))
         .filter(F.col("s").rlike(cue))
     )
-    term_counts = (
+    term_counts = checkpointed(
         stated.select("path", "text_key", "pos", F.explode(terms(F.col("s"))).alias("term"))
-        .filter(F.col("term").isin(vocabulary))
         .groupBy("path", "text_key", "pos", "term").agg(F.count("*").alias("n"))
     )
+    idfs = checkpointed(term_weights(files, text_col, checkpointed(term_counts.select("term").distinct()), n_files))
+    weighed = term_counts.join(idfs, "term").withColumn("w", F.col("n") * F.col("idf"))
     # Repeated rows double every count and leave the cosine as it is.
-    scored = term_counts.join(F.broadcast(weights), "term").groupBy("path", "text_key", "pos", "template", "license").agg(
-        F.sum(F.col("n") * F.col("idf") * F.col("weight")).alias("dot")
-    )
-    norms = term_counts.join(F.broadcast(weights.select("term", "idf").distinct()), "term").groupBy("path", "text_key", "pos").agg(
-        F.sqrt(F.sum((F.col("n") * F.col("idf")) ** 2)).alias("norm")
+    scored = weighed.join(F.broadcast(weights), "term").groupBy("path", "text_key", "pos", "template", "license").agg(
+        F.sum(F.col("w") * F.col("weight")).alias("dot")
     )
+    norms = weighed.groupBy("path", "text_key", "pos").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
     return (
         scored.join(norms, ["path", "text_key", "pos"]).withColumn("score", cosine).filter(F.col("score") >= threshold)

@@ -94,6 +94,21 @@ def test_licenses(docs, none):
     assert licenses.scan_licenses(none.withColumn("path", F.lit("a"))).collect() == []
 
 
+def test_licenses_weigh_all_words(spark):
+    grant = licenses.TEMPLATES["MIT"].split("\n")[-1].split()
+    wrapped = "\n".join(" * " + " ".join(grant[i : i + 9]) for i in range(0, len(grant), 9))
+    texts = [
+        ("The seats were all reserved.", None), ("Equal rights for all citizens.", None), ("Researchers at MIT released a new model of the brain.", None),
+        ("All rights of minorities were reserved by an act of parliament in 1920.", None),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("GNU Lesser General Public License, version 3", "LGPL-3.0"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+        (f"/*\n * Copyright 2020 someone\n *\n{wrapped}\n *\n */\ncode", "MIT"), ("All rights reserved.", "Proprietary"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ]
+    files = spark.createDataFrame([(f"{i}/a.txt", t) for i, (t, _) in enumerate(texts)], "path string, text string")
+    got = {r.path: r.license for r in licenses.scan_licenses(files).collect()}
+    assert got == {f"{i}/a.txt": want for i, (_, want) in enumerate(texts)}
+
+
 def test_urls(spark):
     rows = [(1, None), (2, ""), (3, "no scheme/x"), (4, "http://A.Example.ORG"), (5, "http://a.example.org/es/?q"), (6, "x://" + "y" * 5000 + ".org/"),
             (7, "http://casino-win.example.net/a"), (7, "http://casino-win.example.net/a"), (8, "http://x.com/casino-win"), (9, "é://münchen.org/ü#f")]

@@ -19,8 +19,9 @@ Scores are integer inner products, exact: in float64 while no sum can reach 2**5
 Python integers beyond.  Defined results: null vectors, vectors with null or non-finite
 components, and null ids take no part; vectors of different lengths are never compared;
 ties go to the smaller id; a query is never its own answer (by id); repeated rows of a
-query id are asked once each and answered together; fewer than k candidates give fewer
-rows; other columns take no part.
+query id are asked once each and answered together; equal answers count once, so a
+repeated row takes one place, and an id of several vectors one for each score; fewer than
+k such answers give fewer rows; other columns take no part.
 """
 
 from __future__ import annotations
@@ -102,10 +103,10 @@ class CoverTree:
 
 
 class Best:
-    """The k best (score, id) of each query so far: scores descending, ids ascending."""
+    """The k best distinct (score, id) of each query so far: scores descending, ids ascending."""
 
-    def __init__(self, n: int, k: int, floor: np.ndarray) -> None:
-        self.k, self.floor = k, floor
+    def __init__(self, n: int, k: int, floor: np.ndarray, unique: bool = False) -> None:
+        self.k, self.floor, self.unique = k, floor, unique
         self.scores = np.full((n, k), -np.inf)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
 
@@ -118,18 +119,23 @@ class Best:
         reach = (scores >= least[:, None]) & (scores > -np.inf)
         for i in np.flatnonzero(reach.any(axis=1)):
             row, at = rows[i], np.flatnonzero(reach[i])
-            if len(at) > 4 * self.k:  # the k best and all that tie with the last of them
+            if self.unique and len(at) > 4 * self.k:  # the k best and all that tie with the last of them
                 values = scores[i, at]
                 at = at[values >= np.partition(values, len(values) - self.k)[-self.k]]
             all_scores = np.append(self.scores[row], scores[i, at])
             all_ids = np.append(self.ids[row], ids[at])
-            best = np.lexsort((all_ids, -all_scores))[: self.k]
+            best = np.lexsort((all_ids, -all_scores))
+            if not self.unique:
+                s, i = all_scores[best], all_ids[best]
+                # Empty places are kept, so that k are left.
+                best = best[np.append(True, (s[1:] != s[:-1]) | (i[1:] != i[:-1])) | (s == -np.inf)]
+            best = best[: self.k]
             self.scores[row], self.ids[row] = all_scores[best], all_ids[best]
 
 
 def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, k: int, floor: np.ndarray) -> Best:
     """The k best data points of each query that reach the query's floor."""
-    best = Best(len(query_ids), k, floor)
+    best = Best(len(query_ids), k, floor, len(np.unique(data_ids)) == len(data_ids))
     if not len(query_ids) or not len(data_ids):
         return best
 
@@ -218,7 +224,7 @@ def _wide_scores(q: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.nd
     out: list[tuple[int, int, int]] = []
     for row, me in zip(q, query_ids.tolist()):
         mine = [int(c) for c in row]
-        scored = ((sum(a * b for a, b in zip(mine, other)), -i) for other, i in zip(wide, ids.tolist()) if i != me)
+        scored = {(sum(a * b for a, b in zip(mine, other)), -i) for other, i in zip(wide, ids.tolist()) if i != me}
         out += [(me, -i, s) for s, i in heapq.nlargest(k, scored)]
     return tuple(np.array([r[c] for r in out], np.int64) for c in range(3))
 
@@ -278,7 +284,7 @@ def exact_top_k(
     low = F.lit(float("-inf"))
     near = searched(asked.join(F.broadcast(own), ["dim", "cell"]).withColumn("floor", low))
     by_rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = near.withColumn("r", F.row_number().over(by_rank)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+    kth = near.distinct().withColumn("r", F.row_number().over(by_rank)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
     floored = checkpointed(asked.join(kth, "id", "left").withColumn("floor", F.coalesce("floor", low)))
 
     # Shards that may hold a better one than the block's worst k-th score.

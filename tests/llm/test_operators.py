@@ -94,6 +94,26 @@ def test_top_k_in_many_shards(spark, shard, block):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("shard,block", [(4096, 512), (40, 3)])
+@pytest.mark.parametrize("scale", [256.0, 1e8])
+def test_top_k_with_repeated_ids(spark, shard, block, scale):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(90, 4)), 1)
+    rows = [(i, v) for i, v in enumerate(x)] + [(i, x[i]) for i in range(0, 90, 7)]  # queries twice
+    long = sorted(range(90), key=lambda i: -np.abs(x[i]).sum())[:12]
+    rows += [(i, x[i]) for i in long for _ in range(6)]  # the best candidates, often
+    rows += [(i, x[(i + 1) % 90]) for i in range(0, 90, 14)]  # two vectors of one id
+    answers = defaultdict(set)
+    q = [(i, [int(np.floor(c * scale)) for c in v]) for i, v in rows]
+    for i, a in q:
+        if i % 7 == 0:
+            answers[i] |= {(-sum(s * t for s, t in zip(a, b)), j) for j, b in q if j != i}
+    want = [(i, r + 1, j, -s) for i in sorted(answers) for r, (s, j) in enumerate(sorted(answers[i])[:5])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(df, F.col("vec_id") % 7 == 0, 5, scale=scale, shard=shard, query_block=block)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_glob_automaton_equals_regex():
     import re
 

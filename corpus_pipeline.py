@@ -33,12 +33,28 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
-    found = checkpointed(jaccard.near_duplicates(docs, k=5, num=80, den=100))
-    others = found.filter("component_id <> id").select("id").distinct()
-    kept = jaccard.keep_ids(docs.withColumn("id", F.col("doc_id")), others, "left_anti").drop("id")
-    if found.groupBy("id").count().filter("count > 1 AND id IS NOT NULL").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+    """One document, that of the smallest id, of each group of near duplicates.
+
+    A document is an id and a text: rows of one id that hold different texts are compared as
+    any others, and of rows that agree in both the one of the smallest other columns stays.
+    Rows without an id take no part and stay.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], key.alias("id"))
+    found = checkpointed(jaccard.near_duplicates(keyed.filter("id IS NOT NULL"), id_col="id", k=5, num=80, den=100))
+    linked = found.filter("component_id <> id").select("id", "component_id")
+    heads = linked.select(F.col("component_id").alias("id"), "component_id")
+    members = checkpointed(linked.unionByName(heads).distinct())
+    told = jaccard.keep_ids(keyed.select("id", "doc_id"), members.select("id"), "left_semi").distinct().join(members, "id")
+    first = told.groupBy("component_id").agg(F.min(F.struct("doc_id", "id")).alias("first"))
+    others = checkpointed(members.join(first, "component_id").filter("id <> first.id").select("id"))
+    kept = jaccard.keep_ids(keyed, others, "left_anti")
+    repeated = found.groupBy("id").count().filter("count > 1").select("id").join(others, "id", "left_anti")
+    repeated = checkpointed(repeated)
+    if repeated.limit(1).count():
+        again = jaccard.keep_ids(kept, repeated, "left_semi")
+        one = again.groupBy("id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("id", "row.*")
+        kept = jaccard.keep_ids(kept, repeated, "left_anti").unionByName(one)
     return kept.select(*docs.columns)
 
 

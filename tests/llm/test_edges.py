@@ -151,6 +151,33 @@ def test_jaccard_one_id_of_several_texts(spark):
     assert {(r.id, r.component_id) for r in jaccard.near_duplicates(df).collect()} == {(2, 2), (5, 2), (9, 2)}
 
 
+def test_one_of_each_group_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(40)]
+    near, far = " ".join(base[:39] + ["x"]), " ".join(f"v{i}" for i in range(30))
+    text = " ".join(base)
+    rows = [
+        (7, text, "en", "a", 1), (7, text, "en", "b", 1), (7, far, "en", "a", 1), (9, near, "en", "a", 1), (8, "alone in the world of words", "fr", "a", 1),
+        (5, near, "en", "c", 1), (11, far, "de", "a", 1), (12, "", "en", "a", 0), (13, "", "en", "a", 0), (14, None, "en", "a", None), (14, None, "en", "a", None),
+        (None, text, "en", "a", 1), (None, text, "en", "a", 1), (None, "another text", "en", "a", 1),
+    ]
+    sets = {t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for t in (text, near, far)}
+    label = lambda t: next((n for n in (text, far) if t in sets and sets[t] and len(sets[t] & sets[n]) >= 0.8 * len(sets[t] | sets[n])), None)
+    want, seen, done = [r for r in rows if r[0] is None], set(), set()
+    for r in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], str(r[1]), r[3])):
+        group = label(r[1])
+        if (r[0], r[1]) not in done and (group is None or group not in seen):
+            want.append(r)
+        done.add((r[0], r[1]))
+        seen.add(group)
+    df = spark.createDataFrame(rows, DOC)
+    for turn in (df, df.orderBy(F.desc("source"), F.desc("doc_id"))):
+        got = corpus_pipeline.keep_one_of_each_group(spark, turn, "")
+        assert got.dtypes == df.dtypes
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_bpe(docs, none, ranks):
     got = bpe.encode_digests(clashing(docs, "row", "offset", "ids"), ranks, public_tokenizers.PATTERN).collect()
     want = sorted((str(r[0]), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in ROWS)

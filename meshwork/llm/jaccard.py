@@ -20,9 +20,13 @@ Documents of equal sets are one class from the start.  Pairs of a posting list a
 never made as rows: every document belongs to the cluster of the most central document
 that most of its lists name, and visits other clusters with which it shares enough
 prefix shingles, sizes and places allowing.  Members and visitors of a cluster are
-compared on their whole sets by blocked products of incidence matrices, and only links
-that join components of a block are passed on.  So rows grow with the documents, not
-with the square of a group, and no link between components is lost.
+compared on their whole sets by blocked products of incidence matrices; every link is
+counted, and those that join components of a block are passed on.  Large clusters are
+cut by distance from their leader, and only pairs of blocks whose links the triangle
+inequality leaves open are compared.  So a group of near copies around one text takes
+rows in proportion to its size.  A large cluster whose members are far from its leader
+takes a copy of each set per block of ``MEMBERS`` that it may be linked with: counting
+the links of unlike sets exactly needs these comparisons.
 
 Shingles travel in packed arrays, one per block of documents and bucket of hashes,
 already merged within the block, so that a shingle of all documents costs one entry
@@ -30,7 +34,8 @@ per block.  Nothing is collected; sets of ids are broadcast up to ``BROADCAST_ID
 rows and joined by a shuffle beyond.
 
 Defined results: null texts are empty; a null id is returned with a null component and
-takes no part; rows of one id are one document with several texts, linked if any is;
+takes no part (its number of links too is null); rows of one id are one document with several
+texts, linked if any is, and the links of its texts are added up;
 other columns take no part, whatever they are called; an empty table gives none.
 """
 
@@ -41,6 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,42 +63,30 @@ MOST_MATCHES = 8
 VERIFY_COST = 16.0
 #: Members and shingles of one block of a cluster, and visitors compared at a time.
 MEMBERS, MEMBER_SHINGLES, VISITORS = 1024, 1 << 19, 64
+#: Parts of the greatest distance of a link, by which the blocks of a large cluster are told apart.
+BANDS = 8
 #: Shingles that so many members of a block have are compared by a dense product.
 DENSE = 64
 
-_TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_upto(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << int(n).bit_length()
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=np.uint64)
-    return _powers
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's k-word shingles; A-Z count as a-z."""
+    """Sorted distinct hashes of a text's k-word shingles; A-Z count as a-z.
+
+    Every word is hashed by itself, and the hashes of k words in a row are then mixed one
+    after the other, so that no repetitive form of a word makes two shingles alike.
+    """
     words = (text or "").encode().lower().split()  # bytes: ASCII case and blanks alone
     if not words:
         return np.zeros(0, np.uint64)
-    joined = np.frombuffer(b" ".join(words), np.uint8)
-    powers, inverse = _powers_upto(len(joined) + 1)
-    prefix = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_TABLE[joined] * powers[: len(joined)], dtype=np.uint64, out=prefix[1:])
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     k = min(k, len(words))
-    first, last = starts[: len(words) - k + 1], ends[k - 1 :]
-    h = (prefix[last] - prefix[first]) * inverse[first]
+    many = len(words) - k + 1
+    h = np.full(many, k, np.uint64)
+    for j in range(k):
+        h = (h ^ (h >> np.uint64(29))) * _STEP + hashes[j : j + many]
     h ^= h >> np.uint64(31)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
     h *= np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(32)
     return np.unique(h)
@@ -402,8 +396,9 @@ def visits(p: DataFrame, homes: DataFrame, num: int, den: int) -> DataFrame:
 class _Members:
     """An index of one block's sets that counts intersections with other sets."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
-        self.ids = np.array(ids, np.int64)
+    def __init__(self, ids: list[int], sets: list[np.ndarray], weights: np.ndarray) -> None:
+        self.ids, self.weights = np.array(ids, np.int64), weights
+        self.met = np.zeros(len(ids), np.int64)  # rows among visitors that a member is linked with
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.label = np.arange(len(ids))
         h = np.concatenate(sets)
@@ -437,11 +432,16 @@ class _Members:
         out += np.bincount(np.repeat(who, many) * width + self.owner[flat], minlength=len(sets) * width).reshape(len(sets), width)
         return out
 
-    def links(self, ids: list[int], sets: list[np.ndarray], num: int, den: int, own: np.ndarray | None = None) -> list[tuple[int, int]]:
-        """Links of these documents that join what was apart; ``own``: their places, if members."""
+    def links(self, ids: list[int], sets: list[np.ndarray], weights: np.ndarray, num: int, den: int, own: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Links of these documents that join what was apart, and how many rows each is linked
+        with here; ``own``: their places, if they are members."""
         both = self.intersections(sets)
         sizes = np.array([len(s) for s in sets], np.int64)
         linked = den * both >= num * (sizes[:, None] + self.sizes[None, :] - both)
+        if own is not None:
+            linked[np.arange(len(own)), own] = False
+        else:
+            self.met += weights @ linked
         out = []
         for i in np.flatnonzero(linked.any(axis=1)):
             to = np.flatnonzero(linked[i])
@@ -451,17 +451,13 @@ class _Members:
             low = labels[0] if own is None else min(mine, labels[0])
             joined = np.isin(self.label, labels if own is None else np.append(labels, mine))
             self.label[joined] = low
-        return [(a, b) for a, b in out if a != b]
+        return [(a, b) for a, b in out if a != b], linked @ self.weights
 
 
-def compared(homes: DataFrame, away: DataFrame, sizes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links ``x, y`` of members and visitors of all clusters, enough to join what is linked.
-
-    ``sizes`` is ``id, n``; clusters are cut into blocks of a bounded size, and a member
-    visits the blocks before its own.
-    """
+def single_sets(sets: DataFrame) -> DataFrame:
+    """``id, set`` of every document in blocks of sets."""
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 ids, sizes, h, _ = _unpack(batch.slice(at, 1).to_pylist()[0])
@@ -470,54 +466,156 @@ def compared(homes: DataFrame, away: DataFrame, sizes: DataFrame, sets: DataFram
                     rows = [(int(i), h[e - n : e].tobytes()) for i, n, e in zip(ids[s : s + 1024], sizes[s : s + 1024], ends[s : s + 1024])]
                     yield _batch(["id", "set"], [pa.int64(), pa.binary()], rows)
 
+    return sets.mapInArrow(released(run), "id long, set binary")
+
+
+def _blocks(many, shingles):
+    return F.ceil(F.greatest(many / MEMBERS, shingles / MEMBER_SHINGLES))
+
+
+def _with_few(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    few = other.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(other) if few else other, on)
+
+
+def banded(members: DataFrame, shape: DataFrame, each: DataFrame, num: int, den: int) -> DataFrame:
+    """Members and visitors of large clusters with their sets and the band of their distance from
+    the cluster's leader: band b holds distances of more than b and of at most b + 1 of the
+    ``BANDS`` equal parts of the greatest distance of a link, told apart in whole numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, kind, ids, held, index = None, None, [], [], None
-
-        def settle() -> list[tuple[int, int]]:
-            """Deal with what is held: a whole block of members, or some visitors."""
-            nonlocal index, ids, held
-            out: list[tuple[int, int]] = []
-            if held and kind == 0:
-                index = _Members(ids, held)
-                for at in range(0, len(ids), VISITORS):
-                    own = np.arange(at, min(at + VISITORS, len(ids)))
-                    out += index.links(ids[at : at + VISITORS], held[at : at + VISITORS], num, den, own)
+        names = ["id", "cluster", "kind", "n", "weight", "band", "set"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        part, leader, leads, last = None, b"", np.zeros(0, np.uint64), None
+        for batch in batches:
+            out = []
+            for row in (r for at in range(0, batch.num_rows, 128) for r in batch.slice(at, 128).to_pylist()):
+                this = (row["cluster"], row["part"])
+                if this != part:
+                    part, leader, last = this, b"", None
+                if row["kind"] < 0:
+                    # A leader of several texts: the same one of them in all parts.
+                    leader = min(leader, row["set"]) if leader else row["set"]
+                    leads = _u64(leader)
+                    continue
+                if last == (last := (row["id"], row["set"])):
+                    continue  # a repeated row
+                mine = _u64(row["set"])
+                at = np.minimum(np.searchsorted(leads, mine), len(leads) - 1)
+                both = int((leads[at] == mine).sum())
+                union = len(mine) + len(leads) - both
+                apart, most = BANDS * (union - both) * den, union * (den - num)
+                band = max(0, -(-apart // most) - 1) if most else (BANDS << 8 if apart else 0)
+                out.append((row["id"], row["cluster"], row["kind"], len(mine), row["weight"], band, row["set"]))
+            yield _batch(names, kinds, out)
+
+    parts = shape.select("cluster", _blocks(F.col("many"), F.col("shingles")).alias("parts"))
+    rows = members.join(parts, "cluster").select("cluster", F.pmod(F.xxhash64("id"), "parts").alias("part"), "kind", "id", "weight")
+    leaders = parts.select(
+        "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(-1).alias("kind"), F.col("cluster").alias("id"), F.lit(0).cast("long").alias("weight")
+    )
+    return (
+        rows.unionByName(leaders).join(each, "id").repartition("cluster", "part").sortWithinPartitions("cluster", "part", "kind", "id", "set")
+        .mapInArrow(released(run), "id long, cluster long, kind int, n long, weight long, band int, set binary")
+    )
+
+
+def compared(homes: DataFrame, away: DataFrame, sizes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows ``x, y, links``: links of x and y, enough to join what is linked (no number), and
+    numbers of rows that x is linked with, to be added up (no y).
+
+    ``sizes`` is ``id, n, weight``: shingles, and rows of that set.  A cluster of up to
+    ``MEMBERS`` documents is one task.  A larger one is cut into blocks by distance from its
+    leader.  The distance ``1 - |x & y| / |x | y|`` obeys the triangle inequality, so all pairs of
+    two blocks are linked if their distances add up to no more than the greatest of a link, and
+    none if they differ by as much; only pairs of other blocks are compared, each in its own task.
+    A group of near copies, whose sets lie within half that distance of one of them, is so
+    counted without comparing its members; each set is copied once for each block that it
+    has to be compared with.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, role, held, index, last = None, None, [], None, None
+        names, kinds = ["x", "y", "links"], [pa.int64(), pa.int64(), pa.int64()]
+
+        def settle(ends: bool) -> list[tuple]:
+            """Deal with what is held: a whole block of members (roles 0 and 1), or some visitors."""
+            nonlocal index, held
+            out: list[tuple] = []
+            ids, mine, weights = [h[0] for h in held], [h[1] for h in held], np.array([h[2] for h in held], np.int64)
+
+            def told(start: int, stop: int, own: np.ndarray | None) -> None:
+                pairs, many = index.links(ids[start:stop], mine[start:stop], weights[start:stop], num, den, own)
+                out.extend((a, b, None) for a, b in pairs)
+                out.extend((i, None, int(n)) for i, n in zip(ids[start:stop], many) if n)
+
+            if held and role < 2:
+                index = _Members(ids, mine, weights)
+                for at in range(0, len(ids) if role == 0 else 0, VISITORS):
+                    told(at, at + VISITORS, np.arange(at, min(at + VISITORS, len(ids))))
             elif held and index is not None:
-                out += index.links(ids, held, num, den)
-            ids, held = [], []
+                told(0, len(ids), None)
+            if ends and index is not None:
+                out += [(int(i), None, int(n)) for i, n in zip(index.ids, index.met) if n]
+                index = None
+            held = []
             return out
 
         for batch in batches:
-            links: list[tuple[int, int]] = []
+            rows: list[tuple] = []
             for row in (r for at in range(0, batch.num_rows, 128) for r in batch.slice(at, 128).to_pylist()):
-                this = (row["cluster"], row["block"])
-                if this != key or row["kind"] != kind or (kind == 1 and len(held) == VISITORS):
-                    links += settle()
-                    if this != key:
-                        index = None
-                    key, kind = this, row["kind"]
-                ids.append(row["id"])
-                held.append(_u64(row["set"]))
-            yield _batch(["x", "y"], [pa.int64(), pa.int64()], links)
-        yield _batch(["x", "y"], [pa.int64(), pa.int64()], settle())
-
-    members = homes.join(sizes, "id")
-    guests = away.groupBy("cluster").agg(F.count("*").alias("guests"))
-    shape = (
-        members.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"))
-        .join(guests, "cluster", "left").filter("many > 1 OR guests > 0")
-        .select("cluster", F.ceil(F.greatest(F.col("many") / MEMBERS, F.col("shingles") / MEMBER_SHINGLES)).alias("blocks"))
+                this = (row["cluster"], row["task"])
+                if this != key or row["role"] != role or (role == 2 and len(held) == VISITORS):
+                    rows += settle(this != key)
+                    key, role = this, row["role"]
+                if last != (last := (this, role, row["id"], row["set"])):  # a repeated row counts once
+                    held.append((row["id"], _u64(row["set"]), row["weight"]))
+            yield _batch(names, kinds, rows)
+        yield _batch(names, kinds, settle(True))
+
+    met = homes.withColumn("kind", F.lit(0)).unionByName(away.withColumn("kind", F.lit(1)))
+    members = checkpointed(met.join(sizes, "id").select("id", "cluster", "kind", "n", "weight"))
+    shape = members.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("n").alias("shingles")).filter("many > 1")
+    large = (F.col("many") > MEMBERS) | (F.col("shingles") > MEMBER_SHINGLES)
+    shape = checkpointed(shape.withColumn("large", large & (F.col("many") > 2)))
+    each = single_sets(sets)
+    small = members.join(shape.filter("NOT large"), "cluster").select("id", "cluster", "weight", F.lit("").alias("task"), (2 * F.col("kind")).alias("role")).join(each, "id")
+
+    apart = checkpointed(banded(members, shape.filter("large"), each, num, den))
+    place = ["cluster", "kind", "band"]
+    bands = checkpointed(apart.groupBy(*place).agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"), F.sum("weight").alias("rows")))
+    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("kind", "band", "blocks", "rows")]
+    pairs = bands.filter("kind = 0").select("cluster", *side("a")).join(bands.select("cluster", *side("b")), "cluster")
+    sure = F.expr(f"a_band + b_band + 2 <= {BANDS}")
+    never = F.expr(f"abs(a_band - b_band) - 1 >= {BANDS}")
+    numbered = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    todo = (
+        pairs.filter(~sure & ~never & F.expr("b_kind = 1 OR a_band <= b_band"))
+        .withColumn("a_block", numbered("a_blocks")).withColumn("b_block", numbered("b_blocks"))
+        .withColumn("same", F.expr("b_kind = 0 AND a_band = b_band AND a_block = b_block"))
+        .filter("same OR b_kind = 1 OR a_band < b_band OR a_block < b_block")
+        .withColumn("task", F.concat_ws(" ", "a_band", "a_block", "b_kind", "b_band", "b_block"))
     )
-    shape = checkpointed(shape)
-    placed = homes.join(shape, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    before = placed.filter("block > 0").select("id", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("block"))
-    every = away.join(shape, "cluster").select("id", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    tasks = placed.select("id", "cluster", "block", F.lit(0).alias("kind")).unionByName(before.unionByName(every).select("id", "cluster", "block", F.lit(1).alias("kind")))
-    each = sets.mapInArrow(released(single), "id long, set binary")
-    return (
-        tasks.join(each, "id").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "kind")
-        .mapInArrow(released(run), "x long, y long").distinct()
+    seat = lambda name, role: ["cluster", *[F.col(f"{name}_{c}").alias(c) for c in ("kind", "band", "block")], "task", role.alias("role")]
+    seats = todo.select(seat("a", F.when(F.col("same"), 0).otherwise(1))).unionByName(todo.filter("NOT same").select(seat("b", F.lit(2))))
+    placed = _with_few(apart, bands.select(*place, "blocks"), place).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), "blocks"))
+    far = placed.join(seats, [*place, "block"]).select("id", "cluster", "weight", "task", "role", "set")
+    found = (
+        small.unionByName(far).repartition("cluster", "task").sortWithinPartitions("cluster", "task", "role", "id", "set")
+        .mapInArrow(released(run), "x long, y long, links long")
+    )
+
+    # What needs no comparison: whole bands, and the leader with all that are near enough.
+    own = F.expr(f"CASE WHEN kind = 0 AND 2 * band + 2 <= {BANDS} THEN weight ELSE 0 END")
+    whole = pairs.filter(sure)
+    whole = (
+        whole.select("cluster", *[F.col(f"a_{c}").alias(c) for c in ("kind", "band")], F.col("b_rows").alias("sure"))
+        .unionByName(whole.filter("b_kind = 1").select("cluster", *[F.col(f"b_{c}").alias(c) for c in ("kind", "band")], F.col("a_rows").alias("sure")))
+        .groupBy(*place).agg(F.sum("sure").alias("sure"))
     )
+    counted = _with_few(apart.drop("set"), checkpointed(whole), place).select(F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), (F.col("sure") - own).alias("links"))
+    led = apart.filter((F.col("band") < BANDS) & (F.col("id") != F.col("cluster"))).select(F.col("cluster").alias("x"), F.col("id").alias("y"), F.lit(None).cast("long").alias("links"))
+    return found.unionByName(counted.filter("links > 0")).unionByName(led)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -543,14 +641,15 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
-    """``id, n_shingles, component_id`` per row: the smallest id that links reach, its own included."""
+    """``id, n_shingles, component_id, n_links`` per row: the smallest id that links reach, its own
+    included, and the number of other rows that the row is linked with."""
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(8, -(-size // BUCKET_BYTES)))
     meta = checkpointed(document_sets(rows, k))
     full = meta.filter("id IS NOT NULL AND n > 0")
     classes = full.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("many"))
-    copies = checkpointed(classes.filter("many > 1").select("sig", "rep"))
+    copies = checkpointed(classes.filter("many > 1"))
     heads = copies.select(F.col("rep").alias("id")).distinct()
     # Rows that only repeat another's set; ids that also stand for a set of their own stay.
     repeats = full.join(copies, "sig").filter("id <> rep").select("id").distinct().join(heads, "id", "left_anti")
@@ -561,15 +660,20 @@ def near_duplicates(
     entries = checkpointed(postings(sets, num, den, buckets))
     homes = checkpointed(clusters(entries))
     away = checkpointed(visits(entries, homes, num, den))
-    links = compared(homes, away, entries.groupBy("id").agg(F.max("n").alias("n")), sets, num, den)
+    heavy = copies.groupBy(F.col("rep").alias("id")).agg(F.sum("many").alias("many"))
+    sizes = entries.groupBy("id").agg(F.max("n").alias("n")).join(heavy, "id", "left")
+    told = checkpointed(compared(homes, away, sizes.select("id", F.col("n").cast("long").alias("n"), F.coalesce("many", F.lit(1).cast("long")).alias("weight")), sets, num, den))
+    links = told.filter("y IS NOT NULL").select("x", "y").distinct()
+    counts = told.filter("links IS NOT NULL").groupBy(F.col("x").alias("counted")).agg(F.sum("links").alias("links"))
     # An id of several texts joins the classes of all of them; other copies hang on their class's smallest id.
     bridges = full.join(copies, "sig").filter("id <> rep").join(alone, "id", "left_semi").select(F.col("id").alias("x"), F.col("rep").alias("y"))
     between = checkpointed(links.unionByName(bridges))
-    final = components(between)
+    final = components(between).join(counts, F.col("node") == F.col("counted"), "left")
     shown = (
         meta.join(copies, "sig", "left")
         .withColumn("head", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")))
     )
+    others = F.when(F.col("id").isNotNull(), F.coalesce(F.col("many") - 1, F.lit(0)) + F.coalesce("links", F.lit(0)))
     return shown.join(final, F.col("head") == F.col("node"), "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("label", "head").alias("component_id")
+        "id", F.col("n").alias("n_shingles"), F.coalesce("label", "head").alias("component_id"), others.alias("n_links")
     )

@@ -2,18 +2,22 @@
 
 A line's tokens are its runs without blanks; tokens with a digit are variable and
 become ``<*>``.  The tree has a fixed depth: the token count, then the first
-``LEADING`` tokens.  The rest of a line is cut into ``SEGMENTS`` runs of tokens, so
-that lines of one leaf are compared place by place.  Each leaf's template is the
-line found in most documents (ties: the first one); a line of the leaf that agrees
-with it in at least ``AGREE`` of the filled places belongs to that template, the
-places where they differ being its variable fields.  Any other line is a template of
-its own.  A template found in ``MIN_DOCS`` documents or more is recurring, and its
-lines are dropped from all documents but the first (smallest id, null first).
+``LEADING`` tokens.  The rest of a line is cut into ``SEGMENTS`` runs of tokens, its
+places.  A template of a leaf fixes all filled places but a quarter of them, which are
+its variable fields; a leaf has as many templates as its lines give, and a line belongs
+to all that it fits.  So any two lines that agree in ``AGREE`` of the filled places
+share a template, in whatever company.  A template found in ``MIN_DOCS`` documents is
+recurring, for lines of more than ``LONG`` tokens in ``MIN_DOCS_LONG``: that two
+documents share a whole passage is no chance.  A line stays in the first document of its
+recurring templates (smallest id, null first) and is dropped from all others.
 
 Lines of fewer than ``MIN_TOKENS`` tokens, or without two constant tokens, say too
 little to be a template; they and blank lines are always kept.
 
 Lines are keyed by their leaf first; only leaves of enough documents are cut into places.
+Of these, only lines that share every place of one third with others can share a template
+(at most two places vary, so one third is free of them), and only they are given its keys.
+Lines are told apart by two 64-bit hashes, of the leaf and of the line.
 
 Defined results: a null text stays null and has no lines; an empty one has one line;
 rows of one id are one document, and null ids another; columns other than the two named
@@ -22,6 +26,8 @@ ones take no part, whatever they are called.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +35,7 @@ from .common import checkpointed, without
 
 LEADING, SEGMENTS, AGREE = 3, 8, 0.75
 MIN_DOCS, MIN_TOKENS = 3, 4
+LONG, MIN_DOCS_LONG = 50, 2
 BLANKS = r" \t\r\x0B\f"
 VARIABLE = "<*>"
 #: Sets of more leaves than this are joined by a shuffle instead of a broadcast.
@@ -54,7 +61,7 @@ def masked_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", "(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", VARIABLE)).otherwise(F.col("text"))
     lines = plain.select("id", "doc", masked.alias("text")).select("id", "doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.withColumn("n", _tokens()).filter(F.col("n") >= MIN_TOKENS).select(
-        "id", "doc", "pos", F.xxhash64("n", F.substring_index("line", " ", LEADING)).alias("leaf"), "line"
+        "id", "doc", "pos", "n", F.xxhash64("n", F.substring_index("line", " ", LEADING)).alias("leaf"), "line"
     )
 
 
@@ -63,50 +70,71 @@ def _tokens():
 
 
 def parse_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int) -> DataFrame:
-    """Lines of leaves that enough documents may share: ``id, doc, pos, leaf, line`` (a hash), ``filled, p0, p1, ...``."""
+    """Lines of leaves that enough documents may share: ``id, doc, pos, leaf, line`` (a hash),
+    ``need`` (the documents of a recurring template), ``filled, p0, p1, ...``."""
     lines = masked_lines(docs, id_col, text_col)
-    shared = lines.groupBy("leaf").agg(F.count("*").alias("many"), F.min("id").alias("low"), F.max("id").alias("high"))
-    shared = checkpointed(shared.filter((F.col("many") >= min_docs) & (F.col("low") < F.col("high"))).select("leaf"))
-    few = shared.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
-    told = lines.join(F.broadcast(shared) if few else shared, "leaf", "left_semi").withColumn("tokens", F.split("line", " "))
-    # Two constant tokens at least; the hash is exact enough to stand for the line.
+    need = F.when(F.col("n") > LONG, F.lit(min(MIN_DOCS_LONG, min_docs))).otherwise(F.lit(min_docs))
+    shared = lines.groupBy("leaf").agg(F.count("*").alias("many"), F.min("id").alias("low"), F.max("id").alias("high"), F.first(need).alias("need"))
+    shared = checkpointed(shared.filter((F.col("many") >= F.col("need")) & (F.col("low") < F.col("high"))).select("leaf"))
+    told = _only(lines, shared, ["leaf"]).withColumn("tokens", F.split("line", " "))
+    # Two constant tokens at least.
     told = told.filter(F.size(F.array_remove("tokens", VARIABLE)) >= 2)
     rest = F.size("tokens") - LEADING
     cut = lambda j: F.floor(F.lit(j) * rest / SEGMENTS).cast("int")
-    places = [F.hash(F.slice("tokens", cut(j) + LEADING + 1, cut(j + 1) - cut(j))).alias(f"p{j}") for j in range(SEGMENTS)]
-    return told.select("id", "doc", "pos", "leaf", F.xxhash64("leaf", "line").alias("line"), F.least(rest, F.lit(SEGMENTS)).alias("filled"), *places)
+    places = [F.xxhash64(F.slice("tokens", cut(j) + LEADING + 1, cut(j + 1) - cut(j))).alias(f"p{j}") for j in range(SEGMENTS)]
+    return told.select("id", "doc", "pos", "leaf", F.xxhash64("line").alias("line"), need.alias("need"), F.least(rest, F.lit(SEGMENTS)).alias("filled"), *places)
+
+
+def _only(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is among ``keys``: by broadcast if these are few."""
+    few = keys.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
 
+def _but(places: list[str], vary: tuple[int, ...]):
+    """A key of all places but some."""
+    return F.xxhash64(F.lit(",".join(map(str, vary))), *[c for j, c in enumerate(places) if j not in vary])
 
-def recurring_lines(parsed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Lines of recurring templates: ``line, keep`` (the document that keeps them)."""
+
+def recurring_lines(parsed: DataFrame) -> DataFrame:
+    """Lines of recurring templates: ``leaf, line, keep`` (the document that keeps them)."""
     places = [f"p{j}" for j in range(SEGMENTS)]
-    told = ["filled", *places]
-    in_docs = parsed.groupBy("leaf", "line", "id").agg(F.min("pos").alias("pos"), *[F.first(c).alias(c) for c in told])
-    variants = checkpointed(in_docs.groupBy("leaf", "line").agg(
-        F.count("*").alias("docs"), F.min("id").alias("low"), F.min(F.struct("id", "pos")).alias("first"), *[F.first(c).alias(c) for c in told]
-    ))
-    best = variants.groupBy("leaf").agg(
-        F.sum("docs").alias("leaf_docs"), F.min_by(F.struct("line", *places), F.struct((-F.col("docs")).alias("less"), "first")).alias("best")
-    ).filter(F.col("leaf_docs") >= min_docs)  # no template of a leaf has more documents than the leaf
-    equal = sum((F.col(c) == F.col(f"best.{c}")).cast("int") for c in places)
-    agrees = (equal - (SEGMENTS - F.col("filled"))) >= AGREE * F.col("filled")
-    grouped = variants.join(best, "leaf").select("line", "docs", "low", F.when(agrees, F.col("best.line")).otherwise(F.col("line")).alias("template"))
-    sums = grouped.groupBy("template").agg(F.sum("docs").alias("docs"), F.count("*").alias("kinds"), F.min("low").alias("keep"))
-    members = grouped.select("line", "template").join(sums.filter(F.col("docs") >= min_docs), "template")
-    # A document may have several lines of one template: those are counted anew.
-    several = members.filter("kinds > 1")
+    told = ["need", "filled", *places]
+    in_docs = parsed.groupBy("leaf", "line", "id").agg(*[F.first(c).alias(c) for c in told])
+    variants = checkpointed(in_docs.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("id").alias("low"), *[F.first(c).alias(c) for c in told]))
+    vary = int((1 - AGREE) * SEGMENTS)
+    # Lines that agree in all but `vary` places agree in all places of one of `vary + 1` parts.
+    parts = F.array(*[F.xxhash64(F.lit(g), *places[g :: vary + 1]) for g in range(vary + 1)])
+    coarse = variants.select("leaf", "line", "docs", "need", F.explode(parts).alias("part"))
+    enough = coarse.groupBy("leaf", "part").agg(F.sum("docs").alias("all"), F.first("need").alias("need")).filter("all >= need")
+    likely = checkpointed(_only(coarse, checkpointed(enough.select("leaf", "part")), ["leaf", "part"]).select("leaf", "line").distinct())
+    keys = F.lit(None)
+    for k in range(vary, -1, -1):  # k places may vary where so many are filled that the rest is enough
+        fits = F.floor((1 - AGREE) * F.col("filled")) == k
+        keys = F.when(fits, F.array(*[_but(places, v) for v in itertools.combinations(range(SEGMENTS), k)])).otherwise(keys)
+    keyed = checkpointed(_only(variants, likely, ["leaf", "line"]).select("leaf", "line", "docs", "low", "need", F.explode(keys).alias("key")))
+    templates = checkpointed(
+        keyed.groupBy("leaf", "key").agg(F.sum("docs").alias("all"), F.max("docs").alias("most"), F.min("low").alias("keep"), F.first("need").alias("need"))
+        .filter("all >= need")
+    )
+    # A document may have several lines of one template: where no line alone is enough, they are counted anew.
+    unsure = templates.filter("most < need")
+    members = keyed.join(unsure.select("leaf", "key"), ["leaf", "key"], "left_semi").select("leaf", "line", "key")
     exact = (
-        parsed.select("line", "id").join(several.select("line", "template"), "line")
-        .groupBy("template", "id").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("exact")).filter(F.col("exact") >= min_docs)
+        parsed.select("leaf", "line", "id").join(members, ["leaf", "line"]).groupBy("leaf", "key", "id").agg(F.lit(1).alias("one"))
+        .groupBy("leaf", "key").agg(F.count("*").alias("exact"))
+    )
+    sure = templates.filter("most >= need").select("leaf", "key", "keep").unionByName(
+        unsure.join(exact, ["leaf", "key"]).filter("exact >= need").select("leaf", "key", "keep")
     )
-    return members.filter("kinds = 1").select("line", "keep").unionByName(several.join(exact, "template").select("line", "keep"))
+    return keyed.join(sure, ["leaf", "key"]).groupBy("leaf", "line").agg(F.min("keep").alias("keep"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """The input with its text cleaned, and ``n_lines, n_dropped``."""
     parsed = checkpointed(parse_lines(docs.select(id_col, text_col), id_col, text_col, min_docs))
     drops = (
-        parsed.select("id", "doc", "pos", "line").join(recurring_lines(parsed, min_docs), "line").filter("id <> keep")
+        parsed.select("id", "doc", "pos", "leaf", "line").join(recurring_lines(parsed), ["leaf", "line"]).filter("id <> keep")
         .groupBy("id", "doc").agg(F.collect_set("pos").alias("__dropped"))
         .select(F.col("id").alias("__drop_id"), F.col("doc").alias("__drop_doc"), "__dropped")
     )

@@ -71,7 +71,16 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(licence_paths(table(spark, sf_dir, "documents")))
 
 
-SQL_OP4 = r"""
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_STATEMENTS = ",\n  ".join(
+    f"({i}, {_literal(name)}, {_literal(line)})"
+    for i, (name, line) in enumerate((name, line) for name, text in licenses.TEMPLATES.items() for line in text.split("\n"))
+)
+
+SQL_OP4 = rf"""
 WITH files AS (
   SELECT doc_id, text, CASE
     WHEN doc_id % 16 = 0 THEN coalesce(source, 'none') || '/' || (doc_id // 1024) || '/LICENSE.' || doc_id
@@ -79,38 +88,35 @@ WITH files AS (
     ELSE coalesce(source, 'none') || '/' || (doc_id // 1024) || '/' || (doc_id // 128) || '/doc' || doc_id || '.txt' END AS path
   FROM documents
 ), templates(template, license, body) AS (VALUES
-  (0, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
-  (1, 'MIT', 'Released under the MIT License.'),
-  (2, 'GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
-  (3, 'CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
-  (4, 'Proprietary', 'All rights reserved.')
+  {_STATEMENTS}
 ), tterms AS (
   SELECT template, license, term, count(*) AS n
   FROM (SELECT template, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL
 ), held AS (
-  SELECT unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS term FROM files
+  SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS term FROM files) GROUP BY term
 ), idf AS (
-  SELECT v.term, ln((1.0 + (SELECT count(*) FROM files)) / (1 + count(h.term))) + 1 AS idf
-  FROM (SELECT DISTINCT term FROM tterms) v LEFT JOIN held h ON h.term = v.term GROUP BY v.term
+  SELECT term, ln((1.0 + (SELECT count(*) FROM files)) / (1 + coalesce(df, 0))) + 1 AS idf
+  FROM held FULL JOIN (SELECT DISTINCT term FROM tterms) USING (term)
 ), weights AS (
-  SELECT template, license, term, idf, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY template)) AS weight
+  SELECT template, license, term, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY template)) AS weight
   FROM tterms JOIN idf USING (term)
 ), cut AS (
-  SELECT path, string_split(regexp_replace(text, '([.!?])[ 	
-]+', '' || chr(10), 'g'), chr(10)) AS s FROM files
+  SELECT path, string_split(regexp_replace(text, '([.!?])[ \t\r\f]+', '\1' || chr(10), 'g'), chr(10)) AS s,
+         string_split_regex(text, '\n[^A-Za-z0-9\n]*\n') AS paragraphs FROM files
+), pieces AS (
+  SELECT path, s || list_filter(paragraphs, lambda p: NOT list_contains(s, p)) AS s FROM cut
 ), stated AS (
-  SELECT path, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS pos FROM cut
+  SELECT path, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS pos FROM pieces
 ), counts AS (
   SELECT path, pos, term, count(*) AS n
-  FROM (SELECT path, pos, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS term FROM stated)
-  WHERE term IN (SELECT term FROM idf) GROUP BY ALL
+  FROM (SELECT path, pos, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS term FROM stated) GROUP BY ALL
 ), norms AS (
   SELECT path, pos, sqrt(sum((n * idf) * (n * idf))) AS norm FROM counts JOIN idf USING (term) GROUP BY ALL
 ), scored AS (
   SELECT path, pos, template, license, round(sum(n * idf * weight) / max(norm), 6) AS score
-  FROM counts JOIN weights USING (term) JOIN norms USING (path, pos) GROUP BY ALL
+  FROM counts JOIN weights USING (term) JOIN idf USING (term) JOIN norms USING (path, pos) GROUP BY ALL
 ), own AS (
-  SELECT path, license, score FROM scored WHERE score >= 0.6
+  SELECT path, license, score FROM scored WHERE score >= {licenses.THRESHOLD}
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, template, pos) = 1
 ), given AS (
   SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, path AS license_path, license, score FROM own
@@ -152,7 +158,7 @@ WITH split AS (
 )
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN regexp_matches(host, 'adult|ads-track|casino|cheap-pills|free-bets|spam') THEN 'block' ELSE 'allow' END AS verdict
+            WHEN regexp_matches(host, '(^|[.-])(adult|ads-track|casino|cheap-pills|free-bets|spam)([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
 
@@ -249,25 +255,24 @@ WITH cut AS (
     lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
   FROM raw
 ), parsed AS (
-  SELECT doc_id, pos, t, len(t) AS n, len(t) - 3 AS rest, t[1:3] AS lead,
+  SELECT doc_id, pos, t, len(t) AS n, least(len(t) - 3, 8) AS filled, t[1:3] AS lead, CASE WHEN len(t) > 50 THEN 2 ELSE 3 END AS need,
          list_transform(range(8), lambda j: t[CAST(floor(j * (len(t) - 3) / 8) AS BIGINT) + 4 : CAST(floor((j + 1) * (len(t) - 3) / 8) AS BIGINT) + 3]) AS places
   FROM tokens WHERE len(t) >= 4 AND len(list_filter(t, lambda x: x <> '<*>')) >= 2
-), in_docs AS (
-  SELECT n, lead, t, places, rest, doc_id, min(pos) AS pos FROM parsed GROUP BY ALL
 ), variants AS (
-  SELECT n, lead, t, places, rest, count(*) AS docs, min({'doc_id': doc_id, 'pos': pos}) AS first FROM in_docs GROUP BY ALL
-), best AS (
-  SELECT n, lead, t AS best, places AS best_places, sum(docs) OVER (PARTITION BY n, lead) AS leaf_docs FROM variants
-  QUALIFY row_number() OVER (PARTITION BY n, lead ORDER BY docs DESC, first) = 1
+  SELECT DISTINCT n, lead, t, places, filled, need FROM parsed
+), fields(k, vary) AS (
+  SELECT 0, []::BIGINT[] UNION ALL SELECT 1, [i] FROM range(1, 9) r(i)
+  UNION ALL SELECT 2, [i, j] FROM range(1, 9) r(i), range(1, 9) s(j) WHERE i < j
+), fitting AS (
+  SELECT t, n, lead, need, vary, list_transform(range(1, 9), lambda j: CASE WHEN list_contains(vary, j) THEN NULL ELSE places[j] END) AS fixed
+  FROM variants JOIN fields ON k = floor(0.25 * filled)
+), recurring AS (
+  SELECT n, lead, vary, fixed, min(doc_id) AS keep FROM fitting JOIN (SELECT DISTINCT t, doc_id FROM parsed) USING (t)
+  GROUP BY n, lead, vary, fixed HAVING count(DISTINCT doc_id) >= max(need)
 ), grouped AS (
-  SELECT v.t, v.docs, v.first, CASE WHEN
-    len(list_filter(range(1, 9), lambda j: v.places[j] = b.best_places[j])) - (8 - least(rest, 8)) >= 0.75 * least(rest, 8) THEN best ELSE v.t END AS template
-  FROM variants v JOIN best b ON v.n = b.n AND v.lead = b.lead
-), total AS (
-  SELECT template, min({'doc_id': doc_id, 'pos': pos}).doc_id AS keep FROM in_docs JOIN grouped USING (t)
-  GROUP BY template HAVING count(DISTINCT doc_id) >= 3
+  SELECT t, min(keep) AS keep FROM fitting JOIN recurring USING (n, lead, vary, fixed) GROUP BY t
 ), dropped AS (
-  SELECT doc_id, pos FROM parsed JOIN grouped USING (t) JOIN total USING (template) WHERE doc_id <> keep
+  SELECT doc_id, pos FROM parsed JOIN grouped USING (t) WHERE doc_id <> keep
 ), counted AS (
   SELECT doc_id, count(*) AS n FROM dropped GROUP BY doc_id
 ), kept AS (

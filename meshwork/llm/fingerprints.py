@@ -5,23 +5,31 @@ for ``j < i``, modulo two primes.  Any span is hashed from two entries, so spans
 of any two texts are compared in constant time, and the longest common extension
 of two positions is found by binary search over span lengths.
 
-A fingerprint keeps the hash of the whole text and, at geometrically growing
-lengths, the hashes of the leading and of the trailing span.  Two fingerprints
-tell, by binary search over those lengths, how long a prefix and how long a suffix
-their texts share; ``likeness`` is that share of the longer text.
+A fingerprint keeps the hash of the whole text; at geometrically growing lengths, the
+hashes of the leading and of the trailing span; and, of the spans of ``WINDOW`` code
+points at every place of the text, the ``KEPT`` smallest distinct hashes.  All come from
+the prefix arrays.  ``likeness`` of two fingerprints is the greater of two shares: what of
+the longer text is a prefix and a suffix that both have (by binary search over the kept
+lengths), and what both have of the windows of either (exact while all are kept,
+estimated from the smallest hashes beyond).  The first suits a text whose end was
+replaced, the second one that was changed in several places.
+
+Where the arrays of two texts are in hand, ``common_extension`` gives exact lengths;
+each row has those of its text's and the next text's common prefix and suffix.
 
 Defined results: a null text is an empty one; the fingerprint of an empty text is
 that of length 0; two empty texts have likeness 1, an empty and another one 0.
 Rows are ordered by doc_id (null first), ties by text; a row's next document is
 the row after it, the last row's the first one (a single row is its own next).
 Repeated rows count as rows of their own.  Columns other than the two named ones
-take no part, whatever they are called.  A text takes 40 bytes of memory per code
-point while it is in hand.
+take no part, whatever they are called.  A text takes about 50 bytes of memory per code
+point while it is in hand.  Rows of one id are dealt to one task.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -37,8 +45,10 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525011)
 #: Spans are kept at lengths 2**(k / PER_OCTAVE).
 PER_OCTAVE = 4
-#: Rows of one ordered bucket, and the most buckets; a bucket is streamed, not held.
-BUCKET_ROWS, MOST_BUCKETS = 128, 8192
+#: Code points of a window, and windows kept of a text.
+WINDOW, KEPT = 32, 48
+#: Rows of one ordered bucket, and the most buckets (the driver holds their bounds); a bucket is streamed, not held.
+BUCKET_ROWS, MOST_BUCKETS = 128, 65536
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _LENGTHS = np.unique(np.ceil(2 ** (np.arange(0, 32 * PER_OCTAVE) / PER_OCTAVE)).astype(np.int64))
@@ -95,9 +105,13 @@ class PrefixHashes:
     def span_equal(self, start: int, other: PrefixHashes, other_start: int, length: int) -> bool:
         if start + length > self.n or other_start + length > other.n:
             return False
-        mine = self.spans(np.array([start]), np.array([start + length]))
-        theirs = other.spans(np.array([other_start]), np.array([other_start + length]))
-        return bool(mine[0] == theirs[0])
+        powers = _POWERS.upto(max(self.n, other.n))
+        for i, prime in enumerate(PRIMES):
+            mine = int(self.arrays[i][start + length]) - int(self.arrays[i][start])
+            theirs = int(other.arrays[i][other_start + length]) - int(other.arrays[i][other_start])
+            if (mine * int(powers[i][0][other_start]) - theirs * int(powers[i][0][start])) % prime:
+                return False
+        return True
 
     def common_extension(self, start: int, other: PrefixHashes, other_start: int) -> int:
         """Length of the longest common extension of two positions, by binary search."""
@@ -110,6 +124,31 @@ class PrefixHashes:
                 high = mid - 1
         return low
 
+    def common_suffix(self, other: PrefixHashes) -> int:
+        """Length of the longest common suffix, by binary search."""
+        low, high = 0, min(self.n, other.n)
+        while low < high:
+            mid = (low + high + 1) // 2
+            if self.span_equal(self.n - mid, other, other.n - mid, mid):
+                low = mid
+            else:
+                high = mid - 1
+        return low
+
+    @functools.cached_property
+    def windows(self) -> np.ndarray:
+        """Hashes of the windows at all places."""
+        many = max(0, self.n - WINDOW + 1)
+        return self._windows(self.arrays[0][:many], self.arrays[0][WINDOW : WINDOW + many], slice(0, many))
+
+    def _windows(self, before: np.ndarray, after: np.ndarray, starts: slice | np.ndarray) -> np.ndarray:
+        """Of windows one prime's hash is enough, mixed so that their order is arbitrary."""
+        p = np.uint64(PRIMES[0])
+        h = (after + p - before) % p * _POWERS.upto(self.n)[0][1][starts] % p
+        h = (h + np.uint64(1)) * _MIX[0]
+        h = (h ^ (h >> np.uint64(33))) * _MIX[1]
+        return h ^ (h >> np.uint64(31))
+
 
 class Joined(PrefixHashes):
     """``head[:cut] + tail[:rest]`` seen through the arrays of both texts."""
@@ -123,9 +162,27 @@ class Joined(PrefixHashes):
         beyond = ends - inside
         return (self.head.at(which, inside) + powers[self.cut] * self.tail.at(which, beyond)) % prime
 
+    @functools.cached_property
+    def windows(self) -> np.ndarray:
+        """Those within either text, which are known, and those across the joint."""
+        starts = np.arange(max(0, self.cut - WINDOW + 1), min(self.cut - 1, self.n - WINDOW) + 1)
+        across = self._windows(self.at(0, starts), self.at(0, starts + WINDOW), starts)
+        head, tail = (text.windows[: max(0, size - WINDOW + 1)] for text, size in ((self.head, self.cut), (self.tail, self.n - self.cut)))
+        return np.concatenate([head, across, tail])
+
+
+def _smallest(hashes: np.ndarray) -> np.ndarray:
+    """The ``KEPT`` smallest distinct ones, in order."""
+    if len(hashes) > 8 * KEPT:
+        few = np.sort(hashes[hashes <= np.uint64((4 * KEPT << 64) // len(hashes))])
+        few = few[np.append(True, few[1:] != few[:-1])]
+        if len(few) >= KEPT:
+            return few[:KEPT]
+    return np.unique(hashes)[:KEPT]
+
 
 def fingerprint(hashes: PrefixHashes) -> str:
-    """Length, hash of the whole, then 24 bits for each leading and trailing span."""
+    """Length, hash of the whole, 24 bits for each leading and trailing span, 32 for each window kept."""
     n = hashes.n
     lengths = _LENGTHS[: np.searchsorted(_LENGTHS, n, side="right")]
     starts = np.concatenate([np.zeros(len(lengths) + 1, np.int64), n - lengths])
@@ -133,7 +190,20 @@ def fingerprint(hashes: PrefixHashes) -> str:
     spans = hashes.spans(starts, ends)
     parts = (spans[1:] >> np.uint64(40)).astype(">u4").tobytes()
     packed = np.frombuffer(parts, np.uint8).reshape(-1, 4)[:, 1:].tobytes()
-    return base64.b64encode(struct.pack(">IQ", n, int(spans[0])) + packed).decode()
+    windows = (_smallest(hashes.windows) >> np.uint64(32)).astype(">u4").tobytes()
+    return base64.b64encode(struct.pack(">IQ", n, int(spans[0])) + packed + windows).decode()
+
+
+def _resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the smallest hashes of either that both have."""
+    mine, theirs = set(a.tolist()), set(b.tolist())
+    either, both = mine | theirs, mine & theirs
+    if not both:
+        return 0.0
+    if len(a) < KEPT and len(b) < KEPT:
+        return len(both) / len(either)
+    smallest = sorted(either)[:KEPT]
+    return sum(x in both for x in smallest) / len(smallest)
 
 
 def _common(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, full: int) -> int:
@@ -149,26 +219,28 @@ def _common(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, full: int) -> int
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the longer text that both have as a common prefix or suffix, 0 to 1."""
+    """Share of the longer text, or of all windows, that both texts have, 0 to 1."""
     if a == b:
         return 1.0
     raw = [base64.b64decode(x) for x in (a, b)]
     sizes = [struct.unpack(">I", r[:4])[0] for r in raw]
     if 0 in sizes:
         return 0.0
-    spans = [np.frombuffer(r[12:], np.uint8).reshape(2, -1, 3) for r in raw]
+    many = [int(np.searchsorted(_LENGTHS, n, side="right")) for n in sizes]
+    spans = [np.frombuffer(r[12 : 12 + 6 * m], np.uint8).reshape(2, -1, 3) for r, m in zip(raw, many)]
+    windows = [np.frombuffer(r[12 + 6 * m :], ">u4") for r, m in zip(raw, many)]
     few = min(sizes)
     lengths = _LENGTHS[: np.searchsorted(_LENGTHS, few, side="right")]
     head, tail = (_common(spans[0][i], spans[1][i], lengths, few) for i in (0, 1))
     shared = min(head + tail, few)
-    return min(shared / max(sizes), 1 - 1 / max(max(sizes), 2))
+    return min(max(shared / max(sizes), _resemblance(*windows)), 1 - 1 / max(max(sizes), 2))
 
 
 def _edit_sizes(n: int, n_next: int) -> tuple[int, int]:
     return n - n // 2, min(n // 2, n_next)
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long, common_suffix long"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -192,7 +264,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = (id(hashes_next), following)
         edited = fingerprint(Joined(hashes, cut, hashes_next, rest))
         digest = hashlib.sha256((text[:cut] + text_next[:rest]).encode()).hexdigest()
-        rows.append((doc_id, hashes.n, digest, own, edited, likeness(own, edited), likeness(own, following)))
+        rows.append((doc_id, hashes.n, digest, own, edited, likeness(own, edited), likeness(own, following), hashes.common_extension(0, hashes_next, 0), hashes.common_suffix(hashes_next)))
         if len(rows) >= 4096:
             yield _batch(rows)
             rows = []
@@ -201,7 +273,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     names = [part.split()[0] for part in _OUT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -262,7 +334,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its edit by the next text, and their likeness.
+    """Fingerprints of every text and of its edit by the next text, their likeness, and the
+    lengths of the text's and the next one's common prefix and suffix.
 
     The edited text has its last ``floor(n / 2)`` code points replaced by as many of
     the next document's first ones (or all it has).

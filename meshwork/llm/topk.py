@@ -9,11 +9,13 @@ are descended together.  A pair of nodes is pruned when
     <q, c> + |q| r_c + |c| r_q + r_q r_c
 
 (centres q and c, radii r_q and r_c) is below the worst k-th score so far within the
-query node.  Before that, whole shards are pruned the same way against every block of
+query node.  Before that, whole cells are pruned the same way against every block of
 queries, with k-th scores from the queries' own cells.
 
-Shards hold ``SHARD`` rows, query blocks ``QUERY_BLOCK``; a task streams query blocks
-past one indexed shard.  The driver holds the pivots and one number per shard.
+Shards hold ``SHARD`` rows, query blocks ``QUERY_BLOCK``; a task streams up to
+``TASK_BLOCKS`` query blocks past one indexed shard, and a shard that more blocks ask is
+indexed in several tasks.  The driver holds the pivots, ``MOST_PIVOTS`` at most, and
+numbers of their cells; a length of vectors without a pivot is a cell around zero.
 
 Scores are integer inner products, exact: in float64 while no sum can reach 2**53, in
 Python integers beyond.  Defined results: null vectors, vectors with null or non-finite
@@ -42,7 +44,9 @@ SHARD, QUERY_BLOCK = 4096, 512
 #: Points of a leaf of a data tree and of a query tree.
 LEAF, QUERY_LEAF = 512, 64
 FEWEST_PIVOTS, MOST_PIVOTS = 16, 1024
-#: Tables of more shards than this are met by a join on cells instead of a broadcast.
+#: Query blocks that one task takes past a shard.
+TASK_BLOCKS = 64
+#: Float64 sums below this are exact.
 EXACT = float(1 << 53)
 
 
@@ -198,12 +202,12 @@ def _exact_scores(q: np.ndarray, x: np.ndarray) -> bool:
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tree, ids = None, None, None
-        for (part, kind, _), rows in _grouped(batches, ["shard", "is_query", "block"]):
+        for (name, part, kind, _), rows in _grouped(batches, ["shard", "part", "is_query", "block"]):
             points = _matrix(rows["v"])
             if not kind:
-                shard, tree, ids = part, CoverTree(points), rows["id"].to_numpy(np.int64)
+                shard, tree, ids = (name, part), CoverTree(points), rows["id"].to_numpy(np.int64)
                 continue
-            if part != shard:
+            if (name, part) != shard:
                 continue
             query_ids, floor = rows["id"].to_numpy(np.int64), rows["floor"].to_numpy(float)
             if _exact_scores(points, tree.points):
@@ -238,15 +242,18 @@ def exact_top_k(
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(vector_col, scale).alias("v"), is_query.alias("asks"))
     plain = plain.filter("id IS NOT NULL AND v IS NOT NULL").withColumn("dim", F.size("v"))
     n = plain.count()
-    # Pivots: per length the rows of smallest hash, a sample of a bounded size.
+    # Pivots: the rows of smallest hash, a sample of a bounded size.
     wanted = int(min(MOST_PIVOTS, max(FEWEST_PIVOTS, -(-n // shard))))
-    seeds = plain.groupBy("dim").agg(F.count("*").alias("n")).collect()
-    chosen: dict[int, np.ndarray] = {}
-    for dim, _ in sorted((r["dim"], r["n"]) for r in seeds):
-        rows = plain.filter(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()
-        chosen[dim] = np.unique(np.array([r["v"] for r in rows], float).reshape(len(rows), dim), axis=0)
+    sample = plain.orderBy(F.xxhash64("id"), "id", "v").limit(wanted).select("dim", "v").collect()
+    chosen = {}
+    for dim in {r["dim"] for r in sample}:
+        rows = [r["v"] for r in sample if r["dim"] == dim]
+        chosen[dim] = np.unique(np.array(rows, float).reshape(len(rows), dim), axis=0)
     pivots = spark.sparkContext.broadcast(chosen)
 
+    def pivots_of(dim: int) -> np.ndarray:
+        return pivots.value.get(dim, np.zeros((1, dim)))
+
     @F.pandas_udf("struct<cell:int,away:double>")
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for v in batches:
@@ -254,7 +261,7 @@ def exact_top_k(
             sizes = np.array([len(x) for x in v])
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
-                x, p = _matrix(v.iloc[at]).reshape(len(at), dim), pivots.value[int(dim)]
+                x, p = _matrix(v.iloc[at]).reshape(len(at), dim), pivots_of(int(dim))
                 d = (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None, :]
                 best = d.argmin(axis=1)
                 cell[at] = best
@@ -262,52 +269,55 @@ def exact_top_k(
             yield pd.DataFrame({"cell": cell, "away": away})
 
     placed = checkpointed(plain.withColumn("p", place("v")).select("id", "v", "asks", "dim", "p.cell", "p.away"))
-    cells = F.broadcast(placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")))
+    cells = checkpointed(placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max("away").alias("radius")))
+    # Cells are as many as pivots, but for lengths that have none; those may be many.
+    few = cells.limit(2 * MOST_PIVOTS + 1).count() <= 2 * MOST_PIVOTS
+    near_cells = F.broadcast(cells) if few else cells
     salt = lambda many, per, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.greatest(many, F.lit(1)) / per))
-    dealt = placed.join(cells, ["dim", "cell"]).withColumn("shard_salt", salt(F.col("n"), shard, 1)).withColumn("block_salt", salt(F.col("q"), query_block, 2))
+    dealt = placed.join(near_cells, ["dim", "cell"]).withColumn("shard_salt", salt(F.col("n"), shard, 1)).withColumn("block_salt", salt(F.col("q"), query_block, 2))
     name = lambda last: F.concat_ws("/", "dim", "cell", last)
-    data = dealt.select(name("shard_salt").alias("shard"), "id", "v", "dim", "cell", "away")
-    asked = checkpointed(dealt.filter("asks").select(name("block_salt").alias("block"), "id", "v", "dim", "cell", "away"))
-    shards = checkpointed(data.groupBy("shard", "dim", "cell").agg(F.max("away").alias("radius")))
-
-    def searched(queries: DataFrame) -> DataFrame:
-        """Partial answers for ``shard, block, id, v, floor``, next to the shards' rows."""
-        rows = data.select("shard", F.lit(False).alias("is_query"), F.lit("").alias("block"), "id", "v", F.lit(0.0).alias("floor")).unionByName(
-            queries.select("shard", F.lit(True).alias("is_query"), "block", "id", "v", "floor")
+    data = dealt.select(name("shard_salt").alias("shard"), "id", "v")
+    asked = checkpointed(dealt.filter("asks").select(name("block_salt").alias("block"), "block_salt", "id", "v", "dim", "cell", "away"))
+    numbered = cells.withColumn("shards", F.ceil(F.col("n") / shard))
+
+    def searched(queries: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Partial answers of the queries ``block, id, v, floor`` for ``pairs`` of block and shard."""
+        asks = pairs.groupBy("shard").agg(F.ceil(F.count("*") / TASK_BLOCKS).alias("parts"))
+        told = checkpointed(pairs.join(asks, "shard").select("shard", "block", F.pmod(F.xxhash64("block"), "parts").alias("part")))
+        needed = told.select("shard", "part").distinct()
+        rows = data.join(needed, "shard").select("shard", "part", F.lit(False).alias("is_query"), F.lit("").alias("block"), "id", "v", F.lit(0.0).alias("floor")).unionByName(
+            queries.join(told, "block").select("shard", "part", F.lit(True).alias("is_query"), "block", "id", "v", "floor")
         )
-        return rows.repartition("shard").sortWithinPartitions("shard", "is_query", "block").mapInArrow(
+        return rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "is_query", "block").mapInArrow(
             _search(k), "query_id long, vec_id long, score long"
         )
 
-    # Floors: the k-th score of every query within one shard of its own cell.
-    own = shards.groupBy("dim", "cell").agg(F.min("shard").alias("shard"))
+    # Floors: the k-th score of every query within one shard of its own cell; blocks take turns at the shards.
     low = F.lit(float("-inf"))
-    near = searched(asked.join(F.broadcast(own), ["dim", "cell"]).withColumn("floor", low))
+    blocks = asked.select("block", "block_salt", "dim", "cell").distinct()
+    home = blocks.join(numbered, ["dim", "cell"]).select("block", name(F.col("block_salt") % F.col("shards")).alias("shard"))
+    near = searched(asked.withColumn("floor", low), home)
     by_rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = near.distinct().withColumn("r", F.row_number().over(by_rank)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
     floored = checkpointed(asked.join(kth, "id", "left").withColumn("floor", F.coalesce("floor", low)))
 
-    # Shards that may hold a better one than the block's worst k-th score.
-    blocks = floored.groupBy("block", "dim", "cell").agg(F.max("away").alias("q_radius"), F.min("floor").alias("worst"))
-    known = spark.sparkContext.broadcast(
-        [(r["shard"], r["dim"], r["cell"], r["radius"]) for r in shards.collect()]
-    )
+    # Cells that may hold a better one than the block's worst k-th score; all shards of such a cell are asked.
+    worst = floored.groupBy("block", "dim", "cell").agg(F.max("away").alias("q_radius"), F.min("floor").alias("worst"))
+    others = cells.select("dim", F.col("cell").alias("other"), "radius", F.ceil(F.col("n") / shard).alias("shards"))
 
     def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_dim: dict[int, tuple] = {}
-        for dim in {s[1] for s in known.value}:
-            mine = [s for s in known.value if s[1] == dim]
-            by_dim[dim] = ([s[0] for s in mine], pivots.value[dim][[s[2] for s in mine]], np.array([s[3] for s in mine]))
         for batch in batches:
-            out: list[tuple[str, str]] = []
+            keep = []
             for row in batch.to_pylist():
-                names, centre, radius = by_dim[row["dim"]]
-                q, r = pivots.value[row["dim"]][row["cell"]], row["q_radius"]
-                upper = centre @ q + np.sqrt(q @ q) * radius + np.sqrt((centre**2).sum(axis=1)) * r + r * radius
-                out += [(row["block"], names[i]) for i in np.flatnonzero(upper * (1 + 1e-9) + 1e-6 >= row["worst"])]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in (0, 1)], names=["block", "shard"])
-
-    met = blocks.mapInArrow(meets, "block string, shard string")
-    answers = searched(floored.join(met, "block"))
+                p = pivots_of(row["dim"])
+                q, c, r, radius = p[row["cell"]], p[row["other"]], row["q_radius"], row["radius"]
+                upper = c @ q + np.sqrt(q @ q) * radius + np.sqrt(c @ c) * r + r * radius
+                keep.append(bool(upper * (1 + 1e-9) + 1e-6 >= row["worst"]))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["block", "dim", "other", "shards"])
+
+    # One row for each block and cell of a length, and numbers alone: no vectors meet here.
+    met = worst.join(F.broadcast(others) if few else others, "dim").mapInArrow(meets, "block string, dim int, other int, shards long")
+    every = met.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    answers = searched(floored, every.select("block", F.concat_ws("/", "dim", "other", "salt").alias("shard")))
     ranked = answers.distinct().withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -9,7 +9,11 @@ Canonical URL: a dot, the host in lower case, then the path up to ``?`` or ``#``
 Defined results: a null URL, or one without ``://``, has an empty host and path and
 fits no rule, so the default verdict is ``allow``; empty tables give empty results;
 repeated rows are judged each; an input column named like an output is replaced.
-Work is in proportion to the characters of the longest URLs of a batch.
+
+Rules may come as a table of ``verdict, rule``; it is sent to all tasks, and so held to
+``MOST_RULES`` rows (more raise an error).  URLs of any length are read ``TILE`` bytes at a
+time, and as many together as keep the state within ``STATE_WORDS`` words: memory does not
+grow with the longest URL, nor with the number of rules times that of rows.
 """
 
 from __future__ import annotations
@@ -21,12 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import small_batches, without
 
-#: Hosts that are never wanted, wherever no explicit rule fits.
-BLOCKED_HOSTS = (
-    "*adult*", "*ads-track*", "*casino*", "*cheap-pills*", "*free-bets*", "*spam*",
+#: Words that mark an unwanted host where no rule fits, as a label or a part of one between hyphens.
+BLOCKED_WORDS = (
+    "adult", "ads-track", "casino", "cheap-pills", "free-bets", "spam",
 )
+MOST_RULES = 100_000
+#: Bytes of a URL read at a time, and words of state held together.
+TILE, STATE_WORDS = 1024, 1 << 21
 
 
 class GlobAutomaton:
@@ -80,20 +87,27 @@ class GlobAutomaton:
         return symbols, loops
 
     def matches(self, texts: Sequence[str]) -> np.ndarray:
-        raw = [t.encode() for t in texts]
+        per = max(1, STATE_WORDS // self.words)
+        parts = [self._matches([t.encode() for t in texts[at : at + per]]) for at in range(0, len(texts), per)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.final)), bool)
+
+    def _matches(self, raw: list[bytes]) -> np.ndarray:
         sizes = np.array([len(r) for r in raw], np.int64)
         order = np.argsort(-sizes, kind="stable")  # the texts that still go on are always the first ones
-        grid = np.zeros((len(raw), int(sizes.max(initial=0))), np.uint8)
-        for row, k in enumerate(order):
-            grid[row, : sizes[k]] = np.frombuffer(raw[k], np.uint8)
-        state = np.tile(self.start, (len(raw), 1))
         going = sizes[order]
-        for at in range(grid.shape[1]):
-            live = int(np.searchsorted(-going, -at, side="left"))
-            now, seen = state[:live], grid[:live, at]
-            moved = now << np.uint64(1)
-            moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
-            state[:live] = (moved & self.step[seen]) | (now & self.loop[seen])
+        state = np.tile(self.start, (len(raw), 1))
+        for left in range(0, int(sizes.max(initial=0)), TILE):
+            reach = order[: int(np.searchsorted(-going, -left, side="left"))]
+            tile = np.zeros((len(reach), int(min(TILE, going[0] - left))), np.uint8)
+            for row, k in enumerate(reach):
+                part = raw[k][left : left + TILE]
+                tile[row, : len(part)] = np.frombuffer(part, np.uint8)
+            for at in range(tile.shape[1]):
+                live = int(np.searchsorted(-going, -(left + at), side="left"))
+                now, seen = state[:live], tile[:live, at]
+                moved = now << np.uint64(1)
+                moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
+                state[:live] = (moved & self.step[seen]) | (now & self.loop[seen])
         hit = (state[:, self.final // 64] >> (self.final % 64).astype(np.uint64)) & np.uint64(1)
         out = np.empty((len(raw), len(self.final)), bool)
         out[order] = hit.astype(bool)
@@ -106,6 +120,21 @@ def rule_globs(rule: str) -> str:
     return f"*.{host}{slash}{path}**"
 
 
+def word_globs(word: str) -> list[str]:
+    """Hosts of which a label, or a part of one between hyphens, is the word."""
+    return [f"*{before}{word}{after}" for before in ".-" for after in ("", ".**", "-**", "/**")]
+
+
+def read_rules(rules: DataFrame | Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Rules ``(verdict, host/path)``, once each; the longest first, ties in their order as text."""
+    if isinstance(rules, DataFrame):
+        rows = rules.select("verdict", "rule").filter("verdict IS NOT NULL AND rule IS NOT NULL").distinct().limit(MOST_RULES + 1).collect()
+        rules = [(r["verdict"], r["rule"]) for r in rows]
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return sorted(set(rules), key=lambda r: (-len(r[1]), r[1], r[0]))
+
+
 def host_and_path(url: str | None) -> tuple[str, str]:
     _, mark, rest = (url or "").partition("://")
     if not mark:
@@ -119,13 +148,16 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 
 def filter_urls(
     pages: DataFrame,
-    rules: Sequence[tuple[str, str]],
+    rules: DataFrame | Sequence[tuple[str, str]],
     url_col: str = "url",
-    blocked_hosts: Sequence[str] = BLOCKED_HOSTS,
+    blocked_words: Sequence[str] = BLOCKED_WORDS,
 ) -> DataFrame:
-    """Add ``host, path, rule, verdict``; ``rules`` are (verdict, ``host/path``), longest first wins."""
-    ranked = sorted(rules, key=lambda r: -len(r[1]))
-    globs = [rule_globs(r) for _, r in ranked] + [f"{h}**" for h in blocked_hosts]
+    """Add ``host, path, rule, verdict``; ``rules`` are (verdict, ``host/path``), the longest that fits wins.
+
+    Rules of one host and path and unlike verdicts go by the first of these as text (allow).
+    """
+    ranked = read_rules(rules)
+    globs = [rule_globs(r) for _, r in ranked] + [g for w in blocked_words for g in word_globs(w)]
     n = len(ranked)
 
     @F.pandas_udf("struct<host:string,path:string,rule:string,verdict:string>")
@@ -144,5 +176,5 @@ def filter_urls(
             })
 
     kept = without(pages, "host", "path", "rule", "verdict", "url_judged").columns
-    named = pages.withColumn("url_judged", judge(F.col(url_col)))
+    named = small_batches(pages).withColumn("url_judged", judge(F.col(url_col)))
     return named.select(*[named[f"`{c}`"] for c in kept], "url_judged.*")

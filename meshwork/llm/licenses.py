@@ -76,6 +76,8 @@ TERM = "[a-z0-9]+"
 LICENCE_FILES = r"(^|/)(LICEN[CS]E|COPYING)(\.[a-z0-9]+)?$"
 #: Sets of more terms than this are joined by a shuffle instead of a broadcast.
 BROADCAST_TERMS = 1_000_000
+#: Licensed directories up to this many are broadcast; more are joined by a shuffle, whose hot keys are split at run time.
+BROADCAST_DIRS = 100_000
 
 
 def statements(text: Column) -> Column:
@@ -180,8 +182,11 @@ def scan_licenses(
     )
     paths = files.select(F.col(path_col).alias("path")).filter("path IS NOT NULL").distinct()
     above = paths.join(own.select("path"), "path", "left_anti").select("path", F.explode(ancestors(F.col("path"))).alias("a"))
+    # A directory that holds a third of all files must not be one task: licensed directories go to the files while they are few.
+    given = checkpointed(given)
+    few = given.limit(BROADCAST_DIRS + 1).count() <= BROADCAST_DIRS
     inherited = (
-        above.select("path", "a.depth", "a.dir").join(given, "dir")
+        above.select("path", "a.depth", "a.dir").join(F.broadcast(given) if few else given, "dir")
         .groupBy("path").agg(F.max_by("l", "depth").alias("l"))
         .select("path", "l.license", "l.score", F.lit("inherited").alias("origin"), F.col("l.path").alias("license_path"))
     )

@@ -124,6 +124,26 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0), rules).collect() == []
 
 
+def test_rules_from_a_table_and_words_of_hosts(spark):
+    rules = spark.createDataFrame([("block", "a.org/"), ("block", "a.org/"), ("allow", "a.org/x"), (None, "b.org/"), ("block", "c.org/"), ("allow", "c.org/")], "verdict string, rule string")
+    hosts = {"http://a.org/x/y": "allow", "http://a.org/": "block", "http://b.org/": "allow", "http://c.org/": "allow", "http://spam.net/": "block", "http://my.spam": "block",
+             "http://spamhaus.net/": "allow", "http://big-casino-win.net/a": "block", "http://x.net/spam/": "allow", "http://casinos.net": "allow", "http://a.b-spam/": "block"}
+    df = spark.createDataFrame(list(enumerate(hosts)), "page_id long, url string")
+    assert {r.url: r.verdict for r in urls.filter_urls(df, rules).collect()} == hosts
+
+
+def test_urls_of_any_length_in_bounded_memory():
+    import tracemalloc
+
+    automaton = urls.GlobAutomaton(["*.org/**", "**y"])
+    short = [f".a{i}.org/x" for i in range(10000)]
+    tracemalloc.start()
+    hit = automaton.matches([*short, "." + "x" * 300000 + "y"])
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert hit[:10000].tolist() == [[True, False]] * 10000 and hit[10000].tolist() == [False, True]
+
+
 def test_mixing(docs, none):
     units = mixing.mix_units(clashing(docs, "size", "target", "p", "h", "block", "turn")).collect()
     assert sum(u.n_rows for u in units) == len(ROWS)

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from meshwork.llm import bpe, fingerprints, jaccard, lines, mixing, queries, topk, urls
+from meshwork.llm import bpe, fingerprints, jaccard, lines, mixing, quality, queries, topk, urls
 
 TABLES = ("documents", "embeddings", "pages", "conversations", "labels")
 
@@ -56,7 +57,33 @@ def test_op1_against_plain_texts(spark, sf_dir, texts):
         row = got[key]
         assert (row.n_chars, row.fingerprint, row.edited_fingerprint) == (len(text), plain, other)
         assert row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= row.near_next <= row.near_edited <= 1 or row.near_next > 0.3
+        nexts = fingerprints.fingerprint(fingerprints.PrefixHashes(following))
+        assert (row.near_edited, row.near_next) == (fingerprints.likeness(plain, other), fingerprints.likeness(plain, nexts))
+        assert (row.near_edited == 1) == (text == edited) and (row.near_next == 1) == (text == following)
+        # What is shared at both ends is at least a quarter octave's step of the true share.
+        ends = min(len(os.path.commonprefix([text, edited])) + len(os.path.commonprefix([text[::-1], edited[::-1]])), len(text))
+        assert row.near_edited >= min(0.8 * ends / max(len(text), 1), 1 - 1 / max(len(text), 2)) - 1e-9
+        assert row.common_prefix == len(os.path.commonprefix([text, following]))
+        assert row.common_suffix == len(os.path.commonprefix([text[::-1], following[::-1]]))
+
+
+def windows(text):
+    return {text[i : i + fingerprints.WINDOW] for i in range(len(text) - fingerprints.WINDOW + 1)}
+
+
+def test_likeness_of_texts_changed_in_several_places(texts):
+    near = lambda *t: fingerprints.likeness(*(fingerprints.fingerprint(fingerprints.PrefixHashes(x)) for x in t))
+    rng, long = random.Random(4), [t for _, t in texts if len(t) > 2000]
+    for text, other in zip(long, long[1:]):
+        if len(windows(text)) < 1000:
+            continue
+        places = sorted(rng.sample(range(len(text)), 3))
+        edited = "#" + "".join(c if i not in places else "~" for i, c in enumerate(text)) + "#"
+        for a, b in ((text, edited), (text, other)):
+            x, y = windows(a), windows(b)
+            assert near(a, b) == pytest.approx(len(x & y) / len(x | y), abs=0.25)
+        assert near(text, edited) > 0.7
+    assert near("a" * 5000, "a" * 5001) > 0.9 and near("x" + long[0] + "x", long[0]) > 0.9
 
 
 @settings(max_examples=60, deadline=None)
@@ -79,8 +106,34 @@ def test_op2_held_out(spark, sf_dir, duck):
     assert held and np.mean([r.predicted == quality[r.doc_id] for r in held]) >= 0.85
 
 
-@pytest.mark.parametrize("shard,block", [(4096, 512), (40, 3)])
-def test_top_k_in_many_shards(spark, shard, block):
+def test_quality_votes_against_brute_force(spark, texts, duck):
+    """Every score is the vote of the nearest labelled rows, found one by one."""
+    labels = dict(duck.sql("SELECT doc_id, quality FROM labels").fetchall())
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    told = spark.createDataFrame(sorted(labels.items()), "doc_id long, quality int")
+    model = quality.fit(docs, told, "doc_id", "text", "quality", F.lit(True), 40, 12)
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, told, sample=40, rank=12, neighbours=5).collect()}
+    assert len(model["y"]) <= 40
+    for key, text in texts:
+        counts = np.zeros(quality.TERMS)
+        raw = text.encode()
+        for a, b in zip(raw, raw[1:]):
+            counts[int(quality._KIND[a]) * quality.KINDS + int(quality._KIND[b])] += 1
+        words = raw.split()
+        counts[quality.REPEATED] = sum(a == b for a, b in zip(words, words[1:]))
+        weighed = np.sqrt(counts / max(counts.sum(), 1)) * model["idf"]
+        latent = (weighed / max(np.linalg.norm(weighed), 1e-12)) @ model["projection"]
+        latent /= max(np.linalg.norm(latent), 1e-12)
+        near = sorted(((float(latent @ v), i) for i, v in enumerate(model["vectors"])), reverse=True)[:5]
+        votes = [max(c, 0) ** quality.SHARPNESS * model["weight"][i] for c, i in near]
+        mean = (model["y"] * model["weight"]).sum() / model["weight"].sum()
+        want = sum(v * model["y"][i] for v, (_, i) in zip(votes, near)) / sum(votes) if raw[1:] and sum(votes) > 1e-12 else mean
+        assert got[key] == pytest.approx(want, abs=1e-3)
+
+
+@pytest.mark.parametrize("shard,block,blocks", [(4096, 512, 64), (40, 3, 2)])
+def test_top_k_in_many_shards(spark, monkeypatch, shard, block, blocks):
+    monkeypatch.setattr(topk, "TASK_BLOCKS", blocks)
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(150, 6)), np.tile(rng.normal(size=6), (60, 1)), rng.normal(size=(90, 6)) * 0.01])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -181,20 +234,25 @@ def plain_components(docs, k, num, den):
     for i, t in docs:
         w = (t or "").encode().lower().split()
         sets[i] = {b" ".join(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({b" ".join(w)} if w else set())
-    label = {i: i for i in sets}
+    label, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
     ids = sorted(sets)
     for a, i in enumerate(ids):
         for j in ids[:a]:
             both = len(sets[i] & sets[j])
             if both and den * both >= num * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
                 low, high = sorted((label[i], label[j]))
                 label = {n: low if v == high else v for n, v in label.items()}
-    return sorted((i, len(sets[i]), label[i]) for i in ids)
+    return sorted((i, len(sets[i]), label[i], links[i]) for i in ids)
+
+
+def found_components(rows, key):
+    return sorted((r[key], r.n_shingles, r.component_id, r.n_links) for r in rows.collect())
 
 
 def test_op7_against_all_pairs(spark, sf_dir, texts):
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in queries.op7_jaccard_join(spark, sf_dir).collect())
-    assert got == plain_components(texts, 4, 85, 100)
+    assert found_components(queries.op7_jaccard_join(spark, sf_dir), "doc_id") == plain_components(texts, 4, 85, 100)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -213,8 +271,41 @@ def test_jaccard_chains_groups_and_hubs(spark, monkeypatch, seed):
                 base = words  # chains drift away from where they began
             docs.append((len(docs), " ".join(words).upper() if rng.random() < 0.2 else "  ".join(words)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = sorted((r.id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, k=2, num=70, den=100).collect())
-    assert got == plain_components(docs, 2, 70, 100)
+    assert found_components(jaccard.near_duplicates(df, k=2, num=70, den=100), "id") == plain_components(docs, 2, 70, 100)
+
+
+@pytest.mark.parametrize("members,num", [(8, 70), (8, 85), (40, 60)])
+def test_jaccard_large_clusters_in_blocks(spark, monkeypatch, members, num):
+    """Clusters of many blocks: near copies around one text, and others that drift far from it."""
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
+    rng = random.Random(members)
+    base = words = [f"w{i}" for i in range(50)]
+    docs = []
+    for i in range(260):
+        words = list(base) if i % 3 else list(words)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(400)}"
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found_components(jaccard.near_duplicates(df, k=2, num=num, den=100), "id") == plain_components(docs, 2, num, 100)
+
+
+def test_jaccard_group_of_near_copies_takes_rows_in_proportion(spark):
+    """Sets that lie near one text are counted, not compared: rows grow as the group does."""
+    docs = spark.range(50000).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(" ", *[F.lit(f"w{i}") for i in range(60)], F.col("id").cast("string"), *[F.lit(f"v{i}") for i in range(60)]).alias("text"),
+    )
+    rows = jaccard.near_duplicates(docs, k=5, num=80, den=100)
+    told = rows.agg(F.count("*"), F.max("component_id"), F.min("n_links"), F.max("n_links")).first()
+    assert tuple(told) == (50000, 0, 49999, 49999)
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_shingles_of_repetitive_words_differ(size):
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    assert not set(jaccard.shingle_set(bits, 5)) & set(jaccard.shingle_set(other, 5))
 
 
 @pytest.fixture(scope="module")
@@ -235,16 +326,32 @@ def test_op8_against_the_library(spark, sf_dir, texts, tik):
         assert got[key].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_stitching_equals_whole_text(vocabulary, tik):
-    coder = bpe.ByteBpe(vocabulary, public_tokenizers.PATTERN)
-    rng = random.Random(9)
-    for _ in range(150):
-        parts = ["a", "bb", " ", "  ", "\n", "'re", "'", "é", "12", "!!", "<|endoftext|>", "word" * rng.randint(1, 30), " " * rng.randint(1, 40), "x" * rng.randint(1, 200)]
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 80)))
-        size, more = rng.choice([16, 40, 100]), rng.choice([8, 20, 50])
-        chunks = [(s, text[s : s + size + more]) for s in range(0, len(text), size)]
-        assert coder.stitch(chunks) == np.array(tik.encode_ordinary(text), "<u4").tobytes()
-        assert coder.decode(coder.stitch(chunks)) == text.encode()
+@pytest.mark.parametrize("size,more", [(16, 8), (40, 20), (100, 50)])
+def test_stitching_equals_whole_text(spark, vocabulary, tik, size, more):
+    rng = random.Random(size)
+    parts = ["a", "bb", " ", "  ", "\n", "'re", "'", "é", "𝄞", "12", "!!", "<|endoftext|>"]
+    texts = []
+    for _ in range(120):
+        more_parts = [*parts, "word" * rng.randint(1, 30), " " * rng.randint(1, 40), "x" * rng.randint(1, 200)]
+        texts.append("".join(rng.choice(more_parts) for _ in range(rng.randint(1, 80))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = bpe.encode_documents(df, vocabulary, public_tokenizers.PATTERN, chunk=size, overlap=more).collect()
+    want = [(i, np.array(tik.encode_ordinary(t), "<u4").tobytes(), t.encode()) for i, t in enumerate(texts)]
+    assert sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got) == want
+
+
+def test_a_long_text_takes_many_tasks(spark, vocabulary, tik):
+    line = "The engine reads a line; it's number {} of a text that goes on and on.\n"
+    text = "".join(line.format(i) for i in range(60000)) + "y" * 100000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    sent = spark.sparkContext.broadcast(("a long text", vocabulary, public_tokenizers.PATTERN))
+    runs = bpe._long_texts(df.select(F.col("doc_id").alias("row"), "text"), sent, bpe.CHUNK, bpe.OVERLAP, 4)
+    found = runs.select("run", F.spark_partition_id().alias("task")).collect()
+    # One run for nearly every chunk; the endless word is one piece, and so one run.
+    assert len(found) >= len(text) // bpe.CHUNK - 4 and len({r.task for r in found}) == 4
+    (row,) = bpe.encode_documents(df, vocabulary, public_tokenizers.PATTERN).collect()
+    assert bytes(row.decoded).decode() == text
+    assert bytes(row.ids) == np.array(tik.encode_ordinary(text), "<u4").tobytes()
 
 
 def test_line_templates_generalise(spark):
@@ -255,17 +362,75 @@ def test_line_templates_generalise(spark):
     assert [got[10 + i].n_dropped for i in range(3)] == [0, 1, 1]
 
 
-def test_pipeline_stages(spark, sf_dir):
+def test_several_templates_of_one_leaf(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+
+    def line(words, **changed):
+        return "Job is done " + " ".join(changed.get(f"p{i}", w) for i, w in enumerate(words))
+
+    upper = [w.upper() for w in words]
+    kind_a = [line(words, p1="one"), line(words, p6="two"), line(words, p1="six", p6="ten"), line(words, p1="sun")]
+    kind_b = [line(upper, p2="red"), line(upper, p2="sky", p3="sea"), line(upper, p3="oak")]
+    drift = [line(words, p0="u", p2="v"), line(words, p3="u", p4="v")]  # no two places that vary fit them all
+    passage = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    long = [" ".join(passage), " ".join([*passage[:30], "other", *passage[31:]])]
+    texts = [*kind_a, *kind_b, *drift, "own words of nine alone\n" + long[0], "x\n" + long[1], " ".join(passage[:50]), " ".join(passage[:50])]
+    got = {r.doc_id: r.n_dropped for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [0, 1, 1, 1] + [0, 1, 1] + [0, 0] + [0, 1] + [0, 0]
+
+
+def test_pipeline_stages_of_an_empty_table(spark, sf_dir):
     import corpus_pipeline
 
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    empty = documents.limit(0)
     for at, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, empty, sf_dir)
+        out = stage(spark, documents.limit(0), sf_dir)
         assert out.collect() == []
         if at + 1 < len(corpus_pipeline.STAGES):
             assert out.dtypes == documents.dtypes
-    rows = corpus_pipeline.run(spark, sf_dir).collect()
-    vocabulary = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coder = bpe.ByteBpe(vocabulary, public_tokenizers.PATTERN)
-    assert rows and all(hashlib.sha256(coder.decode(bytes(r.ids))).hexdigest() == r.decoded_sha256 for r in rows)
+
+
+def test_pipeline_against_brute_force(spark, sf_dir, tmp_path, tik):
+    """The rows that each stage keeps, from those that the stage before it kept, and the whole run."""
+    import corpus_pipeline
+
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    con = duckdb.connect()
+
+    def written(at, docs):
+        stages[at](spark, docs, sf_dir).write.parquet(f"{tmp_path}/{at}")
+        return spark.read.parquet(f"{tmp_path}/{at}")
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = written(0, documents)
+    scores = {r.doc_id: r.predicted for r in queries.op2_quality(spark, sf_dir).collect()}
+    assert rows_of(good) == rows_of(documents.filter(F.col("doc_id").isin([i for i, p in scores.items() if p])))
+
+    clean = written(1, good)
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/0/*.parquet'")
+    told = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, n_dropped, n_chars, text_sha256 FROM ({queries.SQL_OP10})").fetchall()}
+    kept = {r.doc_id: r for r in clean.collect()}
+    for key, (dropped, n_chars, sha) in told.items():
+        if key in kept:
+            assert (hashlib.sha256(kept[key].text.encode()).hexdigest(), len(kept[key].text)) == (sha, n_chars)
+        else:
+            assert dropped and n_chars < 200  # blanks alone are left
+    assert set(kept) <= {r.doc_id for r in good.collect()} and any(r[0] for r in told.values())
+
+    single = written(2, clean)
+    want = {c for _, _, c, _ in plain_components([(i, r.text) for i, r in kept.items()], 5, 80, 100)}
+    assert rows_of(single) == rows_of(clean.filter(F.col("doc_id").isin(list(want))))
+
+    mixed = written(3, single)
+    copies = defaultdict(int)
+    for r in mixed.collect():
+        copies[tuple(r)] += 1
+    assert set(copies) <= {tuple(r) for r in single.collect()} and max(copies.values()) <= 2
+    units = mixing.mix_units(single).collect()
+    assert sum(copies.values()) == sum(u.n_rows * u.copies for u in units)
+
+    encoded = written(4, mixed)
+    ids = sorted((r.doc_id, bytes(r.ids), r.n_tokens, r.decoded_sha256) for r in encoded.collect())
+    plain = [(r.doc_id, np.array(tik.encode_ordinary(r.text or ""), "<u4").tobytes(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in mixed.collect()]
+    assert ids == sorted((i, b, len(b) // 4, h) for i, b, h in plain)
+    assert rows_of(corpus_pipeline.run(spark, sf_dir)) == rows_of(encoded)

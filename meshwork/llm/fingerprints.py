@@ -175,7 +175,7 @@ def _smallest(hashes: np.ndarray) -> np.ndarray:
     """The ``KEPT`` smallest distinct ones, in order."""
     if len(hashes) > 8 * KEPT:
         few = np.sort(hashes[hashes <= np.uint64((4 * KEPT << 64) // len(hashes))])
-        few = few[np.append(True, few[1:] != few[:-1])]
+        few = few[np.append(True, few[1:] != few[:-1])[: len(few)]]
         if len(few) >= KEPT:
             return few[:KEPT]
     return np.unique(hashes)[:KEPT]

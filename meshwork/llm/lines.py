@@ -38,8 +38,8 @@ MIN_DOCS, MIN_TOKENS = 3, 4
 LONG, MIN_DOCS_LONG = 50, 2
 BLANKS = r" \t\r\x0B\f"
 VARIABLE = "<*>"
-#: Sets of more leaves than this are joined by a shuffle instead of a broadcast.
-BROADCAST_LEAVES = 1_000_000
+#: Sets of more keys (two numbers each) than this are joined by a shuffle, whose hot keys are split at run time.
+BROADCAST_KEYS = 1 << 18
 #: Stands for a null id; sorts before every other.
 NO_ID = -(1 << 63)
 
@@ -85,10 +85,10 @@ def parse_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int) -> D
     return told.select("id", "doc", "pos", "leaf", F.xxhash64("line").alias("line"), need.alias("need"), F.least(rest, F.lit(SEGMENTS)).alias("filled"), *places)
 
 
-def _only(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+def _only(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
     """Rows whose key is among ``keys``: by broadcast if these are few."""
-    few = keys.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
-    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, on, how)
 
 
 def _but(places: list[str], vary: tuple[int, ...]):
@@ -133,8 +133,10 @@ def recurring_lines(parsed: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """The input with its text cleaned, and ``n_lines, n_dropped``."""
     parsed = checkpointed(parse_lines(docs.select(id_col, text_col), id_col, text_col, min_docs))
+    # Written first, so that a line of very many documents can be split in the join.
+    recurring = checkpointed(recurring_lines(parsed))
     drops = (
-        parsed.select("id", "doc", "pos", "leaf", "line").join(recurring_lines(parsed), ["leaf", "line"]).filter("id <> keep")
+        _only(parsed.select("id", "doc", "pos", "leaf", "line"), recurring, ["leaf", "line"], "inner").filter("id <> keep")
         .groupBy("id", "doc").agg(F.collect_set("pos").alias("__dropped"))
         .select(F.col("id").alias("__drop_id"), F.col("doc").alias("__drop_doc"), "__dropped")
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,17 +14,26 @@ from pyspark.sql.window import Window
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as a table in the folder the cluster names, and read it.
 
-    The folder is that of ``spark.checkpoint.dir``, which all executors share; a temporary one
-    is used only where none is named, as in tests.  Unlike a checkpoint of the RDD, the rows are
-    computed once.  A lost executor costs nothing: what is read again is on the shared store.
+    Unlike a checkpoint of the RDD, the rows are computed once.  A lost executor costs nothing:
+    what is read again is on the shared store.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = shared_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which all executors share; in a
+    temporary one only where none is named and Spark runs in one process, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tables-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def numbered(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     """Rows numbered from 1 over the whole table, sorted in parallel.
 

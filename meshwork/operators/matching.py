@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 import difflib
 import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,17 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
+def take_in_turn(ratios: np.ndarray, least: float) -> np.ndarray:
+    """For each row in turn the free column of its greatest value (the first of equals), or -1 if that is below ``least``."""
+    chosen, open_ = np.full(len(ratios), -1), np.array(ratios, float)
+    for row in range(len(ratios) if ratios.size else 0):
+        column = int(open_[row].argmax())
+        if open_[row, column] >= least:
+            chosen[row] = column
+            open_[:, column] = -1.0
+    return chosen
+
+
 def match_editions(old: DataFrame, new: DataFrame, reuses_ids: bool) -> DataFrame:
     """``step, rkey, old_pos, new_pos, how`` for editions whose keys may repeat.
 
@@ -40,26 +53,16 @@ def match_editions(old: DataFrame, new: DataFrame, reuses_ids: bool) -> DataFram
     named = lambda d, side: d.select("step", key.alias("k"), "rkey", F.col("pos").alias("pos"), text.norm_name(F.col("name")).alias("norm"), F.lit(side).alias("side"))
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos", kind="stable")
-        olds, news = group[group.side == "old"], group[group.side == "new"]
-        free = {int(p): n for p, n in zip(olds.pos, olds.norm)}
-        pending, out = [], []
-        for rkey, pos, norm in zip(news.rkey, news.pos, news.norm):
-            best = max(free, key=lambda p: (difflib.SequenceMatcher(None, free[p], norm).ratio(), -p), default=None)
-            if best is None:
-                out.append((rkey, None, int(pos), "added"))
-            elif not reuses_ids or difflib.SequenceMatcher(None, free[best], norm).ratio() >= SAME_NAME:
-                del free[best]
-                out.append((rkey, best, int(pos), "same"))
-            else:
-                pending.append((rkey, int(pos)))
-        for rkey, pos in pending:
-            if len(free) == 1 and len(olds) == 1:
-                out.append((rkey, free.popitem()[0], pos, "renamed"))
-            else:
-                out.append((rkey, None, pos, "added"))
-        out += [(r, int(p), None, "removed") for r, p in zip(olds.rkey, olds.pos) if int(p) in free]
-        frame = pd.DataFrame(out, columns=["rkey", "old_pos", "new_pos", "how"])
+        olds, news = (group[group.side == side].sort_values("pos", kind="stable").reset_index(drop=True) for side in ("old", "new"))
+        ratios = np.array([[difflib.SequenceMatcher(None, o, n).ratio() for o in olds.norm] for n in news.norm]).reshape(len(news), len(olds))
+        chosen = take_in_turn(ratios, SAME_NAME if reuses_ids else 0.0)
+        left = np.setdiff1d(np.arange(len(olds)), chosen)
+        how = np.where(chosen >= 0, "same", "added").astype(object)
+        if reuses_ids and len(olds) == 1 and len(left) and len(news):
+            chosen[0], how[0], left = 0, "renamed", left[:0]  # the only one of its key, under another name
+        kept = pd.DataFrame({"rkey": news.rkey, "old_pos": olds.pos.reindex(chosen).to_numpy(), "new_pos": news.pos, "how": how})
+        gone = pd.DataFrame({"rkey": olds.rkey[left], "old_pos": olds.pos[left], "new_pos": None, "how": "removed"})
+        frame = pd.concat([kept, gone], ignore_index=True)
         frame.insert(0, "step", group.step.iloc[0])
         return frame.astype({"old_pos": "Int64", "new_pos": "Int64"})
 
@@ -89,7 +92,7 @@ def match_editions(old: DataFrame, new: DataFrame, reuses_ids: bool) -> DataFram
 def lineage(records: DataFrame, steps: list[tuple[str, str | None]], reuses_ids: bool) -> DataFrame:
     """``filing, pos, lineage``: one plan's editions in order; a match keeps its lineage.
 
-    A new record is named by state, key and name; repeats in print order get ``:2, :3, ...``.
+    A new record is named by state, key and name; repeats take the next free ordinal in print order.
     The loop is over the few editions of a plan; each step is one distributed match.
     """
 
@@ -98,27 +101,37 @@ def lineage(records: DataFrame, steps: list[tuple[str, str | None]], reuses_ids:
     for filing, before in steps:
         mine = records.filter(F.col("filing") == filing).withColumn("step", F.lit(filing))
         fresh = F.concat_ws(":", "state", "rkey", text.norm_name(F.col("name")))
-        nth = F.row_number().over(Window.partitionBy("fresh").orderBy("pos"))
         if before is None or previous is None:
-            told = mine.withColumn("fresh", fresh).withColumn("lineage", F.when(nth == 1, F.col("fresh")).otherwise(F.concat_ws(":", "fresh", nth)))
+            told = _with_free_ordinals(mine.withColumn("fresh", fresh).withColumn("kept", F.lit(None).cast("string")))
         else:
             old = previous.withColumn("step", F.lit(filing))
             pairs = match_editions(old, mine, reuses_ids).filter("new_pos IS NOT NULL").select("old_pos", F.col("new_pos").alias("pos"))
             kept = pairs.join(previous.select(F.col("pos").alias("old_pos"), F.col("lineage").alias("kept")), "old_pos", "left").select("pos", "kept")
             joined = mine.join(kept, "pos", "left").withColumn("fresh", fresh)
-            # New names step over those that a match already carries.
-            taken = joined.filter("kept IS NOT NULL").groupBy(F.regexp_replace("kept", r":\d+$", "").alias("fresh")).agg(F.count("*").alias("taken"))
-            new_nth = F.row_number().over(Window.partitionBy("fresh", F.col("kept").isNull()).orderBy("pos"))
-            number = new_nth + F.coalesce("taken", F.lit(0))
-            told = joined.join(taken, "fresh", "left").withColumn(
-                "lineage", F.coalesce("kept", F.when(number == 1, F.col("fresh")).otherwise(F.concat_ws(":", "fresh", number)))
-            )
+            told = _with_free_ordinals(joined)
         previous = checkpointed(told.select("filing", "pos", "rkey", "name", "state", "lineage"))
         out = previous.select("filing", "pos", "lineage")
         done = out if done is None else done.unionByName(out)
     return done
 
 
+def _with_free_ordinals(records: DataFrame) -> DataFrame:
+    """Adds ``lineage``: the one ``kept``, or else ``fresh`` itself, ``fresh:2``, ``fresh:3``, ...,
+    the first of these that no record of the edition carries, in print order."""
+    named = checkpointed(records)
+    taken = named.filter("kept IS NOT NULL").select(F.col("kept").alias("lineage")).distinct()
+    news = named.filter("kept IS NULL").withColumn("nth", F.row_number().over(Window.partitionBy("fresh").orderBy("pos")))
+    # As many candidates as could be needed: one for each new record and for each taken name that begins like it.
+    base = F.regexp_replace("lineage", r":\d+$", "")
+    used = taken.select(F.explode(F.array_distinct(F.array("lineage", base))).alias("fresh")).groupBy("fresh").agg(F.count("*").alias("used"))
+    wanted = news.groupBy("fresh").agg(F.count("*").alias("many")).join(used, "fresh", "left")
+    ordinals = wanted.select("fresh", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many") + F.coalesce("used", F.lit(0)))).alias("ordinal"))
+    names = ordinals.withColumn("lineage", F.when(F.col("ordinal") == 1, F.col("fresh")).otherwise(F.concat_ws(":", "fresh", "ordinal")))
+    free = names.join(taken, "lineage", "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy("fresh").orderBy("ordinal")))
+    told = news.join(free.select("fresh", "nth", "lineage"), ["fresh", "nth"]).drop("nth")
+    return told.unionByName(named.filter("kept IS NOT NULL").withColumn("lineage", F.col("kept")))
+
+
 def greedy_matches(lefts: DataFrame, rights: DataFrame, group: str) -> DataFrame:
     """One-to-one pairs of a group, most alike first, down to the threshold.
 
@@ -166,99 +179,115 @@ def leader_clusters(points: DataFrame, group: str, within: float = 1.0) -> DataF
     return points.select(group, "pos", "lat", "lon").groupBy(group).applyInPandas(run, f"`{group}` {kind}, pos long, leader long")
 
 
+class _Phases:
+    """A largest one-to-one matching by phases: all shortest ways to a free right node are counted
+    off in layers, and as many as have no node in common are swapped before the next count."""
+
+    def __init__(self, pairs: pd.DataFrame) -> None:
+        self.near = pairs.drop_duplicates().sort_values(["l", "r"]).groupby("l")["r"].apply(list).to_dict()
+        self.right_of: dict[int, int] = {}
+        self.left_of: dict[int, int] = {}
+        while self._swap_all(self._layers()):
+            pass
+
+    def _layers(self) -> dict[int, int]:
+        """Layer of each left node that a free one reaches; stops at the first layer next to a free right node."""
+        depth = {left: 0 for left in self.near if left not in self.right_of}
+        edge = list(depth)
+        while edge:
+            behind = {self.left_of.get(right) for left in edge for right in self.near[left]}
+            if None in behind:
+                return depth
+            edge = sorted(behind - depth.keys())
+            depth |= dict.fromkeys(edge, depth[max(depth, key=depth.get)] + 1)
+        return {}
+
+    def _swap_all(self, depth: dict[int, int]) -> bool:
+        options = {left: iter(self.near[left]) for left in depth}
+        return any([self._swap(left, depth, options) for left in depth if depth[left] == 0])
+
+    def _swap(self, left: int, depth: dict[int, int], options: dict) -> bool:
+        way = [left]  # the right node that each of these tries is the last one its options gave
+        tried: list[int] = []
+        while way:
+            right = next(options[way[-1]], None)
+            if right is None:
+                way.pop()
+                tried = tried[: len(way) - 1] if way else []
+            elif right not in self.left_of:
+                for a, b in zip(way, [*tried, right]):
+                    self.right_of[a], self.left_of[b] = b, a
+                return True
+            elif depth.get(self.left_of[right]) == depth[way[-1]] + 1:
+                way.append(self.left_of[right])
+                tried.append(right)
+        return False
+
+
 def maximum_matching(edges: DataFrame, group: str) -> DataFrame:
-    """``group, l, r`` of a largest one-to-one matching, by augmenting paths, of each group's edges."""
+    """``group, l, r`` of a largest one-to-one matching of each group's edges."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        to: dict[int, list[int]] = {}
-        for a, b in sorted(set(zip(block.l.tolist(), block.r.tolist()))):
-            to.setdefault(a, []).append(b)
-        owner: dict[int, int] = {}
-        for start in sorted(to):
-            came: dict[int, int] = {}
-            queue, found = [start], None
-            seen = {start}
-            while queue and found is None:
-                a = queue.pop(0)
-                for b in to.get(a, []):
-                    if b in came:
-                        continue
-                    came[b] = a
-                    if b not in owner:
-                        found = b
-                        break
-                    if owner[b] not in seen:
-                        seen.add(owner[b])
-                        queue.append(owner[b])
-            while found is not None:
-                a = came[found]
-                found_next = next((b for b, o in owner.items() if o == a), None)
-                owner[found] = a
-                if found_next is not None and a != start:
-                    del owner[found_next]
-                found = found_next if a != start else None
-        return pd.DataFrame([(block[group].iloc[0], a, b) for b, a in sorted(owner.items())], columns=[group, "l", "r"])
+        found = sorted(_Phases(block[["l", "r"]]).right_of.items())
+        return pd.DataFrame([(block[group].iloc[0], a, b) for a, b in found], columns=[group, "l", "r"])
 
     kind = edges.schema[group].dataType.simpleString()
     return edges.select(group, "l", "r").groupBy(group).applyInPandas(run, f"`{group}` {kind}, l long, r long")
 
 
-#: Month and season names, and the forms a date is printed in, the most specific first.
+#: Names of months and seasons, and the months of a season.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 SEASONS = {"spring": (3, 5), "summer": (6, 8), "fall": (9, 11), "autumn": (9, 11), "winter": (12, 12)}
-_MONTH = r"(?P<mon>jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b\.?"
-DATE_FORMS = [
-    (re.compile(p, re.I), grain) for p, grain in (
-        (r"(?P<m>\d{1,2})/(?P<d>\d{1,2})/(?P<y>\d{2,4})", "day"),
-        (r"\b(?P<y>20\d\d|19\d\d)-(?P<m>\d{1,2})-(?P<d>\d{1,2})(?!\d)", "day"),
-        (rf"\b{_MONTH}\s+(?P<d>\d{{1,2}}),?\s+(?P<y>\d{{4}})\b", "day"),
-        (rf"\b(?P<d>\d{{1,2}})\s+{_MONTH},?\s+(?P<y>\d{{4}})\b", "day"),
-        (rf"\b{_MONTH}\s*[-'’ ,]\s*(?P<y>\d{{4}}|\d{{2}})\b", "month"),
-        (r"\b(?P<m>\d{1,2})/(?P<y>\d{4})\b", "month"),
-        (r"\bq(?P<q>[1-4])\s*[-' ]?\s*(?P<y>\d{4})\b", "quarter"),
-        (r"\b(?P<y>\d{4})\s*[-' ]?\s*q(?P<q>[1-4])\b", "quarter"),
-        (r"\b(?P<s>spring|summer|fall|autumn|winter)\s*[-' ]?\s*(?P<y>\d{4})\b", "season"),
-        (r"\b(?P<y>19\d\d|20\d\d)\b", "year"),
-    )
-]
-
-
-def _month_end(year: int, month: int) -> dt.date:
-    return (dt.date(year + month // 12, month % 12 + 1, 1)) - dt.timedelta(days=1)
-
-
-def date_period(found: re.Match, grain: str) -> tuple[dt.date, dt.date] | None:
-    """First and last day that a printed date stands for; None if there is no such month."""
-    g = found.groupdict()
-    year = int(g["y"]) + (2000 if len(g["y"]) == 2 else 0)
-    month = MONTHS.index(g["mon"][:3].lower()) + 1 if g.get("mon") else int(g.get("m") or 0)
-    if grain == "day":
-        if not 1 <= month <= 12 or not 1 <= year <= 9998:
-            return None
-        last = _month_end(year, month)
-        day = dt.date(year, month, int(g["d"])) if 1 <= int(g["d"]) <= last.day else last
-        return day, day
-    first, final = {
-        "month": (month, month), "quarter": (3 * int(g.get("q") or 1) - 2, 3 * int(g.get("q") or 1)),
-        "season": SEASONS.get((g.get("s") or "").lower(), (0, 0)), "year": (1, 12),
-    }[grain]
-    return (dt.date(year, first, 1), _month_end(year, final)) if 1 <= first and final <= 12 else None
+
+_NAMED = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b\.?"
+#: All printed forms in one scanner; of those that begin at one place the most precise comes first.
+_SCANNER = re.compile(
+    rf"""(?P<mdy>\d{{1,2}}/\d{{1,2}}/\d{{2,4}})
+    | \b(?P<ymd>(?:19|20)\d\d-\d{{1,2}}-\d{{1,2}})(?!\d)
+    | \b(?P<dy>{_NAMED}\s+\d{{1,2}},?\s+\d{{4}}|\d{{1,2}}\s+{_NAMED},?\s+\d{{4}})\b
+    | \b(?P<month>{_NAMED}\s*[-'’\ ,]\s*(?:\d{{4}}|\d{{2}}))\b
+    | \b(?P<my>\d{{1,2}}/\d{{4}})\b
+    | \b(?P<quarter>q[1-4]\s*[-'\ ]?\s*\d{{4}}|\d{{4}}\s*[-'\ ]?\s*q[1-4](?!\s*[-'\ ]?\s*\d{{4}}))\b
+    | \b(?P<season>(?:spring|summer|fall|autumn|winter)\s*[-'\ ]?\s*\d{{4}})\b
+    | \b(?P<year>19\d\d|20\d\d)\b""",
+    re.I | re.X,
+)
+
+
+def _period(form: str, printed: str) -> tuple[dt.date, dt.date] | None:
+    """First and last day that a printed date stands for; None if there is no such month or year."""
+    numbers = re.findall(r"\d+", printed)
+    word = re.search(r"[a-z]+", printed.lower())
+    year = numbers[0] if form == "ymd" else max(numbers, key=len) if form == "quarter" else numbers[-1]
+    day = None
+    if form in ("dy", "month"):
+        first = last = 1 + MONTHS.index(word[0][:3])
+        day = int(numbers[0]) if form == "dy" else None
+    elif form == "quarter":
+        last = 3 * int(min(numbers, key=len))
+        first = last - 2
+    elif form == "season":
+        first, last = SEASONS[word[0]]
+    elif form == "year":
+        first, last = 1, 12
+    else:
+        first = last = int(numbers[1] if form == "ymd" else numbers[0])
+        day = int(numbers[2] if form == "ymd" else numbers[1]) if form != "my" else None
+    y = int(year) + 2000 * (len(year) == 2)
+    if not (1 <= first <= last <= 12 and 1 <= y <= 9998):
+        return None
+    end = calendar.monthrange(y, last)[1]
+    if day is not None:  # a day that the month has not is its last one
+        at = dt.date(y, first, day if 1 <= day <= end else end)
+        return at, at
+    return dt.date(y, first, 1), dt.date(y, last, end)
 
 
 def read_date(raw: str | None, end: bool) -> dt.date | None:
     """The latest last day (``end``) or the earliest first day of all dates in a text."""
-    taken: list[tuple[int, int]] = []
-    periods = []
-    for form, grain in DATE_FORMS:
-        for m in form.finditer(raw or ""):
-            if any(a < m.end() and m.start() < b for a, b in taken):
-                continue  # part of a date already read
-            taken.append(m.span())
-            if p := date_period(m, grain):
-                periods.append(p)
-    if not periods:
-        return None
-    return max(p[1] for p in periods) if end else min(p[0] for p in periods)
+    periods = [p for m in _SCANNER.finditer(raw or "") if (p := _period(m.lastgroup, m[0]))]
+    days = [p[end] for p in periods]
+    return (max if end else min)(days, default=None)
 
 
 def any_date(column: Column, end: bool = True) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import editions, matching, shapes
+from ..operators.common import shared_path
 from ..sources import sinks
 from ..sources.adapters import AREAS, ENDPOINTS, GAZETTEER, RECORDS, build
 from ..streaming import replay
@@ -29,9 +27,15 @@ def q_match_reused(spark, sf_dir):
 
 
 def q_lineage(spark, sf_dir):
-    """Lineage of the first plan's records."""
-    steps = editions.edition_steps(ordered(spark, sf_dir)).filter("plan = 'alpha'").orderBy("seq").select("id", "previous").collect()
-    return matching.lineage(build(spark, sf_dir, REPEATING).filter("plan = 'alpha'"), [(r["id"], r["previous"]) for r in steps], True)
+    """Lineage of all plans' records; a lineage holds within its plan."""
+    steps = editions.edition_steps(ordered(spark, sf_dir)).orderBy("seq").select("plan", "id", "previous").collect()
+    records = build(spark, sf_dir, REPEATING)
+    told = None
+    for plan in sorted({r["plan"] for r in steps}):
+        mine = [(r["id"], r["previous"]) for r in steps if r["plan"] == plan]
+        done = matching.lineage(records.filter(F.col("plan") == plan), mine, True)
+        told = done if told is None else told.unionByName(done)
+    return told
 
 
 def q_clusters(spark, sf_dir):
@@ -41,10 +45,12 @@ def q_clusters(spark, sf_dir):
 
 
 def q_greedy(spark, sf_dir):
-    """Greedy one-to-one match of names by brand."""
-    g = build(spark, sf_dir, GAZETTEER.replace("p_partkey AS item", "p_partkey AS item, p_brand AS brand"))
-    rows = g.select("brand", F.col("item").alias("pos"), text.norm_name(F.col("name")).alias("norm")).withColumn("brand", F.concat_ws("/", "brand", F.floor(F.col("pos") / 200)))
-    return matching.greedy_matches(rows.filter("pos % 2 = 0"), rows.filter("pos % 2 = 1"), "brand")
+    """Greedy one-to-one match of the places named in a document, its titles and its list: the
+    first two words of a part's name and its size class stand for the document, even rows for the titles."""
+    kind = "p_partkey AS item, substring_index(p_name, ' ', 2) || '/' || CAST(p_size AS STRING) || p_brand AS entry"
+    g = build(spark, sf_dir, GAZETTEER.replace("p_partkey AS item", kind))
+    rows = g.select("entry", F.col("item").alias("pos"), text.norm_name(F.col("name")).alias("norm"))
+    return matching.greedy_matches(rows.filter("pos % 2 = 0"), rows.filter("pos % 2 = 1"), "entry")
 
 
 def q_bipartite(spark, sf_dir):
@@ -85,7 +91,7 @@ def q_evidence(spark, sf_dir):
 
 def q_stream_replay(spark, sf_dir):
     """Editions replayed as a stream, read from a table of records."""
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='replay-')).rstrip('/')}/replay-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "replay")
     records = build(spark, sf_dir, RECORDS).select("plan", "rkey", F.col("edition").cast("long").alias("edition"), "name", F.col("isd").cast("string").alias("isd"), "cost_cents")
     records.write.parquet(f"{folder}/records")
     stream = spark.readStream.schema(records.schema).parquet(f"{folder}/records")

@@ -46,18 +46,18 @@ SQL_SIGNATURES = f"WITH k AS (SELECT doc_id, list_filter([{_SIG}], lambda x: x I
 
 def q_id_collisions(spark, sf_dir):
     """Ids printed more than once in an edition, and ids that others begin with."""
-    ids = build(spark, sf_dir, RECORDS).filter("edition = 1997").select(F.floor(F.col("ord") / 2).cast("string").alias("key"))
-    counted = ids.groupBy("key").agg(F.count("*").alias("n"))
+    ids = build(spark, sf_dir, RECORDS).select("edition", F.floor(F.col("ord") / 2).cast("string").alias("key"))
+    counted = ids.groupBy("edition", "key").agg(F.count("*").alias("n"))
     lengths = F.sequence(F.lit(2), F.greatest(F.lit(2), F.length("key") - 1))
-    starts = counted.filter(F.length("key") > 2).select(F.col("key").alias("longer"), F.explode(F.transform(lengths, lambda i: F.substring("key", F.lit(1), i))).alias("key"))
-    begun = starts.groupBy("key").agg(F.count("*").alias("begun"))
-    joined = counted.join(begun.filter(F.length("key") >= 2), "key", "left")
-    return joined.select("key", "n", F.coalesce("begun", F.lit(0)).alias("begun")).filter("n > 1 OR begun > 0")
+    starts = counted.filter(F.length("key") > 2).select("edition", F.col("key").alias("longer"), F.explode(F.transform(lengths, lambda i: F.substring("key", F.lit(1), i))).alias("key"))
+    begun = starts.groupBy("edition", "key").agg(F.count("*").alias("begun"))
+    joined = counted.join(begun.filter(F.length("key") >= 2), ["edition", "key"], "left")
+    return joined.select(F.col("edition").cast("long").alias("edition"), "key", "n", F.coalesce("begun", F.lit(0)).alias("begun")).filter("n > 1 OR begun > 0")
 
 
-SQL_IDS = f"""WITH r AS ({plain(RECORDS)}), c AS (SELECT CAST(ord // 2 AS VARCHAR) AS key, count(*) AS n FROM r WHERE edition = 1997 GROUP BY 1),
-b AS (SELECT a.key, count(*) AS begun FROM c a JOIN c b ON length(a.key) >= 2 AND length(b.key) > length(a.key) AND starts_with(b.key, a.key) GROUP BY a.key)
-SELECT c.key, n, coalesce(begun, 0) AS begun FROM c LEFT JOIN b USING (key) WHERE n > 1 OR begun > 0"""
+SQL_IDS = f"""WITH r AS ({plain(RECORDS)}), c AS (SELECT CAST(edition AS BIGINT) AS edition, CAST(ord // 2 AS VARCHAR) AS key, count(*) AS n FROM r GROUP BY 1, 2),
+b AS (SELECT a.edition, a.key, count(*) AS begun FROM c a JOIN c b ON a.edition = b.edition AND length(a.key) >= 2 AND length(b.key) > length(a.key) AND starts_with(b.key, a.key) GROUP BY a.edition, a.key)
+SELECT c.edition, c.key, n, coalesce(begun, 0) AS begun FROM c LEFT JOIN b USING (edition, key) WHERE n > 1 OR begun > 0"""
 
 
 def q_cost_coverage(spark, sf_dir):

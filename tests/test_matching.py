@@ -13,7 +13,7 @@ from meshwork.operators import graph, matching, shapes
 DATES = [
     ("6/1/2027", "2027-06-01", "2027-06-01"), ("June 2027", "2027-06-30", "2027-06-01"), ("Q2 2028", "2028-06-30", "2028-04-01"), ("Summer 2027", "2027-08-31", "2027-06-01"), ("2029", "2029-12-31", "2029-01-01"),
     ("12/1/2026; 6/1/2028", "2028-06-01", "2026-12-01"), ("TBD", None, None), ("Phase 1: 2027; Phase 2: 2029", "2029-12-31", "2027-01-01"),
-    ("June 2027 (Phase 1), December 2029 (Phase 2)", "2029-12-31", "2027-06-01"), ("delayed from 2025 to 2027", "2027-12-31", "2025-01-01"), ("Marion 2027", "2027-12-31", "2027-01-01"), ("4/31/2026", "2026-04-30", "2026-04-30"), (None, None, None),
+    ("June 2027 (Phase 1), December 2029 (Phase 2)", "2029-12-31", "2027-06-01"), ("delayed from 2025 to 2027", "2027-12-31", "2025-01-01"), ("Q1 2026 to 2027 Q3", "2027-09-30", "2026-01-01"), ("5 June, 2027 and Jan. '28", "2028-01-31", "2027-06-05"), ("13/2027", None, None), ("Marion 2027", "2027-12-31", "2027-01-01"), ("4/31/2026", "2026-04-30", "2026-04-30"), (None, None, None),
 ]
 
 
@@ -58,10 +58,27 @@ def test_lineage_ordinals(spark):
     assert len({got[("e2", i)] for i in range(3)}) == 3 and got[("e2", 0)] == got[("e1", 0)]
 
 
+def test_lineage_takes_the_next_free_ordinal(spark):
+    """A record that drifts to another key's name keeps its lineage; new ones step over it."""
+    name, editions_ = "Savannah River", [
+        ("e1", ["Savannah River"] * 3), ("e2", ["Savannah River", "Savannah River", "Savannah River Site"]),
+        ("e3", ["Savannah River", "Savannah River", "Savannah River Site"]), ("e4", ["Savannah River", "Savannah River Site", "Savannah River", "Savannah River"]),
+    ]
+    rows = [(f, i, "K", n, "SC") for f, names in editions_ for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "filing string, pos long, rkey string, name string, state string")
+    steps = [(f, editions_[i - 1][0] if i else None) for i, (f, _) in enumerate(editions_)]
+    got = {(r.filing, r.pos): r.lineage for r in matching.lineage(df, steps, False).collect()}
+    for f, names in editions_:
+        assert len({got[f, i] for i in range(len(names))}) == len(names)
+    base = "SC:K:savannah river"
+    assert [got["e1", i] for i in range(3)] == [base, f"{base}:2", f"{base}:3"]
+    assert [got["e4", i] for i in range(4)] == [base, f"{base}:3", f"{base}:2", f"{base}:4"], name
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_maximum_matching(spark, seed):
     rng = random.Random(seed)
-    edges = {(rng.randrange(6), rng.randrange(6)) for _ in range(9)}
+    edges = {(rng.randrange(6), rng.randrange(6)) for _ in range(6 + 2 * seed)}
     got = matching.maximum_matching(spark.createDataFrame([(0, a, b) for a, b in edges], "g long, l long, r long"), "g").collect()
     assert {(r.l, r.r) for r in got} <= edges and len({r.l for r in got}) == len({r.r for r in got}) == len(got)
     best = max(n for n in range(7) for c in itertools.combinations(edges, n) if len({a for a, _ in c}) == len({b for _, b in c}) == n)
@@ -73,6 +90,9 @@ def test_shapes():
     moved = [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]
     assert sorted(shapes.clip_ring_to_convex(square, moved)) == [(1.0, 1.0), (1.0, 2.0), (2.0, 1.0), (2.0, 2.0)]
     assert shapes.clip_ring_to_convex(square, [(5.0, 5.0), (6.0, 5.0), (6.0, 6.0)]) == []
+    assert sorted(shapes.clip_ring_to_convex(square, moved[::-1])) == [(1.0, 1.0), (1.0, 2.0), (2.0, 1.0), (2.0, 2.0)]
+    assert shapes.clip_path_to_box([(3.0, 0.0), (3.0, 1.0)], 0, 0, 2, 2) == [] and shapes.clip_path_to_box([(1.0, 1.0)], 0, 0, 2, 2) == []
+    assert shapes.clip_path_to_box([(-1.0, 1.0), (1.0, 1.0), (1.0, 5.0)], 0, 0, 2, 2) == [[(0.0, 1.0), (1.0, 1.0), (1.0, 2.0)]]
     assert shapes.clip_path_to_box([(-1.0, 1.0), (5.0, 1.0)], 0, 0, 2, 2) == [[(0.0, 1.0), (2.0, 1.0)]]
     assert shapes.simplify([(0.0, 0.0), (1.0, 0.01), (2.0, 0.0)], 0.05) == [(0.0, 0.0), (2.0, 0.0)]
     assert len(shapes.corridor([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], 0.1)) == 2

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import geo
+from ..functions import geo, text
+from .matching import SAME_NAME, similarity
 from .pairs import near_join
 
 
@@ -52,8 +53,10 @@ def project_changes(matched: DataFrame) -> DataFrame:
     """Added, removed and changed projects; what changed, days moved and cost."""
     differs = lambda c: ~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
     both = F.col("o").isNotNull() & F.col("n").isNotNull()
+    # Ids that are unique match on the id alone; a name only counts as changed if it is quite another.
+    renamed = differs("name") & (similarity(text.norm_name(F.col("o.name")), text.norm_name(F.col("n.name"))) < SAME_NAME)
     cost = (F.coalesce(F.col("o.cost_cents"), F.lit(0)) != 0) & (F.coalesce(F.col("n.cost_cents"), F.lit(0)) != 0) & differs("cost_cents")
-    what = F.array_compact(F.array(F.when(differs("name"), "name"), F.when(differs("isd"), "date"), F.when(cost, "cost")))
+    what = F.array_compact(F.array(F.when(renamed, "name"), F.when(differs("isd"), "date"), F.when(cost, "cost")))
     kind = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("changed")
     told = matched.select(
         "step", "rkey", kind.alias("kind"), F.when(both, what).otherwise(F.array().cast("array<string>")).alias("what"),
@@ -79,8 +82,8 @@ def qualifying_pairs(records: DataFrame, cutoff: float = 25.0) -> DataFrame:
     slim = records.filter("lat IS NOT NULL AND lon IS NOT NULL").select(F.struct("snap", "plan_ord", "state", "rkey", "isd", "lat", "lon").alias("p"))
     top = records.agg(F.max(F.abs("lat"))).first()[0] or 0.0
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    met = near_join(slim.select(F.col("p").alias("a")), slim.select(F.col("p").alias("b")), cutoff, top)
-    ok = (a("snap") == b("snap")) & (a("plan_ord") < b("plan_ord")) & (a("state") != b("state"))
+    met = near_join(slim.select(F.col("p").alias("a")), slim.select(F.col("p").alias("b")), cutoff, top, same=("snap",))
+    ok = (a("plan_ord") < b("plan_ord")) & (a("state") != b("state"))
     found = met.filter(ok).withColumn("miles", geo.haversine(a("lat"), a("lon"), b("lat"), b("lon"))).filter(F.col("miles") < cutoff)
     return found.select(a("snap").alias("snap"), a("plan_ord").alias("a_plan"), a("rkey").alias("a_key"), b("plan_ord").alias("b_plan"), b("rkey").alias("b_key"), "miles", F.abs(F.datediff(a("isd"), b("isd"))).alias("gap"))
 
@@ -98,10 +101,13 @@ def pair_changes(before: DataFrame, after: DataFrame, moved: int = 30) -> DataFr
 
 def edition_shape(records: DataFrame) -> DataFrame:
     """Records, dated ones, and the upper median length of names, per filing."""
-    sizes = F.sort_array(F.collect_list(F.length("name")))
-    return records.groupBy("filing").agg(
-        F.count("*").alias("records"), F.count("isd").alias("dated"), F.count_if(F.col("rkey") != "").alias("with_id"), F.get(sizes, F.floor(F.count("*") / 2).cast("int")).alias("name_length")
-    )
+    counts = records.groupBy("filing").agg(F.count("*").alias("records"), F.count("isd").alias("dated"), F.count_if(F.col("rkey") != "").alias("with_id"))
+    # The median from how many names there are of each length: few rows a filing, however many records.
+    lengths = records.groupBy("filing", F.length("name").alias("length")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("filing").orderBy(F.col("length").asc_nulls_first()))
+    reached = lengths.withColumn("upto", upto).join(counts.select("filing", "records"), "filing").filter(F.col("upto") > F.floor(F.col("records") / 2))
+    medians = reached.groupBy("filing").agg(F.min_by("length", "upto").alias("name_length"))
+    return counts.join(medians, "filing").select("filing", "records", "dated", "with_id", "name_length")
 
 
 def shape_drift(shapes: DataFrame, steps: DataFrame) -> DataFrame:

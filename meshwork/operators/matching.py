@@ -5,6 +5,7 @@ from __future__ import annotations
 import calendar
 import datetime as dt
 import difflib
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -89,47 +90,46 @@ def match_editions(old: DataFrame, new: DataFrame, reuses_ids: bool) -> DataFram
     return single.unionByName(grouped)
 
 
-def lineage(records: DataFrame, steps: list[tuple[str, str | None]], reuses_ids: bool) -> DataFrame:
-    """``filing, pos, lineage``: one plan's editions in order; a match keeps its lineage.
+def lineage(records: DataFrame, rounds: list[dict[str, str | None]], reuses_ids: bool) -> DataFrame:
+    """``filing, pos, lineage``: plans' editions in order; a match keeps its lineage.
 
     A new record is named by state, key and name; repeats take the next free ordinal in print order.
-    The loop is over the few editions of a plan; each step is one distributed match.
+    A round holds one edition of each plan, with the one before it; the loop is over the few editions
+    of a plan, and each round is one distributed match of all plans.
     """
-
-    done = None
+    spark, done = records.sparkSession, []
+    fresh = F.concat_ws(":", "state", "rkey", text.norm_name(F.col("name")))
     previous: DataFrame | None = None
-    for filing, before in steps:
-        mine = records.filter(F.col("filing") == filing).withColumn("step", F.lit(filing))
-        fresh = F.concat_ws(":", "state", "rkey", text.norm_name(F.col("name")))
-        if before is None or previous is None:
-            told = _with_free_ordinals(mine.withColumn("fresh", fresh).withColumn("kept", F.lit(None).cast("string")))
+    for filings in rounds:
+        mine = records.filter(F.col("filing").isin(list(filings))).withColumn("fresh", fresh)
+        if previous is None:
+            told = mine.withColumn("kept", F.lit(None).cast("string"))
         else:
-            old = previous.withColumn("step", F.lit(filing))
-            pairs = match_editions(old, mine, reuses_ids).filter("new_pos IS NOT NULL").select("old_pos", F.col("new_pos").alias("pos"))
-            kept = pairs.join(previous.select(F.col("pos").alias("old_pos"), F.col("lineage").alias("kept")), "old_pos", "left").select("pos", "kept")
-            joined = mine.join(kept, "pos", "left").withColumn("fresh", fresh)
-            told = _with_free_ordinals(joined)
-        previous = checkpointed(told.select("filing", "pos", "rkey", "name", "state", "lineage"))
-        out = previous.select("filing", "pos", "lineage")
-        done = out if done is None else done.unionByName(out)
-    return done
+            follows = F.broadcast(spark.createDataFrame([(p, f) for f, p in filings.items() if p], "filing string, step string"))
+            old = previous.join(follows, "filing").withColumnRenamed("pos", "old_pos")
+            pairs = match_editions(old.withColumnRenamed("old_pos", "pos"), mine.withColumn("step", F.col("filing")), reuses_ids).filter("new_pos IS NOT NULL")
+            kept = pairs.join(old.select("step", "old_pos", F.col("lineage").alias("kept")), ["step", "old_pos"])
+            told = mine.join(kept.select(F.col("step").alias("filing"), F.col("new_pos").alias("pos"), "kept"), ["filing", "pos"], "left")
+        previous = _with_free_ordinals(told.select("filing", "pos", "rkey", "name", "state", "fresh", "kept"))
+        done.append(previous.select("filing", "pos", "lineage"))
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def _with_free_ordinals(records: DataFrame) -> DataFrame:
     """Adds ``lineage``: the one ``kept``, or else ``fresh`` itself, ``fresh:2``, ``fresh:3``, ...,
     the first of these that no record of the edition carries, in print order."""
     named = checkpointed(records)
-    taken = named.filter("kept IS NOT NULL").select(F.col("kept").alias("lineage")).distinct()
-    news = named.filter("kept IS NULL").withColumn("nth", F.row_number().over(Window.partitionBy("fresh").orderBy("pos")))
+    taken = named.filter("kept IS NOT NULL").select("filing", F.col("kept").alias("lineage")).distinct()
+    news = named.filter("kept IS NULL").withColumn("nth", F.row_number().over(Window.partitionBy("filing", "fresh").orderBy("pos")))
     # As many candidates as could be needed: one for each new record and for each taken name that begins like it.
     base = F.regexp_replace("lineage", r":\d+$", "")
-    used = taken.select(F.explode(F.array_distinct(F.array("lineage", base))).alias("fresh")).groupBy("fresh").agg(F.count("*").alias("used"))
-    wanted = news.groupBy("fresh").agg(F.count("*").alias("many")).join(used, "fresh", "left")
-    ordinals = wanted.select("fresh", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many") + F.coalesce("used", F.lit(0)))).alias("ordinal"))
+    used = taken.select("filing", F.explode(F.array_distinct(F.array("lineage", base))).alias("fresh")).groupBy("filing", "fresh").agg(F.count("*").alias("used"))
+    wanted = news.groupBy("filing", "fresh").agg(F.count("*").alias("many")).join(used, ["filing", "fresh"], "left")
+    ordinals = wanted.select("filing", "fresh", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many") + F.coalesce("used", F.lit(0)))).alias("ordinal"))
     names = ordinals.withColumn("lineage", F.when(F.col("ordinal") == 1, F.col("fresh")).otherwise(F.concat_ws(":", "fresh", "ordinal")))
-    free = names.join(taken, "lineage", "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy("fresh").orderBy("ordinal")))
-    told = news.join(free.select("fresh", "nth", "lineage"), ["fresh", "nth"]).drop("nth")
-    return told.unionByName(named.filter("kept IS NOT NULL").withColumn("lineage", F.col("kept")))
+    free = names.join(taken, ["filing", "lineage"], "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy("filing", "fresh").orderBy("ordinal")))
+    told = news.join(free.select("filing", "fresh", "nth", "lineage"), ["filing", "fresh", "nth"]).drop("nth")
+    return checkpointed(told.unionByName(named.filter("kept IS NOT NULL").withColumn("lineage", F.col("kept"))))
 
 
 def greedy_matches(lefts: DataFrame, rights: DataFrame, group: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, geo, intervals
-from .common import numbered
+from .common import checkpointed, numbered
 
 #: Radii are joined class by class, so that one wide circle does not widen every cell.
 RADIUS_CLASSES = (2.0, 12.0, float("inf"))
+#: No two places are farther apart.
+HALF_AROUND = 12_500.0
 LEGACY_PLANS = {"SC": "desc", "GA": "ga"}
 
 
@@ -29,18 +32,48 @@ def _cells(lat: Column, lon: Column, height: float, columns: int, spread: bool)
     return F.array_distinct(F.array(*[F.struct((i + a).alias("i"), F.pmod(j + b, F.lit(columns)).alias("j")) for a in around for b in around]))
 
 
-def near_join(a: DataFrame, b: DataFrame, reach: float, max_abs_lat: float) -> DataFrame:
-    """Rows of a and b (structs ``a`` and ``b`` with lat, lon) that share a neighbourhood of cells.
-
-    Lossless for distances below ``reach``: cells are at least as high and as wide; each row of a
-    lies in one cell only, so no pair is found twice.
-    """
+def _grid(reach: float, max_abs_lat: float) -> tuple[float, int]:
+    """Height of a cell in degrees and cells around the globe: a cell is at least as high and as wide as the reach."""
     height = reach / 69.0
     width = 360.0 if max_abs_lat > 85 else min(360.0, 1.01 * height / math.cos(math.radians(max_abs_lat)))
-    columns = max(1, int(360.0 // width))
-    left = a.select("a", F.explode(_cells(F.col("a.lat"), F.col("a.lon"), height, columns, False)).alias("cell"))
-    right = b.select("b", F.explode(_cells(F.col("b.lat"), F.col("b.lon"), height, columns, True)).alias("cell"))
-    return left.join(right, "cell").drop("cell")
+    return height, max(1, int(360.0 // width))
+
+
+def near_join(a: DataFrame, b: DataFrame, reach: float, max_abs_lat: float, same: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a and b (structs ``a`` and ``b`` with lat, lon) that share a neighbourhood of cells,
+    and the fields named in ``same``.
+
+    Lossless for distances below ``reach``; each row of a lies in one cell only, so no pair is found twice.
+    """
+    grid = _grid(reach, max_abs_lat)
+    keyed = lambda d, side, spread: d.select(
+        side, F.explode(_cells(F.col(f"{side}.lat"), F.col(f"{side}.lon"), *grid, spread)).alias("cell"), *[F.col(f"{side}.{c}").alias(f"__{c}") for c in same]
+    )
+    on = ["cell", *[f"__{c}" for c in same]]
+    return keyed(a, "a", False).join(keyed(b, "b", True), on).drop(*on)
+
+
+def near_join_of_kinds(rows: DataFrame, reaches: dict[tuple[int, int], float], max_abs_lat: float) -> DataFrame:
+    """``near_join`` of a table (``kind``, struct ``p``) with itself, where the reach depends on both
+    rows' kinds: one join on the two kinds and the cell of their grid."""
+    kinds = sorted({k for k, _ in reaches})
+    lat, lon = F.col("p.lat"), F.col("p.lon")
+
+    def cells(mine: int, spread: bool) -> Column:
+        each = []
+        for other in kinds:
+            x, y = (other, mine) if spread else (mine, other)
+            found = _cells(lat, lon, *_grid(reaches[x, y], max_abs_lat), spread)
+            each.append(F.transform(found, lambda c: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), c["i"].alias("i"), c["j"].alias("j"))))  # noqa: B023
+        return F.concat(*each)
+
+    def keyed(side: str, spread: bool) -> DataFrame:
+        all_cells = F.lit(None)
+        for k in kinds:
+            all_cells = F.when(F.col("kind") == k, cells(k, spread)).otherwise(all_cells)
+        return rows.select(F.col("p").alias(side), F.explode(all_cells).alias("cell"))
+
+    return keyed("a", False).join(keyed("b", True), "cell").drop("cell")
 
 
 def distance_join(
@@ -57,17 +90,8 @@ def distance_join(
         kind = F.when(radius <= RADIUS_CLASSES[i], i).otherwise(kind)
     rows = placed.select(kind.alias("kind"), F.struct(*placed.columns).alias("p"))
     found = placed.select(kind.alias("kind"), radius.alias("r"), F.abs("lat").alias("lat")).groupBy("kind").agg(F.max("r").alias("r"), F.max("lat").alias("lat")).collect()
-    joined = None
-    for x in found:
-        for y in found:
-            part = near_join(
-                rows.filter(F.col("kind") == x["kind"]).select(F.col("p").alias("a")), rows.filter(F.col("kind") == y["kind"]).select(F.col("p").alias("b")),
-                cutoff + x["r"] + y["r"], max(r["lat"] for r in found),
-            )
-            joined = part if joined is None else joined.unionAll(part)
-    if joined is None:
-        empty = rows.filter("false")
-        joined = empty.select(F.col("p").alias("a")).crossJoin(empty.select(F.col("p").alias("b")))
+    reaches = {(x["kind"], y["kind"]): cutoff + x["r"] + y["r"] for x in found for y in found} or {(0, 0): cutoff}
+    joined = near_join_of_kinds(rows, reaches, max((r["lat"] for r in found), default=0.0))
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     day = F.lit(as_of).cast("date")
     measured = joined.filter((a("plan_ord") < b("plan_ord")) & (a("state") != b("state"))).withColumn("miles", geo.haversine(a("lat"), a("lon"), b("lat"), b("lon")))
@@ -118,14 +142,16 @@ def nearby_endpoints(pairs: DataFrame, endpoints: DataFrame, within: float = 0.5
     return both.withColumn("miles", far).filter(F.col("miles") <= within).select("pair", F.col("x.name").alias("a_name"), F.col("y.name").alias("b_name"), F.col("x.pos").alias("a_pos"), F.col("y.pos").alias("b_pos"), "miles")
 
 
-def nearest_partner(projects: DataFrame, reach: float = 100.0) -> DataFrame:
+def nearest_partner(projects: DataFrame, reach: float = 5.0) -> DataFrame:
     """The nearest project of another plan and state; the first in input order wins ties.
 
-    Looked for within ``reach``; what finds none there meets all (few, by the choice of reach).
+    Looked for within ``reach`` miles first; what finds none there goes on with twice the reach,
+    until all have one or the reach is half the way around the globe.  So a dense region is
+    settled in small cells, and wide ones are left to projects that are far from all others.
     """
     placed = projects.filter("lat IS NOT NULL AND lon IS NOT NULL AND plan_ord IS NOT NULL")
-    slim = placed.select(F.struct("id", "ord", "plan_ord", "state", "lat", "lon").alias("p"))
-    top = placed.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    slim = checkpointed(placed.select(F.struct("id", "ord", "plan_ord", "state", "lat", "lon").alias("p")))
+    top = slim.agg(F.max(F.abs("p.lat"))).first()[0] or 0.0
 
     def best(pairs: DataFrame) -> DataFrame:
         a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
@@ -135,11 +161,16 @@ def nearest_partner(projects: DataFrame, reach: float = 100.0) -> DataFrame:
             F.min_by(F.struct("partner", "miles"), F.struct("miles", "o")).alias("m")
         ).select("id", "m.partner", "m.miles")
 
-    left, right = slim.select(F.col("p").alias("a")), slim.select(F.col("p").alias("b"))
-    near = best(near_join(left, right, reach, top)).filter(F.col("miles") < reach)
-    missing = left.join(near, F.col("a.id") == F.col("id"), "left_anti")
-    far = best(missing.join(right, F.col("a.plan_ord") != F.col("b.plan_ord")))
-    return near.unionByName(far)
+    right, missing, found = slim.select(F.col("p").alias("b")), slim.select(F.col("p").alias("a")), []
+    while True:
+        last = reach > HALF_AROUND
+        near = checkpointed(best(near_join(missing, right, reach, top)).filter(F.lit(last) | (F.col("miles") < reach)))
+        found.append(near)
+        missing = checkpointed(missing.join(near, F.col("a.id") == F.col("id"), "left_anti"))
+        if last or not missing.limit(1).count():
+            break
+        reach *= 2
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def partner_counts(pairs: DataFrame, projects: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -29,13 +31,11 @@ def q_match_reused(spark, sf_dir):
 def q_lineage(spark, sf_dir):
     """Lineage of all plans' records; a lineage holds within its plan."""
     steps = editions.edition_steps(ordered(spark, sf_dir)).orderBy("seq").select("plan", "id", "previous").collect()
-    records = build(spark, sf_dir, REPEATING)
-    told = None
-    for plan in sorted({r["plan"] for r in steps}):
-        mine = [(r["id"], r["previous"]) for r in steps if r["plan"] == plan]
-        done = matching.lineage(records.filter(F.col("plan") == plan), mine, True)
-        told = done if told is None else told.unionByName(done)
-    return told
+    by_plan: dict[str, list] = {}
+    for r in steps:
+        by_plan.setdefault(r["plan"], []).append((r["id"], r["previous"]))
+    rounds = [dict(filter(None, nth)) for nth in itertools.zip_longest(*by_plan.values())]
+    return matching.lineage(build(spark, sf_dir, REPEATING), rounds, True)
 
 
 def q_clusters(spark, sf_dir):

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import geo, text
 from ..operators import graph, overlay, placement
-from ..sources.adapters import AREAS, ENDPOINTS, GAZETTEER, PROJECTS, build, plain
+from ..operators.common import checkpointed
+from ..sources.adapters import AREAS, ENDPOINTS, GAZETTEER, PROJECTS, VERTICES, build, plain
 from .pair_queries import HAV
 from .text_queries import sql_chain
 
@@ -160,18 +161,33 @@ NETWORK = """SELECT DISTINCT l_partkey AS u, 1000000000 + l_suppkey AS v, CAST(1
 
 
 def q_routes(spark, sf_dir):
-    """Capped shortest distances over a line network from every fiftieth part."""
+    """Capped shortest distances over a line network from every part."""
     edges = graph.bidirected(build(spark, sf_dir, NETWORK))
-    sources = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("source"), F.lit(12.0).alias("cap"))
+    sources = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("source"), F.lit(12.0).alias("cap"))
     return graph.capped_distances(edges, sources)
 
 
 SQL_ROUTES = """WITH RECURSIVE n AS (SELECT DISTINCT l_partkey AS u, 1000000000 + l_suppkey AS v, CAST(1 + (l_partkey * 7 + l_suppkey * 13) % 50 AS DOUBLE) AS miles FROM lineitem),
 e AS (SELECT u, v, miles FROM n WHERE miles <= 12 UNION SELECT v, u, miles FROM n WHERE miles <= 12),
-r AS (SELECT p_partkey AS source, p_partkey AS vertex, 0.0::DOUBLE AS miles FROM part WHERE p_partkey % 50 = 0 UNION SELECT r.source, e.v, r.miles + e.miles FROM r JOIN e ON e.u = r.vertex WHERE r.miles + e.miles <= 12)
+r AS (SELECT p_partkey AS source, p_partkey AS vertex, 0.0::DOUBLE AS miles FROM part UNION SELECT r.source, e.v, r.miles + e.miles FROM r JOIN e ON e.u = r.vertex WHERE r.miles + e.miles <= 12)
 SELECT source, vertex, min(miles) AS miles FROM r GROUP BY source, vertex"""
 
-QUERIES = {"gazetteer": q_gazetteer, "placement": q_placement, "zones": q_zones, "zone_outliers": q_outliers, "cost_benchmark": q_benchmark, "location_edits": q_edits, "point_in_area": q_point_in_area,
+def q_line_routes(spark, sf_dir):
+    """Routes of projects along a lattice of lines, leg by leg between their endpoints."""
+    v = checkpointed(build(spark, sf_dir, VERTICES).select("vertex", "i", "j", F.col("v_lat").cast("double").alias("v_lat"), F.col("v_lon").cast("double").alias("v_lon")))
+    to = v.select(F.col("vertex").alias("v"), "i", "j", F.col("v_lat").alias("lat2"), F.col("v_lon").alias("lon2"))
+    steps = [v.select(F.col("vertex").alias("u"), (F.col("i") + a).alias("i"), (F.col("j") + b).alias("j"), "v_lat", "v_lon").join(to, ["i", "j"]) for a, b in ((1, 0), (0, 1))]
+    edges = steps[0].unionByName(steps[1]).withColumn("miles", geo.haversine_asin(F.col("v_lat"), F.col("v_lon"), F.col("lat2"), F.col("lon2")))
+    legs = checkpointed(legs_of(spark, sf_dir).drop("miles"))
+    found = checkpointed(graph.routes(legs, v.drop("i", "j"), graph.bidirected(edges.select("u", "v", "miles")), within=3.0))
+    e = build(spark, sf_dir, ENDPOINTS)
+    sure = F.col("lat").isNotNull() & F.col("confidence").isin("medium", "high") & F.col("method").isin("manual", "reference", "osm-exact", "osm-partial")
+    eligible = e.groupBy(F.col("id").alias("key")).agg(F.bool_and(sure | (F.col("pos") == 2)).alias("eligible"))
+    projects = build(spark, sf_dir, PROJECTS).select(F.col("id").alias("key"), F.col("miles").alias("stated")).join(eligible, "key")
+    return graph.assembled(found, legs, projects)
+
+
+QUERIES = {"line_routes": q_line_routes, "gazetteer": q_gazetteer, "placement": q_placement, "zones": q_zones, "zone_outliers": q_outliers, "cost_benchmark": q_benchmark, "location_edits": q_edits, "point_in_area": q_point_in_area,
            "miles_to_area": q_miles_to_area, "area_shares": q_area_shares, "length_shares": q_length_shares, "routes": q_routes}
 SQL = {"gazetteer": SQL_GAZETTEER, "placement": SQL_PLACEMENT, "zones": SQL_ZONES, "zone_outliers": SQL_OUTLIERS, "cost_benchmark": SQL_BENCHMARK, "location_edits": SQL_EDITS, "point_in_area": SQL_POINT_IN_AREA,
        "miles_to_area": SQL_MILES_TO_AREA, "area_shares": SQL_AREA_SHARES, "length_shares": SQL_LENGTH_SHARES, "routes": SQL_ROUTES}

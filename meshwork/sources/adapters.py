@@ -46,7 +46,7 @@ SELECT CASE c.c_nationkey % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma
        CASE c.c_nationkey % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END || '-' || CAST(o.y AS STRING) AS filing,
        CASE c.c_nationkey % 3 WHEN 2 THEN 'GA' ELSE 'SC' END AS state,
        c.c_custkey AS ord, 'K' || CAST(c.c_custkey AS STRING) AS rkey,
-       CASE WHEN (c.c_custkey + o.y) % 17 = 0 THEN 'Renamed ' || c.c_name ELSE c.c_name END AS name,
+       CASE WHEN (c.c_custkey + o.y) % 17 = 0 THEN 'Quite Unlike Yjzvwk' ELSE c.c_name END AS name,
        o.last_date AS isd, o.cents AS cost_cents, o.status,
        31.4 + ((c.c_custkey * 7919) % 3000) / 1000.0 AS lat,
        -83.3 + ((c.c_custkey * 6007) % 3300) / 1000.0 + 5.0 * (CAST(floor(c.c_custkey / 3000.0) AS BIGINT) % 30) AS lon
@@ -81,6 +81,12 @@ SELECT n_nationkey AS area, n_name AS name, k AS pos,
 FROM {nation} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) s
 """
 
+#: Lines: a lattice of a tenth of a degree, where it holds a part's place; vertices and their neighbours to the north and east.
+VERTICES = f"""
+SELECT i * 1000 + j AS vertex, i, j, i / 10.0 AS v_lat, j / 10.0 - 100.0 AS v_lon
+FROM (SELECT DISTINCT CAST(floor(lat * 10) AS BIGINT) AS i, CAST(floor((lon + 100.0) * 10) AS BIGINT) AS j FROM ({GAZETTEER}) g) c
+"""
+
 TABLES = re.compile(r"\{(\w+)\}")
 
 

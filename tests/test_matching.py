@@ -53,7 +53,7 @@ def test_reused_ids(spark):
 def test_lineage_ordinals(spark):
     rows = [("e1", 0, "K", "Same name", "SC"), ("e1", 1, "K", "Same name", "SC"), ("e2", 0, "K", "Same name", "SC"), ("e2", 1, "K", "Same name", "SC"), ("e2", 2, "K", "Same name", "SC")]
     df = spark.createDataFrame(rows, "filing string, pos long, rkey string, name string, state string")
-    got = {(r.filing, r.pos): r.lineage for r in matching.lineage(df, [("e1", None), ("e2", "e1")], False).collect()}
+    got = {(r.filing, r.pos): r.lineage for r in matching.lineage(df, [{"e1": None}, {"e2": "e1"}], False).collect()}
     assert got[("e1", 0)] == "SC:K:same name" and got[("e1", 1)] == "SC:K:same name:2"
     assert len({got[("e2", i)] for i in range(3)}) == 3 and got[("e2", 0)] == got[("e1", 0)]
 
@@ -66,7 +66,7 @@ def test_lineage_takes_the_next_free_ordinal(spark):
     ]
     rows = [(f, i, "K", n, "SC") for f, names in editions_ for i, n in enumerate(names)]
     df = spark.createDataFrame(rows, "filing string, pos long, rkey string, name string, state string")
-    steps = [(f, editions_[i - 1][0] if i else None) for i, (f, _) in enumerate(editions_)]
+    steps = [{f: editions_[i - 1][0] if i else None} for i, (f, _) in enumerate(editions_)]
     got = {(r.filing, r.pos): r.lineage for r in matching.lineage(df, steps, False).collect()}
     for f, names in editions_:
         assert len({got[f, i] for i in range(len(names))}) == len(names)
@@ -98,6 +98,59 @@ def test_shapes():
     assert len(shapes.corridor([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], 0.1)) == 2
 
 
+def test_a_route_of_many_vertices(spark):
+    edges = graph.bidirected(spark.range(70).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1.0).alias("miles")))
+    got = graph.capped_distances(edges, spark.createDataFrame([(0, 1e9)], "source long, cap double")).collect()
+    assert {(r.vertex, r.miles) for r in got} == {(i, float(i)) for i in range(71)}
+
+
+def test_routes_against_a_walk_of_the_whole_network(spark):
+    """Every leg by Dijkstra from all vertices near one end to all near the other."""
+    import heapq
+    import math
+
+    def miles(a, b):
+        p, q = math.radians(a[0]), math.radians(b[0])
+        x = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 3958.8 * math.asin(math.sqrt(x))
+
+    rng = random.Random(6)
+    at = {i: (33 + rng.random() / 5, -82 + rng.random() / 5) for i in range(60)}
+    near = {(i, j) for i in at for j in at if i < j and miles(at[i], at[j]) < 2.6}
+    legs = [(f"k{n // 2}", n % 2, *(c + rng.uniform(-0.004, 0.004) for c in at[rng.randrange(60)]), *(c + rng.uniform(-0.004, 0.004) for c in at[rng.randrange(60)])) for n in range(40)]
+    legs.append(("far", 0, 35.0, -82.0, 33.1, -81.9))
+    want = {}
+    for key, leg, *points in legs:
+        a, b = points[:2], points[2:]
+        lat, lon = ([at[i][c] for i in at] for c in (0, 1))
+        if not all(min(lat) <= p[0] <= max(lat) and min(lon) <= p[1] <= max(lon) for p in (a, b)):
+            continue
+        ends = {i: miles(b, at[i]) for i in at if miles(b, at[i]) <= 0.4}
+        heap, seen, cap = [(miles(a, at[i]), i) for i in at if miles(a, at[i]) <= 0.4], {}, max(3 * miles(a, b), 2.0)
+        heapq.heapify(heap)
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u in seen or d > cap:
+                continue
+            seen[u] = d
+            for i, j in near:
+                if u in (i, j):
+                    heapq.heappush(heap, (d + miles(at[i], at[j]), j if u == i else i))
+        if hits := [seen[i] + far for i, far in ends.items() if i in seen]:
+            want[key, leg] = round(min(hits), 2)
+    vertices = spark.createDataFrame([(i, *p) for i, p in at.items()], "vertex long, v_lat double, v_lon double")
+    edges = graph.bidirected(spark.createDataFrame([(i, j, miles(at[i], at[j])) for i, j in near], "u long, v long, miles double"))
+    told = spark.createDataFrame(legs, "key string, leg int, lat1 double, lon1 double, lat2 double, lon2 double")
+    found = graph.routes(told, vertices, edges)
+    assert {(r.key, r.leg): r.route_miles for r in found.collect()} == pytest.approx(want) and len(want) > 10
+    whole = {k: want[k, 0] + want[k, 1] for k in {f"k{n}" for n in range(20)} if (k, 0) in want and (k, 1) in want}
+    stated = {k: (m, 4 * m, m / 4, m * 1.5, None)[n % 5] for n, (k, m) in enumerate(sorted(whole.items()))}
+    projects = spark.createDataFrame([(k, k != sorted(whole)[0], stated.get(k)) for k, *_ in {(x[0],) for x in legs}], "key string, eligible boolean, stated double")
+    status = {r.key: (round(r.route_miles, 2), r.status) for r in graph.assembled(found, told, projects).collect()}
+    labels = ["route", "rejected", "rejected", "route", "route"]
+    assert status == {k: (round(m, 2), labels[n % 5]) for n, (k, m) in enumerate(sorted(whole.items())) if n}
+
+
 def test_capped_distances(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (3, 4, 9.0)], "u long, v long, miles double")
     got = graph.capped_distances(graph.bidirected(edges), spark.createDataFrame([(1, 4.0)], "source long, cap double"))

@@ -61,17 +61,18 @@ def capped_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return least(functools.reduce(DataFrame.unionByName, levels))
 
 
-def routes(legs: DataFrame, vertices: DataFrame, edges: DataFrame, ratio: float = 3.0, least: float = 2.0, within: float = 0.4) -> DataFrame:
+def routes(legs: DataFrame, vertices: DataFrame, edges: DataFrame, ratio: float = 3.0, least: float = 2.0, within: float = 0.4, cell: float = 0.05) -> DataFrame:
     """``key, leg, route_miles`` of legs ``key, leg, lat1, lon1, lat2, lon2`` along the lines.
 
     Both ends are snapped to all vertices within reach, and the way to a vertex counts; a route of
     more than ``ratio`` times the straight line (and than ``least`` miles) is none.  Legs with an
-    end outside the lines' box or far from every vertex have none.
+    end outside the lines' box or far from every vertex have none.  A cell, in degrees, must be as
+    wide and as high as the reach of the snap.
     """
     named = legs.withColumn("source", F.concat_ws("/", "key", "leg"))
     box = vertices.agg(F.min("v_lat").alias("s"), F.max("v_lat").alias("n"), F.min("v_lon").alias("w"), F.max("v_lon").alias("e"))
     within_box = F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e"))
-    ends = lambda n: snap(named.select(F.col("source").alias("key"), F.col(f"lat{n}").alias("lat"), F.col(f"lon{n}").alias("lon")).join(F.broadcast(box), within_box), vertices, within)
+    ends = lambda n: snap(named.select(F.col("source").alias("key"), F.col(f"lat{n}").alias("lat"), F.col(f"lon{n}").alias("lon")).join(F.broadcast(box), within_box), vertices, within, cell)
     straight = geo.haversine_asin(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     caps = named.select("source", F.greatest(straight * ratio, F.lit(least)).alias("cap"))
     goals = checkpointed(ends(2).withColumnRenamed("miles", "last"))

@@ -133,27 +133,39 @@ def _with_free_ordinals(records: DataFrame) -> DataFrame:
 
 
 def greedy_matches(lefts: DataFrame, rights: DataFrame, group: str) -> DataFrame:
-    """One-to-one pairs of a group, most alike first, down to the threshold.
+    """One-to-one pairs of a group, most alike first (ties by left, then right place), down to the threshold.
 
-    ``lefts`` and ``rights`` have the group, pos and norm; a group is one document's entries.
+    ``lefts`` and ``rights`` have the group, pos and norm; a group is one document's entries.  Equal
+    names are the most alike, so they are paired by a join, in order; only what is left of a group is
+    compared, and only where lengths and letters allow the threshold.
     """
+    nth = F.row_number().over(Window.partitionBy(group, "norm").orderBy("pos"))
+    left, right = (d.select(group, "pos", "norm").withColumn("nth", nth) for d in (lefts, rights))
+    keys = [group, "norm", "nth"]
+    equal = left.withColumnRenamed("pos", "l").join(right.withColumnRenamed("pos", "r"), keys).select(group, "l", "r", F.lit(1.0).alias("ratio"))
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        left, right = (block[block.side == s].sort_values("pos") for s in ("l", "r"))
-        scored = sorted(
-            (-difflib.SequenceMatcher(None, a, b).ratio(), int(i), int(j)) for i, a in zip(left.pos, left.norm) for j, b in zip(right.pos, right.norm)
-        )
-        used_l, used_r, out = set(), set(), []
-        for ratio, i, j in scored:
-            if -ratio >= GREEDY and i not in used_l and j not in used_r:
-                used_l.add(i)
-                used_r.add(j)
+        sides = [block[block.side == s].sort_values("pos") for s in ("l", "r")]
+        alike = difflib.SequenceMatcher(None)
+        scored = []
+        for j, b in zip(sides[1].pos, sides[1].norm):
+            alike.set_seq2(b)
+            for i, a in zip(sides[0].pos, sides[0].norm):
+                alike.set_seq1(a)
+                if alike.real_quick_ratio() >= GREEDY and alike.quick_ratio() >= GREEDY and (ratio := alike.ratio()) >= GREEDY:
+                    scored.append((-ratio, int(i), int(j)))
+        taken: dict[str, set[int]] = {"l": set(), "r": set()}
+        out = []
+        for ratio, i, j in sorted(scored):
+            if i not in taken["l"] and j not in taken["r"]:
+                taken["l"].add(i)
+                taken["r"].add(j)
                 out.append((block[group].iloc[0], i, j, -ratio))
         return pd.DataFrame(out, columns=[group, "l", "r", "ratio"])
 
     kind = lefts.schema[group].dataType.simpleString()
-    both = lefts.select(group, "pos", "norm", F.lit("l").alias("side")).unionByName(rights.select(group, "pos", "norm", F.lit("r").alias("side")))
-    return both.groupBy(group).applyInPandas(run, f"`{group}` {kind}, l long, r long, ratio double")
+    rest = left.join(right.select(keys), keys, "left_anti").withColumn("side", F.lit("l")).unionByName(right.join(left.select(keys), keys, "left_anti").withColumn("side", F.lit("r")))
+    return equal.unionByName(rest.drop("nth").groupBy(group).applyInPandas(run, f"`{group}` {kind}, l long, r long, ratio double"))
 
 
 def leader_clusters(points: DataFrame, group: str, within: float = 1.0) -> DataFrame:

@@ -54,10 +54,10 @@ def near_join(a: DataFrame, b: DataFrame, reach: float, max_abs_lat: float, same
 
 
 def near_join_of_kinds(rows: DataFrame, reaches: dict[tuple[int, int], float], max_abs_lat: float) -> DataFrame:
-    """``near_join`` of a table (``kind``, struct ``p``) with itself, where the reach depends on both
+    """``near_join`` of a table (``kind, lat, lon``, struct ``p``) with itself, where the reach depends on both
     rows' kinds: one join on the two kinds and the cell of their grid."""
     kinds = sorted({k for k, _ in reaches})
-    lat, lon = F.col("p.lat"), F.col("p.lon")
+    lat, lon = F.col("lat"), F.col("lon")
 
     def cells(mine: int, spread: bool) -> Column:
         each = []
@@ -88,8 +88,9 @@ def distance_join(
     kind = F.lit(len(RADIUS_CLASSES) - 1)
     for i in reversed(range(len(RADIUS_CLASSES) - 1)):
         kind = F.when(radius <= RADIUS_CLASSES[i], i).otherwise(kind)
-    rows = placed.select(kind.alias("kind"), F.struct(*placed.columns).alias("p"))
-    found = placed.select(kind.alias("kind"), radius.alias("r"), F.abs("lat").alias("lat")).groupBy("kind").agg(F.max("r").alias("r"), F.max("lat").alias("lat")).collect()
+    # Written once: both sides of the join, and the reach of each kind, are read from it.
+    rows = checkpointed(placed.select(kind.alias("kind"), radius.alias("r"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.struct(*placed.columns).alias("p")))
+    found = rows.groupBy("kind").agg(F.max("r").alias("r"), F.max(F.abs("lat")).alias("lat")).collect()
     reaches = {(x["kind"], y["kind"]): cutoff + x["r"] + y["r"] for x in found for y in found} or {(0, 0): cutoff}
     joined = near_join_of_kinds(rows, reaches, max((r["lat"] for r in found), default=0.0))
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))

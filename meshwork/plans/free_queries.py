@@ -45,12 +45,10 @@ def q_clusters(spark, sf_dir):
 
 
 def q_greedy(spark, sf_dir):
-    """Greedy one-to-one match of the places named in a document, its titles and its list: the
-    first two words of a part's name and its size class stand for the document, even rows for the titles."""
-    kind = "p_partkey AS item, substring_index(p_name, ' ', 2) || '/' || CAST(p_size AS STRING) || p_brand AS entry"
-    g = build(spark, sf_dir, GAZETTEER.replace("p_partkey AS item", kind))
-    rows = g.select("entry", F.col("item").alias("pos"), text.norm_name(F.col("name")).alias("norm"))
-    return matching.greedy_matches(rows.filter("pos % 2 = 0"), rows.filter("pos % 2 = 1"), "entry")
+    """Greedy one-to-one match of the names of a brand's parts; even rows stand for titles, odd ones for list rows."""
+    g = build(spark, sf_dir, GAZETTEER.replace("p_partkey AS item", "p_partkey AS item, p_brand AS brand"))
+    rows = g.select("brand", F.col("item").alias("pos"), text.norm_name(F.col("name")).alias("norm"))
+    return matching.greedy_matches(rows.filter("pos % 2 = 0"), rows.filter("pos % 2 = 1"), "brand")
 
 
 def q_bipartite(spark, sf_dir):

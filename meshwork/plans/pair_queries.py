@@ -103,6 +103,7 @@ def _conjuncts_sql() -> dict[str, str]:
         "shortlist": "true",
         "search": "(" + " OR ".join(low.format(f) for f in fields) + ")",
         "project": "true",
+        "ground": "true",
     }
 
 

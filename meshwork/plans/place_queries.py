@@ -179,7 +179,7 @@ def q_line_routes(spark, sf_dir):
     steps = [v.select(F.col("vertex").alias("u"), (F.col("i") + a).alias("i"), (F.col("j") + b).alias("j"), "v_lat", "v_lon").join(to, ["i", "j"]) for a, b in ((1, 0), (0, 1))]
     edges = steps[0].unionByName(steps[1]).withColumn("miles", geo.haversine_asin(F.col("v_lat"), F.col("v_lon"), F.col("lat2"), F.col("lon2")))
     legs = checkpointed(legs_of(spark, sf_dir).drop("miles"))
-    found = checkpointed(graph.routes(legs, v.drop("i", "j"), graph.bidirected(edges.select("u", "v", "miles")), within=3.0))
+    found = checkpointed(graph.routes(legs, v.drop("i", "j"), graph.bidirected(edges.select("u", "v", "miles")), within=10.0, cell=0.2))
     e = build(spark, sf_dir, ENDPOINTS)
     sure = F.col("lat").isNotNull() & F.col("confidence").isin("medium", "high") & F.col("method").isin("manual", "reference", "osm-exact", "osm-partial")
     eligible = e.groupBy(F.col("id").alias("key")).agg(F.bool_and(sure | (F.col("pos") == 2)).alias("eligible"))

@@ -81,10 +81,10 @@ SELECT n_nationkey AS area, n_name AS name, k AS pos,
 FROM {nation} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) s
 """
 
-#: Lines: a lattice of a tenth of a degree, where it holds a part's place; vertices and their neighbours to the north and east.
+#: Lines: a lattice of a fifth of a degree, where it holds a part's place; vertices and their neighbours to the north and east.
 VERTICES = f"""
-SELECT i * 1000 + j AS vertex, i, j, i / 10.0 AS v_lat, j / 10.0 - 100.0 AS v_lon
-FROM (SELECT DISTINCT CAST(floor(lat * 10) AS BIGINT) AS i, CAST(floor((lon + 100.0) * 10) AS BIGINT) AS j FROM ({GAZETTEER}) g) c
+SELECT i * 1000 + j AS vertex, i, j, i / 5.0 AS v_lat, j / 5.0 - 100.0 AS v_lon
+FROM (SELECT DISTINCT CAST(floor(lat * 5) AS BIGINT) AS i, CAST(floor((lon + 100.0) * 5) AS BIGINT) AS j FROM ({GAZETTEER}) g) c
 """
 
 TABLES = re.compile(r"\{(\w+)\}")

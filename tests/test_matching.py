@@ -75,6 +75,26 @@ def test_lineage_takes_the_next_free_ordinal(spark):
     assert [got["e4", i] for i in range(4)] == [base, f"{base}:3", f"{base}:2", f"{base}:4"], name
 
 
+def test_greedy_matches_against_all_pairs(spark):
+    import difflib
+
+    rng = random.Random(2)
+    names = ["goshen line", "goshen lines", "goshen main line", "okatie tap", "okatie taps", "kraft", ""]
+    rows = [(g, i, rng.choice(names) + rng.choice(["", "", " a"])) for g in ("x", "y") for i in range(40)]
+    want = []
+    for g in ("x", "y"):
+        pairs = sorted((-difflib.SequenceMatcher(None, a, b).ratio(), i, j) for k, i, a in rows for m, j, b in rows if k == m == g and i % 2 == 0 and j % 2)
+        free_l, free_r = set(range(40)), set(range(40))
+        for ratio, i, j in pairs:
+            if -ratio >= 0.8 and i in free_l and j in free_r:
+                free_l.discard(i)
+                free_r.discard(j)
+                want.append((g, i, j, -ratio))
+    df = spark.createDataFrame(rows, "g string, pos long, norm string")
+    got = matching.greedy_matches(df.filter("pos % 2 = 0"), df.filter("pos % 2 = 1"), "g").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and want
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_maximum_matching(spark, seed):
     rng = random.Random(seed)

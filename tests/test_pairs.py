@@ -126,3 +126,13 @@ def test_view_codec():
     assert filters.PairQuery.decode(q.encode()) == q
     assert filters.PairQuery.decode({"distance": "99", "timing": "x", "sort": "y", "search": "Z" * 300}) == filters.PairQuery(search="z" * 200)
     assert q.active() == ["search", "distance", "timing", "include_possible"]
+
+
+def test_ground_of_pairs(spark):
+    row = "checked boolean, flood boolean, habitat array<string>, protected array<string>"
+    grounds = [(False, False, [], []), (True, False, [], []), (True, True, [], []), (True, False, ["x"], []), (True, False, [], ["y"])]
+    df = spark.createDataFrame([(i, g) for i, g in enumerate(grounds)], f"i long, ground struct<{row.replace(' boolean', ':boolean').replace(' array', ':array')}>")
+    found = {k: [r.i for r in df.filter(filters.ground_matches(F.col("ground"), k)).orderBy("i").collect()] for k in [*filters.GROUNDS, "other"]}
+    assert found == {"unchecked": [0], "clear": [1], "flood": [2], "habitat": [3], "protected": [4], "other": [0, 1, 2, 3, 4]}
+    view = filters.PairQuery(ground="flood", utility="U2", shortlist=("a", "b"))
+    assert filters.PairQuery.decode(view.encode()) == view and "ground" in view.conjuncts()

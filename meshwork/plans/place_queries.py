@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..operators import graph, overlay, placement
 from ..operators.common import checkpointed
-from ..sources.adapters import AREAS, ENDPOINTS, GAZETTEER, PROJECTS, VERTICES, build, plain
+from ..sources.adapters import AREAS, ENDPOINTS, GAZETTEER, PART_CELLS, PROJECTS, VERTICES, build, plain
 from .pair_queries import HAV
 from .text_queries import sql_chain
 
@@ -157,29 +157,36 @@ s AS (SELECT key, leg, k, a.lon + (b.lon - a.lon) * ((k + 0.5) / n) AS lon, a.la
 hit AS ({HITS.format(k='key, leg, k', p='s')})
 SELECT key, area, round(sum(miles), 5) AS miles FROM hit JOIN s USING (key, leg, k) GROUP BY key, area"""
 
-NETWORK = """SELECT DISTINCT l_partkey AS u, 1000000000 + l_suppkey AS v, CAST(1 + (l_partkey * 7 + l_suppkey * 13) % 50 AS DOUBLE) AS miles FROM {lineitem}"""
+def lattice(spark, sf_dir):
+    """Vertices of the lattice of lines, and its edges to the north and east with their miles."""
+    v = checkpointed(build(spark, sf_dir, VERTICES).select("vertex", "i", "j", F.col("v_lat").cast("double").alias("v_lat"), F.col("v_lon").cast("double").alias("v_lon")))
+    to = v.select(F.col("vertex").alias("v"), "i", "j", F.col("v_lat").alias("lat2"), F.col("v_lon").alias("lon2"))
+    steps = [v.select(F.col("vertex").alias("u"), (F.col("i") + a).alias("i"), (F.col("j") + b).alias("j"), "v_lat", "v_lon").join(to, ["i", "j"]) for a, b in ((1, 0), (0, 1))]
+    edges = steps[0].unionByName(steps[1]).withColumn("miles", geo.haversine_asin(F.col("v_lat"), F.col("v_lon"), F.col("lat2"), F.col("lon2")))
+    return v.drop("i", "j"), graph.bidirected(edges.select("u", "v", "miles"))
+
+
+PART_VERTICES = f"SELECT item AS source, i * 1000 + j AS vertex FROM ({PART_CELLS}) g"
 
 
 def q_routes(spark, sf_dir):
-    """Capped shortest distances over a line network from every part."""
-    edges = graph.bidirected(build(spark, sf_dir, NETWORK))
-    sources = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("source"), F.lit(12.0).alias("cap"))
-    return graph.capped_distances(edges, sources)
+    """Shortest distances along the lattice from every part's vertex, up to thirty miles."""
+    vertices, edges = lattice(spark, sf_dir)
+    sources = build(spark, sf_dir, PART_VERTICES).select("source", F.lit(30.0).alias("cap"), "vertex", F.lit(0.0).alias("miles"))
+    return graph.capped_distances(edges, sources).select("source", "vertex", r6("miles"))
 
 
-SQL_ROUTES = """WITH RECURSIVE n AS (SELECT DISTINCT l_partkey AS u, 1000000000 + l_suppkey AS v, CAST(1 + (l_partkey * 7 + l_suppkey * 13) % 50 AS DOUBLE) AS miles FROM lineitem),
-e AS (SELECT u, v, miles FROM n WHERE miles <= 12 UNION SELECT v, u, miles FROM n WHERE miles <= 12),
-r AS (SELECT p_partkey AS source, p_partkey AS vertex, 0.0::DOUBLE AS miles FROM part UNION SELECT r.source, e.v, r.miles + e.miles FROM r JOIN e ON e.u = r.vertex WHERE r.miles + e.miles <= 12)
-SELECT source, vertex, min(miles) AS miles FROM r GROUP BY source, vertex"""
+SQL_ROUTES = f"""WITH RECURSIVE v AS (SELECT vertex, i, j, CAST(v_lat AS DOUBLE) AS lat, CAST(v_lon AS DOUBLE) AS lon FROM ({plain(VERTICES)})),
+e AS (SELECT a.vertex AS u, b.vertex AS v, {HAV.format(r=3958.8, a='a', b='b')} AS miles FROM v a JOIN v b ON abs(a.i - b.i) + abs(a.j - b.j) = 1),
+r AS (SELECT source, vertex, 0.0::DOUBLE AS miles FROM ({plain(PART_VERTICES)}) UNION SELECT r.source, e.v, r.miles + e.miles FROM r JOIN e ON e.u = r.vertex WHERE r.miles + e.miles <= 30)
+SELECT source, vertex, round(min(miles), 6) AS miles FROM r GROUP BY source, vertex"""
+
 
 def q_line_routes(spark, sf_dir):
     """Routes of projects along a lattice of lines, leg by leg between their endpoints."""
-    v = checkpointed(build(spark, sf_dir, VERTICES).select("vertex", "i", "j", F.col("v_lat").cast("double").alias("v_lat"), F.col("v_lon").cast("double").alias("v_lon")))
-    to = v.select(F.col("vertex").alias("v"), "i", "j", F.col("v_lat").alias("lat2"), F.col("v_lon").alias("lon2"))
-    steps = [v.select(F.col("vertex").alias("u"), (F.col("i") + a).alias("i"), (F.col("j") + b).alias("j"), "v_lat", "v_lon").join(to, ["i", "j"]) for a, b in ((1, 0), (0, 1))]
-    edges = steps[0].unionByName(steps[1]).withColumn("miles", geo.haversine_asin(F.col("v_lat"), F.col("v_lon"), F.col("lat2"), F.col("lon2")))
+    vertices, edges = lattice(spark, sf_dir)
     legs = checkpointed(legs_of(spark, sf_dir).drop("miles"))
-    found = checkpointed(graph.routes(legs, v.drop("i", "j"), graph.bidirected(edges.select("u", "v", "miles")), within=10.0, cell=0.2))
+    found = checkpointed(graph.routes(legs, vertices, edges, within=10.0, cell=0.2))
     e = build(spark, sf_dir, ENDPOINTS)
     sure = F.col("lat").isNotNull() & F.col("confidence").isin("medium", "high") & F.col("method").isin("manual", "reference", "osm-exact", "osm-partial")
     eligible = e.groupBy(F.col("id").alias("key")).agg(F.bool_and(sure | (F.col("pos") == 2)).alias("eligible"))

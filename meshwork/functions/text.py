@@ -12,6 +12,9 @@ NOISE = (
 )
 LEADING = {"st": "saint", "ft": "fort", "mt": "mount"}
 DIRECTIONS = {"n": "north", "s": "south", "e": "east", "w": "west"}
+ROADS = {"dr": "drive", "ave": "avenue", "av": "avenue", "hwy": "highway", "pkwy": "parkway", "blvd": "boulevard", "ln": "lane", "co": "county", "cty": "county"}
+PLACE_CLASSES = ("place", "boundary", "highway", "waterway", "landuse", "power")
+REGIONS = r"\b(georgia|carolina)\b"
 COMPANY_NOISE = "inc|llc|corp|corporation|company|co|the"
 
 
@@ -37,6 +40,19 @@ def norm_name(name: Column) -> Column:
     return F.trim(_chain(F.lower(name), *NAME_STEPS))
 
 
+def place_key(name: Column) -> Column:
+    """A normalised name with the words of roads and counties in full."""
+    full = F.create_map(*[F.lit(w) for pair in ROADS.items() for w in pair])
+    return F.array_join(F.transform(F.split(norm_name(name), " "), lambda w: F.coalesce(full[w], w)), " ")
+
+
+def stands_in(kind: Column, name: Column, query: Column) -> Column:
+    """Whether a place of that kind carries the asked name: the same, or one of two or more words after a qualifier."""
+    n, q = place_key(name), place_key(query)
+    named = (n == q) | ((F.size(F.split(q, " ")) >= 2) & F.endswith(n, F.concat(F.lit(" "), q)))
+    return F.coalesce(kind.isin(*PLACE_CLASSES) & named & ~q.rlike(REGIONS), F.lit(False))
+
+
 def company_key(name: Column) -> Column:
     return F.trim(_chain(F.lower(F.coalesce(name, F.lit(""))), *COMPANY_STEPS))
 

@@ -121,3 +121,31 @@ def apply_edits(projects: DataFrame, endpoints: DataFrame, edits: DataFrame) ->
         "id", F.when(edited, F.col("new_lat")).otherwise(F.col("lat")).alias("lat"), F.when(edited, F.col("new_lon")).otherwise(F.col("lon")).alias("lon"),
         F.when(edited, F.greatest("new_radius", "radius_mi")).otherwise(F.col("radius_mi")).alias("radius_mi"), F.coalesce("edited", F.lit(0)).alias("edited"),
     )
+
+
+#: How well a place is known by its method; a zone's anchor outranks all; miles beyond which places do not belong together.
+METHOD_RANKS = {"manual": 4, "reference": 4, "osm-exact": 3, "osm-partial": 2, "town": 1}
+ANCHOR_RANK, FAR_MILES = 5, 80.0
+
+
+def reject_far(endpoints: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``id, pos, rejected`` of located endpoints (id, pos, method, lat, lon), judged in their order.
+
+    One is rejected if it is far from all others that are left, and none of them is known less
+    well; alone, it is held against its zone's anchor (id, lat, lon).  A project has few endpoints.
+    """
+    ranks = F.create_map(*[F.lit(v) for pair in METHOD_RANKS.items() for v in pair])
+    point = F.struct(F.col("pos").cast("int").alias("pos"), "lat", "lon", ranks[F.col("method")].alias("rank"))
+    told = endpoints.groupBy("id").agg(F.sort_array(F.collect_list(point)).alias("points"))
+    told = told.join(anchors.select("id", F.struct(F.lit(-1).alias("pos"), "lat", "lon", F.lit(ANCHOR_RANK).alias("rank")).alias("anchor")), "id", "left")
+
+    def judge(gone, p):
+        others = F.filter("points", lambda q: (q["pos"] != p["pos"]) & ~F.array_contains(gone, q["pos"]))
+        held = F.when(F.size(others) > 0, others).when(F.col("anchor").isNotNull(), F.array("anchor"))
+        far = F.forall(held, lambda q: geo.haversine_asin(p["lat"], p["lon"], q["lat"], q["lon"]) > FAR_MILES)
+        weak = p["rank"] <= F.array_min(F.transform(held, lambda q: q["rank"]))
+        return F.when(F.coalesce(far & weak, F.lit(False)), F.array_append(gone, p["pos"])).otherwise(gone)
+
+    gone = F.aggregate("points", F.array().cast("array<int>"), judge)
+    told = told.withColumn("gone", gone).select("id", "gone", F.explode("points").alias("p"))
+    return told.select("id", "p.pos", F.array_contains("gone", F.col("p.pos")).alias("rejected"))

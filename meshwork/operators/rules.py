@@ -156,3 +156,10 @@ def accepted(shapes: DataFrame, checked: DataFrame) -> DataFrame:
 def nearest_report(pairs: DataFrame, most: int = 10) -> DataFrame:
     """The nearest pairs ``a_id, b_id, miles`` by miles to one place, each once, at most so many."""
     return pairs.select("a_id", "b_id", F.round("miles", 1).alias("miles")).distinct().orderBy("miles", "a_id", "b_id").limit(most)
+
+
+def ground_cell(zones: Column, ground: Column) -> Column:
+    """One cell of the export: flood zones of the stations, and the habitats and protected land that a project meets."""
+    named = lambda label, names: F.when(F.size(names) > 0, F.concat(F.lit(label), F.array_join(F.array_sort(names), ", ")))
+    told = F.concat_ws("; ", F.concat(F.lit("flood zones: "), zones), named("critical habitat: ", ground["habitat"]), named("protected land: ", ground["protected"]))
+    return F.when(ground["checked"], told).otherwise("not checked")

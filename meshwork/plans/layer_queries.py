@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import layers, overlay
+from ..functions import classify, text
+from ..operators import layers, overlay, pairs, placement, rules
+from ..sources import sinks
 from ..sources.adapters import ENDPOINTS, GAZETTEER, PROJECTS, build, plain
-from .pair_queries import PAIRS_CTE, all_pairs
+from .pair_queries import AS_OF, HAV, PAIRS_CTE, all_pairs
 from .place_queries import EDGES_CTE, HITS, edges_of, points_of, r6
 from .text_queries import sql_chain
 
@@ -40,8 +41,8 @@ LINES = f"SELECT id AS key, pos, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE)
 
 def q_line_miles(spark, sf_dir):
     """Closest approach of both projects' lines, 0 if they cross."""
-    pairs = all_pairs(spark, sf_dir, False).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    return layers.line_miles(build(spark, sf_dir, LINES), pairs).select("a", "b", r6("miles"))
+    met = all_pairs(spark, sf_dir, False).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return layers.line_miles(build(spark, sf_dir, LINES), met).select("a", "b", r6("miles"))
 
 
 def _near(p, a, b):
@@ -182,8 +183,8 @@ def q_flood_notes(spark, sf_dir):
     wet = overlay.contains(sites.select("key", "lat", "lon"), edges_of(spark, sf_dir).filter("area % 3 = 0")).select("key").distinct().withColumn("wet", F.lit(True))
     told = sites.join(wet, "key", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "name", F.coalesce("wet", F.lit(False)).alias("wet")))).alias("s"))
     side = lambda k: told.select(F.col("id").alias(f"{k}_id"), F.col("s").alias(f"{k}_s"))
-    pairs = all_pairs(spark, sf_dir, False).select("id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
-    both = pairs.join(side("a"), "a_id", "left").join(side("b"), "b_id", "left")
+    met = all_pairs(spark, sf_dir, False).select("id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    both = met.join(side("a"), "a_id", "left").join(side("b"), "b_id", "left")
     none = F.array().cast(both.schema["a_s"].dataType)
     s = F.concat(F.coalesce("a_s", none), F.coalesce("b_s", none))
     names = lambda keep: F.transform(F.filter(s, keep), lambda x: x["name"])
@@ -199,11 +200,78 @@ SELECT z.id, CASE WHEN nw > 0 AND nd = 0 THEN 'Mapped at the stations: ' || w ||
   WHEN nw > 0 THEN 'Mapped at the stations: ' || w || ' in the 1% flood area; ' || d || ' outside it. The yard''s own site decides which surface rate applies.' END AS note FROM z LEFT JOIN n USING (id)"""
 
 
+#: Endpoints with their methods; every seventh lies far from where it should be.
+SCATTERED = f"""SELECT id, pos, CASE method WHEN 'town' THEN 'town' WHEN 'reference' THEN 'reference' ELSE 'osm-exact' END AS method, CAST(lat AS DOUBLE) + CASE WHEN (ord + pos * 2) % 7 < 2 THEN 3.0 ELSE 0.0 END AS lat, CAST(lon AS DOUBLE) AS lon
+FROM ({ENDPOINTS}) e WHERE lat IS NOT NULL"""
+ANCHORS = f"SELECT id, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM ({PROJECTS}) p WHERE lat IS NOT NULL AND ord % 2 = 0"
+
+
+def q_rejected(spark, sf_dir):
+    """Endpoints that lie far from the rest of their project."""
+    return placement.reject_far(build(spark, sf_dir, SCATTERED), build(spark, sf_dir, ANCHORS))
+
+
+def _judged(k, left):
+    return f"""(SELECT p.id, p.pos FROM {left} p LEFT JOIN {left} q ON q.id = p.id AND q.pos <> p.pos LEFT JOIN a ON a.id = p.id WHERE p.pos = {k} GROUP BY p.id, p.pos, p.rank
+  HAVING CASE WHEN count(q.id) > 0 THEN min({HAV.format(r=3958.8, a='p', b='q')}) > 80 AND p.rank <= min(q.rank) ELSE coalesce(min({HAV.format(r=3958.8, a='p', b='a')}) > 80, false) END)"""
+
+
+SQL_REJECTED = f"""WITH e AS (SELECT *, CASE method {' '.join(f"WHEN '{m}' THEN {r}" for m, r in placement.METHOD_RANKS.items())} END AS rank FROM ({plain(SCATTERED)})), a AS ({plain(ANCHORS)}),
+r0 AS {_judged(0, 'e')}, e1 AS (SELECT * FROM e ANTI JOIN r0 USING (id, pos)), r1 AS {_judged(1, 'e1')}, e2 AS (SELECT * FROM e1 ANTI JOIN r1 USING (id, pos)), r2 AS {_judged(2, 'e2')}, e3 AS (SELECT * FROM e2 ANTI JOIN r2 USING (id, pos))
+SELECT e.id, e.pos, e3.id IS NULL AS rejected FROM e LEFT JOIN e3 USING (id, pos)"""
+
+#: What the export shows of a project, but for its type and ground.
+SHOWN = f"""SELECT p.id, p.ord, p.plan, 'Lot "' || CAST(p.ord AS STRING) || '" ' || p.name AS project, p.zone, 'N' || CAST(p.ord AS STRING) AS number, CASE p.ord % 4 WHEN 0 THEN 'planned' WHEN 1 THEN 'under way' END AS status,
+  'filings/' || p.plan || '.pdf#page=' || CAST(p.ord % 9 + 1 AS STRING) AS source FROM ({PROJECTS}) p"""
+ZONES = f"SELECT id, pos, name || ' ' || CASE (ord + pos) % 3 WHEN 0 THEN 'AE' WHEN 1 THEN 'X' ELSE 'no zone' END AS zone, lat FROM ({ENDPOINTS}) e"
+HABITAT_KINDS = "CASE area % 3 WHEN 0 THEN 'flood' WHEN 1 THEN 'habitat' ELSE 'protected' END"
+
+
+def q_csv_export(spark, sf_dir):
+    """All columns of the export in the current order, the header first."""
+    ends = build(spark, sf_dir, ZONES).groupBy("id").agg(
+        F.count("lat").alias("located"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "zone"))), lambda e: e["zone"]), ", ").alias("zones"))
+    shown = build(spark, sf_dir, SHOWN)
+    hits = overlay.contains(points_of(spark, sf_dir), edges_of(spark, sf_dir)).select("key", F.expr(HABITAT_KINDS).alias("kind"), F.concat(F.lit("area "), "area").alias("label"))
+    ground = rules.project_ground(shown.select(F.col("id").alias("key"), (F.col("ord") % 7 != 0).alias("checked")), hits).withColumnRenamed("key", "id")
+    kind = F.when(F.col("located") >= 2, "line between stations").when(F.col("located") == 1, "one station").otherwise("zone")
+    told = shown.join(ends, "id").join(ground, "id").select(
+        "id", "plan", "project", "number", classify.project_type(F.col("project"), F.col("zone")).alias("type"), "status", kind.alias("point_type"), rules.ground_cell(F.col("zones"), F.col("ground")).alias("ground"), "source")
+    names = {"plan": "{}_plan", "project": "{}_project", "number": "{}_id", "type": "{}_type", "status": "{}_status", "point_type": "{}_point_type", "ground": "ground_{}", "source": "source_{}"}
+    side = lambda s: told.select(F.col("id").alias(f"{s}_key"), *[F.col(c).alias(n.format(s)) for c, n in names.items()])
+    p = pairs.ranked(all_pairs(spark, sf_dir, False), "distance").select(
+        F.lit(AS_OF).alias("as_of"), "rank", "qualifies", F.col("score_total").alias("score"), "certainty", F.format_string("%.3f", "miles").alias("distance_miles"), F.col("gap_days").alias("in_service_gap_days"),
+        F.col("overlap_days").alias("build_overlap_days"), F.col("remaining_days").alias("overlap_days_ahead"), F.col("a.isd").alias("in_service_a"), F.col("b.isd").alias("in_service_b"), F.col("a.id").alias("a_key"), F.col("b.id").alias("b_key"))
+    return sinks.export_lines(p.join(side("a"), "a_key").join(side("b"), "b_key"))
+
+
+def _kinds(place):
+    return " ".join(f"WHEN regexp_matches({place}, '(?i){p}') THEN '{k}'" for k, p in classify.PROJECT_TYPES)
+
+
+_CELLS = {
+    "as_of": f"'{AS_OF}'", "rank": "rank", "qualifies": "qualifies", "score": "score_total", "certainty": "certainty", "distance_miles": "printf('%.3f', miles)", "in_service_gap_days": "gap_days", "build_overlap_days": "overlap_days",
+    "overlap_days_ahead": "remaining_days", "in_service_a": "a_isd", "in_service_b": "b_isd",
+    **{n.format(s): f"{s}.{c}" for s in "ab" for c, n in {"plan": "{}_plan", "project": "{}_project", "number": "{}_id", "kind": "{}_type", "status": "{}_status", "point_type": "{}_point_type", "ground": "ground_{}", "source": "source_{}"}.items()},
+}
+_LINE = " || ',' || ".join(f"""'"' || replace(coalesce(CAST({_CELLS[c]} AS VARCHAR), ''), '"', '""') || '"'""" for c in sinks.EXPORT_COLUMNS)
+_HEADER = ",".join(f'"{c}"' for c in sinks.EXPORT_COLUMNS)
+_MET = "string_agg('area ' || area, ', ' ORDER BY 'area ' || area) FILTER (WHERE area % 3 = {})"
+SQL_CSV = f"""WITH {PAIRS_CTE}, {EDGES_CTE}, hit AS ({HITS.format(k='key', p='points')}), h AS (SELECT key AS id, {_MET.format(1)} AS hab, {_MET.format(2)} AS pro FROM hit GROUP BY key),
+z AS (SELECT id, count(lat) AS located, string_agg(zone, ', ' ORDER BY pos) AS zones FROM ({plain(ZONES)}) GROUP BY id),
+t AS (SELECT s.*, CASE {_kinds('project')} {_kinds("(project || ' ' || zone)")} ELSE '{classify.OTHER_TYPE}' END AS kind, CASE WHEN located >= 2 THEN 'line between stations' WHEN located = 1 THEN 'one station' ELSE 'zone' END AS point_type,
+  CASE WHEN ord % 7 = 0 THEN 'not checked' ELSE concat_ws('; ', 'flood zones: ' || zones, 'critical habitat: ' || hab, 'protected land: ' || pro) END AS ground FROM ({plain(SHOWN)}) s JOIN z USING (id) LEFT JOIN h USING (id)),
+r AS (SELECT *, row_number() OVER (ORDER BY qualifies DESC, miles, id) AS rank FROM pairs WHERE certainty <> 'possible')
+SELECT 0::BIGINT AS rank, '{_HEADER}' AS line UNION ALL SELECT rank, {_LINE} FROM r JOIN t a ON a.id = r.a_id JOIN t b ON b.id = r.b_id"""
+
+
 QUERIES = {
     "border_sides": q_border, "line_miles": q_line_miles, "ring_polygons": q_polygons, "habitats_near": q_habitats, "other_owners": q_other_owners,
     "sponsor_codes": q_sponsors, "stand_ins": q_stand_ins, "page_blocks": q_page_blocks, "flood_notes": q_flood_notes,
+    "rejected_endpoints": q_rejected, "csv_export": q_csv_export,
 }
 SQL = {
     "border_sides": SQL_BORDER, "line_miles": SQL_LINE_MILES, "ring_polygons": SQL_POLYGONS, "habitats_near": SQL_HABITATS, "other_owners": SQL_OWNERS,
     "sponsor_codes": SQL_SPONSORS, "stand_ins": SQL_STAND_INS, "page_blocks": SQL_BLOCKS, "flood_notes": SQL_FLOOD_NOTES,
+    "rejected_endpoints": SQL_REJECTED, "csv_export": SQL_CSV,
 }

@@ -253,18 +253,6 @@ SQL_RANGE = f"""WITH p AS ({plain(PROJECTS)}), m AS (
 SELECT DISTINCT id FROM m WHERE miles < 25 + slack"""
 
 
-def q_csv_export(spark, sf_dir):
-    """Rows of the export, quoted, with their rank in the current order."""
-    p = pairs.ranked(all_pairs(spark, sf_dir, False), "distance")
-    quote = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    cells = [F.col("rank"), F.col("id"), F.col("a.name"), F.col("b.name"), F.col("certainty"), F.col("gap_days"), F.col("overlap_days"), F.col("score_total")]
-    return p.select("rank", F.concat_ws(",", *[quote(c) for c in cells]).alias("line"))
-
-
-SQL_CSV = f"""WITH {PAIRS_CTE}, r AS (SELECT *, row_number() OVER (ORDER BY qualifies DESC, miles, id) AS rank FROM pairs WHERE certainty <> 'possible')
-SELECT rank, '"' || rank || '","' || id || '","' || a_name || '","' || b_name || '","' || certainty || '","' || coalesce(CAST(gap_days AS VARCHAR), '') || '","' || coalesce(CAST(overlap_days AS VARCHAR), '') || '","' || score_total || '"' AS line FROM r"""
-
-
 def q_project_types(spark, sf_dir):
     """C3 project types of part names and kinds, as titles and descriptions."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -302,10 +290,10 @@ SELECT p_partkey, CASE {cases('title')} {cases("(title || ' ' || d)")} ELSE '{cl
 QUERIES = {
     "pairs": q_pairs, **{f"rank_{k}": q_rank(k) for k in RANKS}, "pair_filter": q_filter_flags, "leave_one_out": q_leave_one_out, "pair_labels": q_labels,
     "yard_scenario": q_scenario, "nearby_endpoints": q_nearby_endpoints, "nearest_partner": q_nearest_partner, "partner_counts": q_partner_counts, "overview": q_overview,
-    "same_stations": q_same_stations, "pairing_range": q_pairing_range, "csv_export": q_csv_export, "project_types": q_project_types, "rationale": q_rationale,
+    "same_stations": q_same_stations, "pairing_range": q_pairing_range, "project_types": q_project_types, "rationale": q_rationale,
 }
 SQL = {
     "pairs": SQL_PAIRS, **{f"rank_{k}": sql_rank(v) for k, v in RANKS.items()}, "pair_filter": sql_filter_flags(), "leave_one_out": sql_leave_one_out(), "pair_labels": SQL_LABELS,
     "yard_scenario": SQL_SCENARIO, "nearby_endpoints": SQL_NEARBY, "nearest_partner": SQL_NEAREST, "partner_counts": SQL_PARTNERS, "overview": SQL_OVERVIEW,
-    "same_stations": SQL_SAME, "pairing_range": SQL_RANGE, "csv_export": SQL_CSV, "project_types": sql_project_types(), "rationale": SQL_RATIONALE,
+    "same_stations": SQL_SAME, "pairing_range": SQL_RANGE, "project_types": sql_project_types(), "rationale": SQL_RATIONALE,
 }

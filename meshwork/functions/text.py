@@ -121,3 +121,39 @@ def slip_years(text: Column) -> Column:
     """Years moved by 'Delayed from Y1 to Y2' or 'Advanced from Y1 to Y2'."""
     part = lambda g: F.regexp_extract(text, r"(?i)(?:delayed|advanced) from (\d{4}) to (\d{4})", g)
     return F.when(part(1) != "", F.nullif(part(2), F.lit("")).cast("int") - F.nullif(part(1), F.lit("")).cast("int"))
+
+
+#: What may open a title of the second plan, where its head ends, its voltage, and what ends a station's name.
+TITLE_LEAD = r"(?i)^(reconductor|rebuild|construct|upgrade|replace|install(\s+\d+(st|nd|rd|th))?)\s+"
+TITLE_END = r"(?i)(\s+as\s+a\s+|:|\s+at\s+).*$"
+TITLE_ORDINALS = r"(?i)#\s*\d+(\s*(and|&)\s*#\s*\d+)?"
+TITLE_VOLTS = r"(?i)\b\d{2,3}(\s*[-/]\s*\d{1,3})*\s*kv\b.*$"
+NAME_END = (
+    r"(?i)\s+(station|substation|switching|switchyard|improvements?|upgrades?|transformers?|xfmr|tap|lines?|tie|"
+    r"series|bus|breakers?|rebuild|limiting|elements|reconductor)\b.*$"
+)
+TITLE_STEPS = ((r"\([^)]*\)", " "), (r"^\s+|\s+$", ""), (TITLE_LEAD, ""), (TITLE_END, ""), (TITLE_ORDINALS, " "), (TITLE_VOLTS, ""))
+NAME_CUT = r"(?i)\s*[-–]\s*|\s+to\s+"
+
+
+def second_plan_stations(title: Column) -> Column:
+    """Station names of a title of the second plan: its head without verb, ordinals and voltage, cut at dashes and "to"."""
+    parts = F.transform(F.split(_chain(title, *TITLE_STEPS), NAME_CUT), lambda x: F.trim(F.regexp_replace(F.concat(F.lit(" "), F.trim(x)), NAME_END, "")))
+    return F.filter(parts, lambda x: F.length(x) > 1)
+
+
+#: Words that open a sentence or an instruction, not a station's name.
+OPENING_WORDS = (
+    "at the a an and or to from in on near with for of this also both existing new build building rebuild rebuilding construct constructing install installing "
+    "replace replacing upgrade upgrading reconductor add loop convert make remove expand approximately retire disconnect terminate connect fold split relocate extend move "
+    "complete energize cut reconfigure gpc gtc meag desc apc sav"
+).split()
+CAPITALISED = r"([A-Z][A-Za-z'’]*\.?([ \t]+[A-Z][A-Za-z'’]*\.?)*)"
+
+
+def capitalised_names(text: Column) -> Column:
+    """Whole runs of capitalised words of a text, without the opening words before a name; in order."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(1)), lambda r: F.split(F.regexp_replace(r, r"\.+$", ""), r"[ \t]+"))
+    opening = F.array(*[F.lit(w) for w in OPENING_WORDS])
+    at = lambda r: F.array_position(F.transform(r, lambda w: F.array_contains(opening, F.regexp_replace(F.lower(w), r"\.+$", ""))), F.lit(False))
+    return F.filter(F.transform(runs, lambda r: F.when(at(r) > 0, F.array_join(F.slice(r, at(r).cast("int"), F.size(r)), " "))), lambda n: n.isNotNull())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, text
+from . import layers
 
 #: Confidences from worst to best.
 CONFIDENCES = ("none", "low", "ambiguous", "medium", "high")
@@ -149,3 +150,23 @@ def reject_far(endpoints: DataFrame, anchors: DataFrame) -> DataFrame:
     gone = F.aggregate("points", F.array().cast("array<int>"), judge)
     told = told.withColumn("gone", gone).select("id", "gone", F.explode("points").alias("p"))
     return told.select("id", "p.pos", F.array_contains("gone", F.col("p.pos")).alias("rejected"))
+
+
+def described_stations(records: DataFrame, items: DataFrame, same_place: float = 1.0) -> DataFrame:
+    """``id, key, name, item`` of stations that a record's own description names.
+
+    A name is a whole run of capitalised words that equals a grid item's name once both are
+    normalised.  It counts if the items of that name on the record's side of the border, near its anchor
+    where it has one, are one place: all within ``same_place`` miles of the first.  Records are
+    ``id, state, description, a_lat, a_lon``; the first mention gives the printed name.
+    """
+    named = records.select("id", "state", "a_lat", "a_lon", F.posexplode(text.capitalised_names(F.col("description"))).alias("pos", "name"))
+    named = named.withColumn("key", text.norm_name(F.col("name"))).filter(F.length("key") >= 4)
+    named = named.groupBy("id", "state", "a_lat", "a_lon", "key").agg(F.min_by("name", "pos").alias("name"))
+    grid = items.filter("NOT off_grid").select(F.col("norm").alias("key"), "item", "lat", "lon")
+    met = named.join(grid, "key").filter(layers.on_state_side(F.col("state"), F.col("lat"), F.col("lon")))
+    met = met.filter(F.col("a_lat").isNull() | (geo.haversine_asin(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon")) <= FAR_MILES))
+    w = Window.partitionBy("id", "key").orderBy("item")
+    away = geo.haversine_asin(F.first("lat").over(w), F.first("lon").over(w), F.col("lat"), F.col("lon"))
+    one = met.withColumn("away", away).groupBy("id", "key", "name").agg(F.max("away").alias("away"), F.min("item").alias("item"))
+    return one.filter(F.col("away") <= same_place).select("id", "key", "name", "item")

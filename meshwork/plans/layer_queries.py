@@ -28,7 +28,10 @@ def _values(points) -> str:
 
 _INSIDE = """(SELECT item, count(*) % 2 = 1 AS inside FROM g JOIN (VALUES {v}) o(i, y1, x1, y2, x2) ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY item)"""
 _IN_SC, _IN_GA = (_INSIDE.format(v=_values((*o, o[0]))) for o in (layers.OUTLINES["SC"], layers.OUTLINES["GA"]))
-SQL_BORDER = f"""WITH g AS ({plain(PLACES)}), r(i, la1, lo1, la2, lo2) AS (VALUES {_values(layers.RIVER)}), q AS (SELECT item, i, radians(lon) * 3958.8 * cos(radians(33.0)) AS px, radians(lat) * 3958.8 AS py,
+
+def _border_sql(places):
+    """SQL for the border query over places ``item, state, lat, lon``."""
+    return f"""WITH g AS ({places}), r(i, la1, lo1, la2, lo2) AS (VALUES {_values(layers.RIVER)}), q AS (SELECT item, i, radians(lon) * 3958.8 * cos(radians(33.0)) AS px, radians(lat) * 3958.8 AS py,
   radians(lo1) * 3958.8 * cos(radians(33.0)) AS ax, radians(la1) * 3958.8 AS ay, radians(lo2) * 3958.8 * cos(radians(33.0)) AS bx, radians(la2) * 3958.8 AS qy FROM g CROSS JOIN r),
 t AS (SELECT *, greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (qy - ay)) / (pow(bx - ax, 2) + pow(qy - ay, 2)))) AS t FROM q),
 d AS (SELECT item, i, sqrt(pow(px - (ax + t * (bx - ax)), 2) + pow(py - (ay + t * (qy - ay)), 2)) AS d, CASE WHEN (bx - ax) * (py - ay) - (qy - ay) * (px - ax) > 0 THEN 1 ELSE -1 END AS s FROM t),
@@ -36,6 +39,9 @@ m AS (SELECT item, d * s AS miles FROM d QUALIFY row_number() OVER (PARTITION BY
 SELECT g.item, round(miles, 6) AS miles, CASE state WHEN 'SC' THEN coalesce(s.inside, false) OR (coalesce(a.inside, false) AND abs(miles) <= 3) ELSE coalesce(a.inside, false) OR (coalesce(s.inside, false) AND abs(miles) <= 3) END AS in_state
 FROM g JOIN m USING (item) LEFT JOIN {_IN_SC} s ON s.item = g.item LEFT JOIN {_IN_GA} a ON a.item = g.item"""
 
+
+SQL_BORDER = _border_sql(plain(PLACES))
+
 LINES = f"SELECT id AS key, pos, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM ({ENDPOINTS}) e WHERE lat IS NOT NULL"
 
 
@@ -265,13 +271,50 @@ r AS (SELECT *, row_number() OVER (ORDER BY qualifies DESC, miles, id) AS rank F
 SELECT 0::BIGINT AS rank, '{_HEADER}' AS line UNION ALL SELECT rank, {_LINE} FROM r JOIN t a ON a.id = r.a_id JOIN t b ON b.id = r.b_id"""
 
 
+NAMED = """SELECT p_partkey AS item, upper(p_name) || ' ' || chr(CAST(65 + p_partkey % 26 AS INT)) || chr(CAST(65 + (p_partkey / 26) % 7 AS INT)) AS name, CAST(NULL AS STRING) AS alt_name, CASE WHEN p_size % 2 = 0 THEN 'SC' ELSE 'GA' END AS state,
+  CAST(31.4 + ((p_partkey * 4391) % 3000) / 1000.0 AS DOUBLE) AS lat, CAST(-83.3 + ((p_partkey * 2713) % 3300) / 1000.0 AS DOUBLE) AS lon, p_size % 5 = 0 AS off_grid FROM {part}""".replace("(p_partkey / 26)", "CAST(floor(p_partkey / 26.0) AS BIGINT)")
+DESCRIBED = f"""SELECT a.item AS id, a.state, CASE WHEN a.item % 3 = 0 THEN NULL ELSE a.lat + 0.1 END AS a_lat, CASE WHEN a.item % 3 = 0 THEN NULL ELSE a.lon END AS a_lon,
+  'Rebuild the ' || a.name || ' bus. Install Near ' || b.name || '. At the Same time as ' || a.name || ', GTC will add Big ' || b.name AS description
+FROM ({NAMED}) a LEFT JOIN ({NAMED}) b ON b.item = a.item + 1"""
+
+
+def q_described(spark, sf_dir):
+    """Stations that a project's description names, if they are one place on its side of the border."""
+    return placement.described_stations(build(spark, sf_dir, DESCRIBED), placement.gazetteer_items(build(spark, sf_dir, NAMED)))
+
+
+_NORM = "trim(" + sql_chain("lower(name)", text.NAME_STEPS) + ")"
+_SIDES = "SELECT item * 2 + s AS item, CASE s WHEN 0 THEN 'SC' ELSE 'GA' END AS state, lat, lon FROM i CROSS JOIN (VALUES (0), (1)) v(s)"
+_OPENING = "[" + ", ".join(f"'{w}'" for w in text.OPENING_WORDS) + "]"
+SQL_DESCRIBED = f"""WITH i AS (SELECT *, {_NORM} AS norm FROM ({plain(NAMED)})), d AS ({plain(DESCRIBED)}), side AS ({_border_sql(_SIDES)}),
+r AS (SELECT id, generate_subscripts(x, 1) AS pos, string_split_regex(rtrim(unnest(x), '.'), '[ \t]+') AS words FROM (SELECT id, regexp_extract_all(description, '{text.CAPITALISED.replace("'", "''")}', 1) AS x FROM d)),
+n AS (SELECT id, pos, array_to_string(words[list_position(list_transform(words, lambda w: list_contains({_OPENING}, rtrim(lower(w), '.'))), false):], ' ') AS name FROM r WHERE list_contains(list_transform(words, lambda w: list_contains({_OPENING}, rtrim(lower(w), '.'))), false)),
+k AS (SELECT id, {_NORM} AS key, min_by(name, pos) AS name FROM n GROUP BY 1, 2),
+m AS (SELECT k.*, i.item, i.lat, i.lon FROM k JOIN d USING (id) JOIN i ON i.norm = k.key AND NOT off_grid JOIN side s ON s.item = i.item * 2 + CASE d.state WHEN 'SC' THEN 0 ELSE 1 END AND s.in_state
+  WHERE length(key) >= 4 AND (a_lat IS NULL OR {HAV.format(r=3958.8, a='i', b='d').replace('(d.l', '(d.a_l')} <= 80)),
+f AS (SELECT *, first_value(lat) OVER w AS f_lat, first_value(lon) OVER w AS f_lon FROM m WINDOW w AS (PARTITION BY id, key ORDER BY item)), a AS (SELECT id, key, name, item, {{'lat': lat, 'lon': lon}} AS p, {{'lat': f_lat, 'lon': f_lon}} AS q FROM f)
+SELECT id, key, name, min(item) AS item FROM a GROUP BY id, key, name HAVING max({HAV.format(r=3958.8, a='p', b='q')}) <= 1"""
+
+HEADINGS = """SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'Reconductor ' WHEN 1 THEN 'Install 2nd ' WHEN 2 THEN ' (new) Rebuild ' WHEN 3 THEN 'construct ' ELSE '' END || p_name ||
+  CASE p_partkey % 5 WHEN 0 THEN ' - ' || p_type || ' 115/230 kV tie lines' WHEN 1 THEN ' #1 and #2 115 kV Line' WHEN 2 THEN ' Station as a hub at ' || p_brand WHEN 3 THEN ' 230-115 kV Substation to ' || p_type ELSE ' Transformers: ' || p_brand END AS title FROM {part}"""
+
+
+def q_second_plan_stations(spark, sf_dir):
+    """T5: station names of the second plan's titles."""
+    return build(spark, sf_dir, HEADINGS).select("k", F.array_join(text.second_plan_stations(F.col("title")), "|").alias("stations"))
+
+
+SQL_SECOND_PLAN = f"""WITH t AS (SELECT k, {sql_chain("title", text.TITLE_STEPS)} AS head FROM ({plain(HEADINGS)}))
+SELECT k, array_to_string(list_filter(list_transform(regexp_split_to_array(head, '{text.NAME_CUT}'), lambda x: trim(regexp_replace(' ' || trim(x), '{text.NAME_END}', ''))), lambda x: length(x) > 1), '|') AS stations FROM t"""
+
+
 QUERIES = {
     "border_sides": q_border, "line_miles": q_line_miles, "ring_polygons": q_polygons, "habitats_near": q_habitats, "other_owners": q_other_owners,
     "sponsor_codes": q_sponsors, "stand_ins": q_stand_ins, "page_blocks": q_page_blocks, "flood_notes": q_flood_notes,
-    "rejected_endpoints": q_rejected, "csv_export": q_csv_export,
+    "rejected_endpoints": q_rejected, "described_stations": q_described, "second_plan_stations": q_second_plan_stations, "csv_export": q_csv_export,
 }
 SQL = {
     "border_sides": SQL_BORDER, "line_miles": SQL_LINE_MILES, "ring_polygons": SQL_POLYGONS, "habitats_near": SQL_HABITATS, "other_owners": SQL_OWNERS,
     "sponsor_codes": SQL_SPONSORS, "stand_ins": SQL_STAND_INS, "page_blocks": SQL_BLOCKS, "flood_notes": SQL_FLOOD_NOTES,
-    "rejected_endpoints": SQL_REJECTED, "csv_export": SQL_CSV,
+    "rejected_endpoints": SQL_REJECTED, "described_stations": SQL_DESCRIBED, "second_plan_stations": SQL_SECOND_PLAN, "csv_export": SQL_CSV,
 }

@@ -23,21 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows as a table in the folder the cluster names, and read it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is that of ``spark.checkpoint.dir``, which all executors share; a temporary one
-    is used only where none is named and Spark runs in one process, as in tests.  Unlike a
-    checkpoint of the RDD, the rows are computed once.  A lost executor costs nothing: what is
-    read again is on the shared store.
+    A temporary one is used only where none is named and Spark runs in one process, as in tests.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tables-")
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows as a table in the shared folder, and read it.
+
+    Unlike a checkpoint of the RDD, the rows are computed once.  A lost executor costs nothing:
+    what is read again is on the shared store.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -54,7 +54,7 @@ MAGIC = b"\x1f\x8b\x08"
 LONGEST_HEAD = 1 << 20
 
 RECORDS = (
-    "path string, range long, offset long, stop long, version string, record_type string, record_id string, target_uri string, refers_to string, "
+    "path string, range long, offset long, stop long, place long, version string, record_type string, record_id string, target_uri string, refers_to string, "
     "date string, payload_bytes long, payload_digest string, payload binary"
 )
 
@@ -333,8 +333,8 @@ def records_in(file: pa.NativeFile, start: int, stop: int, payload: bool) -> Ite
         if not found:  # no member of an archive: look on
             at, synced = place + 1, False
             continue
-        for record in found:
-            yield {"offset": place, "stop": end} | record
+        for i, record in enumerate(found):
+            yield {"offset": place, "stop": end, "place": i} | record
         # A member that begins where the last one ended needs no search.
         file.seek(end)
         at, synced = end, file.read(len(MAGIC)) == MAGIC
@@ -363,11 +363,13 @@ def _reader(payload: bool):
 
 def _fitted(records: DataFrame, files: DataFrame) -> DataFrame:
     """Records that are not inside another; raises where bytes of a file belong to no record."""
-    spans = records.groupBy("path", "range").agg(F.min("offset").alias("first"), F.max("stop").alias("last"))
+    covered = F.sum(F.when(F.col("place") == 0, F.col("stop") - F.col("offset")))
+    spans = records.groupBy("path", "range").agg(F.min("offset").alias("first"), F.max("stop").alias("last"), covered.alias("covered"))
     in_order = Window.partitionBy("path").orderBy("range")
     before = F.coalesce(F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # Ranges of files are few beside their records; most archives end here.
-    odd = spans.withColumn("odd", F.col("first") != before).groupBy("path").agg(F.max("odd").alias("odd"), F.max("last").alias("last"))
+    unfit = (F.col("first") != before) | (F.col("covered") != F.col("last") - F.col("first"))
+    odd = spans.withColumn("odd", unfit).groupBy("path").agg(F.max("odd").alias("odd"), F.max("last").alias("last"))
     odd = files.join(odd, "path", "left").filter(F.coalesce(F.col("odd") | (F.col("last") != F.col("length")), F.col("length") > 0)).select("path", "length")
     odd = checkpointed(odd)
     if not odd.limit(1).count():

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,8 +69,8 @@ def _term_counts(text: bytes | None, index: dict[bytes, int]) -> tuple[int, Coun
     return n, found
 
 
-def _item_blocks(items: DataFrame, item_col: str, text_col: str, most_items: int, most_terms: int) -> DataFrame:
-    """``block, item, term, times``: the terms of each item, in blocks of bounded size."""
+def _item_blocks(items: DataFrame, item_col: str, text_col: str, most_items: int, most_terms: int) -> Iterator[list[Row]]:
+    """``item, term, times``: the terms of each item, in blocks of bounded size."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,11 +87,16 @@ def _item_blocks(items: DataFrame, item_col: str, text_col: str, most_items: int
                     )
 
     plain = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("text"))
-    terms = plain.mapInArrow(counted, "item long, term binary, times long").groupBy("item", "term").agg(F.sum("times").alias("times"))
+    terms = plain.mapInArrow(counted, "item long, term binary, times long")
+    rows = terms.limit(most_terms + 1).collect()  # those of several rows of an item add up in the index as well
+    if len(rows) <= most_terms and len({r["item"] for r in rows}) <= most_items:
+        if rows:
+            yield rows
+        return
+    terms = checkpointed(terms.groupBy("item", "term").agg(F.sum("times").alias("times")))
     sizes = checkpointed(terms.groupBy("item").agg(F.count("*").alias("n")))
-    total = sizes.agg(F.count("*").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    fits = total["items"] <= most_items and total["terms"] <= most_terms
-    parts = 1 if fits else max(-(-2 * total["items"] // most_items), -(-2 * total["terms"] // most_terms))
+    total = sizes.agg(F.count("*").alias("items"), F.sum("n").alias("terms")).first()
+    parts = max(-(-2 * total["items"] // most_items), -(-2 * total["terms"] // most_terms))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, weight = 0, 0, 0
@@ -106,7 +111,9 @@ def _item_blocks(items: DataFrame, item_col: str, text_col: str, most_items: int
 
     blocks = sizes.repartition(parts, F.xxhash64("item")).mapInArrow(dealt, "item long, block string")
     blocks = checkpointed(blocks).withColumnRenamed("item", "owner")
-    return checkpointed(terms.join(blocks, F.col("item").eqNullSafe(F.col("owner"))).select("block", "item", "term", "times"))
+    told = checkpointed(terms.join(blocks, F.col("item").eqNullSafe(F.col("owner"))).select("block", "item", "term", "times"))
+    for (block,) in told.select("block").distinct().orderBy("block").toLocalIterator():
+        yield told.filter(F.col("block") == block).select("item", "term", "times").collect()
 
 
 class _Index:
@@ -242,10 +249,9 @@ def rank_documents(
     """``item_id, rank, doc_id, score``: the k documents of greatest score for each item."""
     spark = docs.sparkSession
     texts = small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")))
-    blocks = _item_blocks(items, item_col, item_text, block_items, block_terms)
     out = None
-    for (block,) in blocks.select("block").distinct().orderBy("block").toLocalIterator():
-        index = _Index(blocks.filter(F.col("block") == block).select("item", "term", "times").collect())
+    for rows in _item_blocks(items, item_col, item_text, block_items, block_terms):
+        index = _Index(rows)
         documents, length, df = _statistics(texts, index.terms)
         weights = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * int(d) + 1))) for d in df], np.int64)
         told = spark.sparkContext.broadcast((index, weights))

@@ -80,9 +80,8 @@ def qualifying_pairs(records: DataFrame, cutoff: float = 25.0) -> DataFrame:
     ``records`` has snap, plan_ord, state, rkey, isd, lat, lon; a snapshot meets only itself.
     """
     slim = records.filter("lat IS NOT NULL AND lon IS NOT NULL").select(F.struct("snap", "plan_ord", "state", "rkey", "isd", "lat", "lon").alias("p"))
-    top = records.agg(F.max(F.abs("lat"))).first()[0] or 0.0
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    met = near_join(slim.select(F.col("p").alias("a")), slim.select(F.col("p").alias("b")), cutoff, top, same=("snap",))
+    met = near_join(slim.select(F.col("p").alias("a")), slim.select(F.col("p").alias("b")), cutoff, same=("snap",))
     ok = (a("plan_ord") < b("plan_ord")) & (a("state") != b("state"))
     found = met.filter(ok).withColumn("miles", geo.haversine(a("lat"), a("lon"), b("lat"), b("lon"))).filter(F.col("miles") < cutoff)
     return found.select(a("snap").alias("snap"), a("plan_ord").alias("a_plan"), a("rkey").alias("a_key"), b("plan_ord").alias("b_plan"), b("rkey").alias("b_key"), "miles", F.abs(F.datediff(a("isd"), b("isd"))).alias("gap"))

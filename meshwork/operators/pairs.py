@@ -39,19 +39,20 @@ def _grid(reach: float, max_abs_lat: float) -> tuple[float, int]:
     return height, max(1, int(360.0 // width))
 
 
-def near_join(a: DataFrame, b: DataFrame, reach: float, max_abs_lat: float, same: tuple[str, ...] = ()) -> DataFrame:
+def near_join(a: DataFrame, b: DataFrame, reach: float, same: tuple[str, ...] = ()) -> DataFrame:
     """Rows of a and b (structs ``a`` and ``b`` with lat, lon) that share a neighbourhood of cells,
     and the fields named in ``same``.
 
-    Lossless for distances below ``reach``; each row of a lies in one cell only, so no pair is found twice.
+    Lossless for distances below ``reach``: cells are as wide as the greatest latitude of either
+    side asks for.  Each row of a lies in one cell only, so no pair is found twice.
     """
-    grid = _grid(reach, max_abs_lat)
+    tops = [d.agg(F.max(F.abs(F.col(f"{side}.lat")))).first()[0] for d, side in ((a, "a"), (b, "b"))]
+    grid = _grid(reach, float(max(top or 0.0 for top in tops)))
     keyed = lambda d, side, spread: d.select(
         side, F.explode(_cells(F.col(f"{side}.lat"), F.col(f"{side}.lon"), *grid, spread)).alias("cell"), *[F.col(f"{side}.{c}").alias(f"__{c}") for c in same]
     )
     on = ["cell", *[f"__{c}" for c in same]]
-    # The side that lies in one cell only is the smaller one, and is hashed.
-    return keyed(a, "a", False).hint("shuffle_hash").join(keyed(b, "b", True), on).drop(*on)
+    return keyed(a, "a", False).join(keyed(b, "b", True), on).drop(*on)
 
 
 def near_join_of_kinds(rows: DataFrame, reaches: dict[tuple[int, int], float], max_abs_lat: float) -> DataFrame:
@@ -74,7 +75,7 @@ def near_join_of_kinds(rows: DataFrame, reaches: dict[tuple[int, int], float], m
             all_cells = F.when(F.col("kind") == k, cells(k, spread)).otherwise(all_cells)
         return rows.select(F.col("p").alias(side), F.explode(all_cells).alias("cell"))
 
-    return keyed("a", False).hint("shuffle_hash").join(keyed("b", True), "cell").drop("cell")
+    return keyed("a", False).join(keyed("b", True), "cell").drop("cell")
 
 
 def distance_join(
@@ -153,7 +154,6 @@ def nearest_partner(projects: DataFrame, reach: float = 5.0) -> DataFrame:
     """
     placed = projects.filter("lat IS NOT NULL AND lon IS NOT NULL AND plan_ord IS NOT NULL")
     slim = checkpointed(placed.select(F.struct("id", "ord", "plan_ord", "state", "lat", "lon").alias("p")))
-    top = slim.agg(F.max(F.abs("p.lat"))).first()[0] or 0.0
 
     def best(pairs: DataFrame) -> DataFrame:
         a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
@@ -166,7 +166,7 @@ def nearest_partner(projects: DataFrame, reach: float = 5.0) -> DataFrame:
     right, missing, found = slim.select(F.col("p").alias("b")), slim.select(F.col("p").alias("a")), []
     while True:
         last = reach > HALF_AROUND
-        near = checkpointed(best(near_join(missing, right, reach, top)).filter(F.lit(last) | (F.col("miles") < reach)))
+        near = checkpointed(best(near_join(missing, right, reach)).filter(F.lit(last) | (F.col("miles") < reach)))
         found.append(near)
         missing = checkpointed(missing.join(near, F.col("a.id") == F.col("id"), "left_anti"))
         if last or not missing.limit(1).count():
@@ -194,8 +194,8 @@ def in_pairing_range(projects: DataFrame, reach: float = classify.CUTOFF, radius
     """Projects with one of another plan and state within reach plus both radii."""
     placed = projects.filter("lat IS NOT NULL AND lon IS NOT NULL AND plan_ord IS NOT NULL AND state IS NOT NULL")
     slim = placed.select(F.struct("id", "plan_ord", "state", "lat", "lon", F.coalesce("radius_mi", F.lit(0.0)).alias("r")).alias("p"))
-    most = placed.agg(F.max(F.coalesce("radius_mi", F.lit(0.0))), F.max(F.abs("lat"))).first()
+    most = placed.agg(F.max(F.coalesce("radius_mi", F.lit(0.0)))).first()[0] or 0.0
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    met = near_join(slim.select(F.col("p").alias("a")), slim.select(F.col("p").alias("b")), reach + 2 * (most[0] or 0.0), most[1] or 0.0)
+    met = near_join(slim.select(F.col("p").alias("a")), slim.select(F.col("p").alias("b")), reach + 2 * most)
     close = geo.haversine_asin(a("lat"), a("lon"), b("lat"), b("lon"), radius) < reach + a("r") + b("r")
     return met.filter((a("plan_ord") != b("plan_ord")) & (a("state") != b("state")) & close).select(a("id").alias("id")).distinct()

@@ -86,24 +86,34 @@ def current_editions(plans: DataFrame, filings: DataFrame) -> DataFrame:
 
 def located_endpoints(endpoints: DataFrame, overrides: DataFrame, references: DataFrame, places: DataFrame, towns: DataFrame) -> DataFrame:
     """The trust cascade: an override of the endpoint, else a reference point of its name that is not
-    far from the project's own place, else a named place, else the town.
-
-    ``endpoints`` has ``id, pos, name, a_lat, a_lon, mismatch``; the others have ``lat, lon`` and
-    their key.  A mismatch of the owner lowers a high confidence and widens the radius.
+    far from the project's own place, else a named place (its ``method`` says whether the whole
+    name or a part matched), else the town.
+
+    ``endpoints`` has ``id, pos, name, a_lat, a_lon, mismatch``; the others have ``lat, lon`` and their
+    key, overrides may have ``confidence`` and ``radius_mi`` of their own.  Where the owner is
+    another (``mismatch``), a reference or a named place is of medium confidence at most and of
+    a wider radius; an override and a town are as they are.  An endpoint without any place has
+    confidence "none" and no radius.
     """
-    at = lambda d, keys, name: d.select(*keys, F.struct(F.col("lat"), F.col("lon"), F.lit(name).alias("method")).alias(name.replace("-", "_")))
+    own = lambda d, c, kind: F.col(c).cast(kind) if c in d.columns else F.lit(None).cast(kind)
+    at = lambda d, keys, name, method: d.select(
+        *keys, F.struct(F.col("lat"), F.col("lon"), method.alias("method"), own(d, "confidence", "string").alias("confidence"), own(d, "radius_mi", "double").alias("radius")).alias(name)
+    )
     told = (
-        endpoints.join(at(overrides, ["id", "pos"], "manual"), ["id", "pos"], "left").join(at(references, ["name"], "reference"), "name", "left")
-        .join(at(places, ["name"], "osm-exact"), "name", "left").join(at(towns, ["id"], "town"), "id", "left")
+        endpoints.join(at(overrides, ["id", "pos"], "manual", F.lit("manual")), ["id", "pos"], "left").join(at(references, ["name"], "reference", F.lit("reference")), "name", "left")
+        .join(at(places, ["name"], "place", F.col("method") if "method" in places.columns else F.lit("osm-exact")), "name", "left").join(at(towns, ["id"], "town", F.lit("town")), "id", "left")
     )
     off = geo.haversine_asin(F.col("reference.lat"), F.col("reference.lon"), F.col("a_lat"), F.col("a_lon"))
     near = F.when(F.col("a_lat").isNull() | (off <= FAR), F.col("reference"))
-    told = told.withColumn("at", F.coalesce("manual", near, "osm_exact", "town"))
+    told = told.withColumn("at", F.coalesce("manual", near, "place", "town"))
     method = F.col("at.method")
     by = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for m, v in METHODS.items() for x in (m, v[i])]), method)
-    confidence = F.when(F.col("mismatch") & (by(1) == "high"), "medium").otherwise(by(1))
-    radius = F.when(F.col("mismatch"), F.greatest(by(0), F.lit(1.5))).otherwise(by(0))
-    return told.select("id", "pos", method.alias("method"), confidence.alias("confidence"), radius.alias("radius_mi"), F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon"))
+    confidence, radius = F.coalesce("at.confidence", by(1)), F.coalesce("at.radius", by(0))
+    doubted = F.coalesce(F.col("mismatch") & method.isin("reference", "osm-exact", "osm-partial"), F.lit(False))
+    return told.select(
+        "id", "pos", method.alias("method"), F.when(method.isNull(), "none").when(doubted & (confidence == "high"), "medium").otherwise(confidence).alias("confidence"),
+        F.when(doubted, F.greatest(radius, F.lit(METHODS["osm-partial"][0]))).otherwise(radius).alias("radius_mi"), F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon"),
+    )
 
 
 def best_combination(candidates: DataFrame) -> DataFrame:
@@ -140,6 +150,11 @@ def cost_agreement(total: Column, printed: Column, unit: Column, own_unit: Colum
     return F.when(F.abs(total - printed * used) <= 0.005 * printed * used + 1, used)
 
 
+def amounts_agree(sum_of: Column, total: Column) -> Column:
+    """Whether yearly amounts add up to the total, within half a percent and a dollar."""
+    return F.abs(sum_of - total) <= 0.005 * F.abs(total) + 1
+
+
 def accepted(shapes: DataFrame, checked: DataFrame) -> DataFrame:
     """Why an edition's records are not accepted, if they are not; ``checked`` has the numbers of the
     edition a plan's parser was checked on, which bind only later ones."""

@@ -7,6 +7,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions import dates
 from ..operators import editions, matching, shapes
 from ..operators.common import shared_path
 from ..sources import sinks
@@ -59,7 +60,7 @@ def q_bipartite(spark, sf_dir):
 
 
 def q_any_date(spark, sf_dir):
-    """Any printed date, as the end and as the start of its period."""
+    """Any printed date, as the end and as the start of its period, and how it was read."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     y, m = F.year("o_orderdate").cast("string"), F.date_format("o_orderdate", "MMMM")
     forms = F.array(
@@ -67,7 +68,8 @@ def q_any_date(spark, sf_dir):
         F.concat(F.lit("Summer "), y), F.concat(F.lit("phase 1: "), y, F.lit("; phase 2: "), (F.year("o_orderdate") + 2).cast("string")), F.lit("TBD"),
     )
     raw = F.get(forms, (F.col("o_orderkey") % 7).cast("int"))
-    return o.select("o_orderkey", raw.alias("raw")).select("o_orderkey", matching.any_date(F.col("raw")).alias("last_day"), matching.any_date(F.col("raw"), False).alias("first_day"))
+    return o.select("o_orderkey", raw.alias("raw")).select("o_orderkey", dates.dated(F.col("raw")).alias("e"), dates.dated(F.col("raw"), False).alias("s")).select(
+        "o_orderkey", F.col("e.day").alias("last_day"), F.col("s.day").alias("first_day"), F.col("e.issue").alias("last_issue"), F.col("s.issue").alias("first_issue"))
 
 
 def q_shapes(spark, sf_dir):

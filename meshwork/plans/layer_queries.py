@@ -197,8 +197,8 @@ def q_flood_notes(spark, sf_dir):
     return both.select("id", layers.flood_note(names(lambda x: x["wet"]), names(lambda x: ~x["wet"])).alias("note"))
 
 
-SQL_FLOOD_NOTES = f"""WITH {PAIRS_CTE}, {EDGES_CTE}, m AS ({plain(MAPPED)}), hit AS (SELECT DISTINCT id, pos FROM ({HITS.format(k='id, pos', p='m')}) WHERE area % 3 = 0),
-s AS (SELECT m.id, m.pos, m.name, hit.id IS NOT NULL AS wet FROM m LEFT JOIN hit ON hit.id = m.id AND hit.pos = m.pos), z AS (SELECT p.id, p.a_id, p.b_id FROM pairs p WHERE certainty <> 'possible'),
+SQL_FLOOD_NOTES = f"""WITH {PAIRS_CTE}, {EDGES_CTE}, m AS MATERIALIZED ({plain(MAPPED)}), hit AS MATERIALIZED (SELECT DISTINCT id, pos FROM ({HITS.format(k='id, pos', p='m')}) WHERE area % 3 = 0),
+s AS MATERIALIZED (SELECT m.id, m.pos, m.name, hit.id IS NOT NULL AS wet FROM m LEFT JOIN hit ON hit.id = m.id AND hit.pos = m.pos), z AS (SELECT p.id, p.a_id, p.b_id FROM pairs p WHERE certainty <> 'possible'),
 u AS (SELECT z.id, 0 AS side, s.pos, s.name, s.wet FROM z JOIN s ON s.id = z.a_id UNION ALL SELECT z.id, 1, s.pos, s.name, s.wet FROM z JOIN s ON s.id = z.b_id),
 n AS (SELECT id, string_agg(name, ', ' ORDER BY side, pos) FILTER (WHERE wet) AS w, string_agg(name, ', ' ORDER BY side, pos) FILTER (WHERE NOT wet) AS d, count(*) FILTER (WHERE wet) AS nw, count(*) FILTER (WHERE NOT wet) AS nd FROM u GROUP BY id)
 SELECT z.id, CASE WHEN nw > 0 AND nd = 0 THEN 'Mapped at the stations: ' || w || CASE WHEN nw > 1 THEN ' are' ELSE ' is' END || ' in the 1% flood area, which fits the floodplain mat rate.'

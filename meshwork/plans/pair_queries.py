@@ -57,7 +57,7 @@ met AS (
          CASE WHEN coalesce(remaining_days, overlap_days) > 0 THEN 40 * least(1, 0.5 + coalesce(remaining_days, overlap_days) / 730.0)
               WHEN gap_days IS NOT NULL THEN 20 * greatest(0, 1 - gap_days / 1095.0) ELSE 0 END AS timing
   FROM classed
-), pairs AS (
+), pairs AS MATERIALIZED (
   SELECT *, CAST(floor((prox + timing) * CASE WHEN certainty = 'robust' THEN 1 ELSE 0.85 END + 0.5) AS BIGINT) AS score_total,
          CAST(floor(prox + 0.5) AS BIGINT) AS score_proximity, CAST(floor(timing + 0.5) AS BIGINT) AS score_timing
   FROM scored

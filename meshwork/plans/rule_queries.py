@@ -131,24 +131,24 @@ MEANT = f"SELECT e.id, e.pos, e.name, CAST(substring(e.name, 2) AS BIGINT) AS n,
 
 
 def q_located(spark, sf_dir):
-    """The trust cascade of each endpoint, with confidence and radius by method and owner."""
+    """The trust cascade of each endpoint, with confidence and radius by method, override and owner."""
     e = build(spark, sf_dir, MEANT)
     g = build(spark, sf_dir, GAZETTEER).select(F.concat(F.lit("S"), F.col("item").cast("string")).alias("name"), "item", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    manual = e.filter("ord % 29 = 0 AND pos = 0 AND lat IS NOT NULL").select("id", "pos", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    manual = e.filter("ord % 29 = 0 AND pos = 0 AND lat IS NOT NULL").select("id", "pos", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.when(F.expr("ord % 58 = 0"), "medium").alias("confidence"), F.when(F.expr("ord % 58 = 0"), 0.75).alias("radius_mi"))
     towns = e.filter("pos = 0 AND a_lat IS NOT NULL AND ord % 4 <> 0").select("id", (F.col("a_lat") + 0.05).alias("lat"), F.col("a_lon").alias("lon"))
-    found = rules.located_endpoints(e, manual, g.filter("item % 3 = 0").drop("item"), g.filter("item % 3 = 1").drop("item"), towns)
+    found = rules.located_endpoints(e, manual, g.filter("item % 3 = 0").drop("item"), g.filter("item % 3 = 1").withColumn("method", F.expr("CASE WHEN item % 6 = 1 THEN 'osm-exact' ELSE 'osm-partial' END")).drop("item"), towns)
     return found.select("id", "pos", "method", "confidence", "radius_mi", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 ASIN = "2 * 3958.8 * asin(sqrt(least(1, pow(sin(radians({b_lat} - {a_lat}) / 2), 2) + cos(radians({a_lat})) * cos(radians({b_lat})) * pow(sin(radians({b_lon} - {a_lon}) / 2), 2))))"
 SQL_LOCATED = f"""WITH e AS ({plain(MEANT)}), g AS (SELECT item, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM ({plain(GAZETTEER)})), t AS (
 SELECT e.id, e.pos, e.mismatch, CASE WHEN e.ord % 29 = 0 AND e.pos = 0 AND e.lat IS NOT NULL THEN 'manual'
-  WHEN g.item % 3 = 0 AND (a_lat IS NULL OR {ASIN.format(a_lat='g.lat', a_lon='g.lon', b_lat='a_lat', b_lon='a_lon')} <= 80) THEN 'reference' WHEN g.item % 3 = 1 THEN 'osm-exact'
-  WHEN a_lat IS NOT NULL AND e.ord % 4 <> 0 THEN 'town' END AS method, e.lat AS e_lat, e.lon AS e_lon, g.lat AS g_lat, g.lon AS g_lon, a_lat, a_lon FROM e LEFT JOIN g ON g.item = e.n)
-SELECT id, pos, method, CASE WHEN mismatch AND method IN ('manual', 'reference', 'osm-exact') THEN 'medium' WHEN method IN ('manual', 'reference', 'osm-exact') THEN 'high' WHEN method = 'town' THEN 'low' END AS confidence,
-  CASE WHEN method = 'town' THEN 6.0 WHEN method IS NULL THEN CASE WHEN mismatch THEN 1.5 END WHEN mismatch THEN 1.5 ELSE 0.5 END::DOUBLE AS radius_mi,
-  round(CASE method WHEN 'manual' THEN CAST(e_lat AS DOUBLE) WHEN 'town' THEN a_lat + 0.05 WHEN 'reference' THEN g_lat WHEN 'osm-exact' THEN g_lat END, 6) AS lat,
-  round(CASE method WHEN 'manual' THEN CAST(e_lon AS DOUBLE) WHEN 'town' THEN a_lon WHEN 'reference' THEN g_lon WHEN 'osm-exact' THEN g_lon END, 6) AS lon FROM t"""
+  WHEN g.item % 3 = 0 AND (a_lat IS NULL OR {ASIN.format(a_lat='g.lat', a_lon='g.lon', b_lat='a_lat', b_lon='a_lon')} <= 80) THEN 'reference' WHEN g.item % 6 = 1 THEN 'osm-exact' WHEN g.item % 3 = 1 THEN 'osm-partial'
+  WHEN a_lat IS NOT NULL AND e.ord % 4 <> 0 THEN 'town' END AS method, e.ord, e.lat AS e_lat, e.lon AS e_lon, g.lat AS g_lat, g.lon AS g_lon, a_lat, a_lon FROM e LEFT JOIN g ON g.item = e.n)
+SELECT id, pos, method, CASE WHEN method IS NULL THEN 'none' WHEN method = 'manual' THEN CASE WHEN ord % 58 = 0 THEN 'medium' ELSE 'high' END WHEN method = 'town' THEN 'low' WHEN mismatch OR method = 'osm-partial' THEN 'medium' ELSE 'high' END AS confidence,
+  CASE WHEN method = 'town' THEN 6.0 WHEN method = 'manual' THEN CASE WHEN ord % 58 = 0 THEN 0.75 ELSE 0.5 END WHEN method IS NOT NULL THEN CASE WHEN mismatch OR method = 'osm-partial' THEN 1.5 ELSE 0.5 END END::DOUBLE AS radius_mi,
+  round(CASE method WHEN 'manual' THEN CAST(e_lat AS DOUBLE) WHEN 'town' THEN a_lat + 0.05 ELSE CASE WHEN method IS NOT NULL THEN g_lat END END, 6) AS lat,
+  round(CASE method WHEN 'manual' THEN CAST(e_lon AS DOUBLE) WHEN 'town' THEN a_lon ELSE CASE WHEN method IS NOT NULL THEN g_lon END END, 6) AS lon FROM t"""
 
 CHOICES = f"SELECT e.id, e.pos, c.choice, CAST(e.lat AS DOUBLE) + c.choice * CAST((e.ord * 13 + e.pos * 7) % 11 - 5 AS DOUBLE) / 20 AS lat, CAST(e.lon AS DOUBLE) - c.choice * CAST((e.ord * 5 + e.pos * 3) % 13 - 6 AS DOUBLE) / 20 AS lon FROM ({ENDPOINTS}) e CROSS JOIN (SELECT 0 AS choice UNION ALL SELECT 1 UNION ALL SELECT 2) c WHERE e.lat IS NOT NULL"
 
@@ -184,7 +184,9 @@ def q_cost_checks(spark, sf_dir):
     unit = F.when(k == 1, 1000.0).otherwise(1.0)
     printed = F.when(k == 1, F.floor(F.col("total") / 10) / 100).when(k == 2, F.col("total") * 2).otherwise(F.col("total"))
     told = o.join(years, "o_orderkey", "left").withColumn("unit", rules.cost_agreement(F.col("total"), printed, unit, own))
-    differs = F.abs(F.col("yearly") - F.col("total")) > 0.05 * F.col("total")
+    # Half of the orders have a total that is the sum of their items, within a thousandth.
+    near = F.when(F.col("o_orderkey") % 2 == 0, F.round(F.col("yearly") * (1 + (F.col("o_orderkey") % 16) / 2000), 2)).otherwise(F.col("total"))
+    differs = ~rules.amounts_agree(F.col("yearly"), near)
     return told.select("o_orderkey", "unit", F.col("unit").isNull().alias("disagrees"), F.coalesce(differs, F.lit(False)).alias("yearly_differs"))
 
 
@@ -192,7 +194,7 @@ SQL_COSTS = """WITH y AS (SELECT l_orderkey, round(sum(CAST(l_extendedprice AS D
 SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS total, CASE o_orderkey % 4 WHEN 1 THEN floor(CAST(o_totalprice AS DOUBLE) / 10) / 100 WHEN 2 THEN CAST(o_totalprice AS DOUBLE) * 2 ELSE CAST(o_totalprice AS DOUBLE) END AS printed,
   CASE WHEN o_orderkey % 4 = 1 THEN 1000.0::DOUBLE ELSE 1.0::DOUBLE END AS unit, yearly FROM orders LEFT JOIN y ON l_orderkey = o_orderkey),
 u AS (SELECT *, CASE WHEN abs(total - printed * unit) <= 0.005 * printed * unit + 1 THEN unit END AS used FROM t)
-SELECT o_orderkey, used AS unit, used IS NULL AS disagrees, coalesce(abs(yearly - total) > 0.05 * total, false) AS yearly_differs FROM u"""
+SELECT o_orderkey, used AS unit, used IS NULL AS disagrees, coalesce(abs(yearly - near) > 0.005 * abs(near) + 1, false) AS yearly_differs FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN round(yearly * (1 + (o_orderkey % 16) / 2000), 2) ELSE total END AS near FROM u)"""
 
 
 def q_accepted(spark, sf_dir):
@@ -212,7 +214,7 @@ SELECT filing, len(why) = 0 AS accepted, array_to_string(why, '; ') AS why FROM
 def q_pair_report(spark, sf_dir):
     """The ten nearest pairs of a plan's projects and others, whatever their states."""
     p = build(spark, sf_dir, PROJECTS).filter("lat IS NOT NULL").select(F.struct("id", "plan", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).alias("p"))
-    met = near_join(p.filter("p.plan = 'alpha'").select(F.col("p").alias("a")), p.filter("p.plan <> 'alpha'").select(F.col("p").alias("b")), 25.0, 40.0)
+    met = near_join(p.filter("p.plan = 'alpha'").select(F.col("p").alias("a")), p.filter("p.plan <> 'alpha'").select(F.col("p").alias("b")), 25.0)
     far = geo.haversine_asin(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     return rules.nearest_report(met.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), far.alias("miles")).filter("miles < 25"))
 
@@ -241,7 +243,7 @@ def q_table_joins(spark, sf_dir):
     """Rows of a list without a detail page, with another year there, or removed as well; pages of no row."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("key"), F.year("o_orderdate").alias("y"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("at"))
     first = o.groupBy("key").agg(F.min_by("y", "at").alias("detail"), F.max((F.col("status") == "P").cast("int")).alias("removed"))
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 7 + 1992).cast("int").alias("listed"))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 7 + 1992).cast("int").alias("listed"))
     told = rows.join(first, "key", "left")
     issue = F.array_join(F.array_compact(F.array(F.when(F.col("detail").isNull(), "no page"), F.when(F.col("detail") != F.col("listed"), "year differs"), F.when(F.col("removed") == 1, "also removed"))), "; ")
     unused = first.join(rows, "key", "left_anti").select("key", F.lit("page of no row").alias("issue"))
@@ -249,7 +251,7 @@ def q_table_joins(spark, sf_dir):
 
 
 SQL_TABLE_JOINS = """WITH f AS (SELECT o_custkey AS key, arg_min(year(o_orderdate), o_orderkey) AS detail, bool_or(o_orderstatus = 'P') AS removed FROM orders GROUP BY o_custkey),
-r AS (SELECT c_custkey AS key, c_custkey % 7 + 1992 AS listed FROM customer WHERE c_custkey % 5 <> 0),
+r AS (SELECT c_custkey AS key, c_custkey % 7 + 1992 AS listed FROM customer),
 t AS (SELECT r.key, array_to_string(list_filter([CASE WHEN f.key IS NULL THEN 'no page' END, CASE WHEN detail <> listed THEN 'year differs' END, CASE WHEN removed THEN 'also removed' END], lambda x: x IS NOT NULL), '; ') AS issue FROM r LEFT JOIN f USING (key))
 SELECT key, issue FROM t WHERE issue <> '' UNION ALL SELECT key, 'page of no row' FROM f WHERE key NOT IN (SELECT key FROM r)"""
 
@@ -257,7 +259,7 @@ SELECT key, issue FROM t WHERE issue <> '' UNION ALL SELECT key, 'page of no row
 def q_text_rules(spark, sf_dir):
     """Codes, titles, spellings, inverted names, stated miles and digests of texts."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"))
-    words = F.slice(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 \n]", ""), "[ \n]+"), 1, 40)
+    words = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 \n]", ""), "[ \n]+")
     first, second = F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))
     at = F.locate("the", F.lower("text"))
     amounts = F.transform(F.regexp_extract_all("text", F.lit(r"([0-9]{1,3}) "), F.lit(1)), lambda x: x.cast("int"))
@@ -269,7 +271,7 @@ def q_text_rules(spark, sf_dir):
     )
 
 
-SQL_TEXT_RULES = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents), w AS (SELECT *, string_split_regex(regexp_replace(lower(text), '[^a-z0-9 \n]', '', 'g'), '[ \n]+')[1:40] AS words, regexp_extract_all(text, '([0-9]{1,3}) ', 1) AS amounts FROM d)
+SQL_TEXT_RULES = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents), w AS (SELECT *, string_split_regex(regexp_replace(lower(text), '[^a-z0-9 \n]', '', 'g'), '[ \n]+') AS words, regexp_extract_all(text, '([0-9]{1,3}) ', 1) AS amounts FROM d)
 SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9-])MIT([^A-Za-z0-9-]|$)') AS whole_code, source || ': ' || doc_id AS title, CASE WHEN strpos(lower(text), 'the') > 0 THEN substr(text, strpos(lower(text), 'the'), 3) END AS spelling,
   array_to_string(list_filter(words, lambda x, i: list_position(words, x) = i)[1:5], ' ') AS first_words, list_contains(words, 'the') OR list_contains(words, 'of') AS nearly_all,
   split_part(text, ' ', 2) || ' ' || lower(split_part(text, ' ', 1)) AS inverted, CAST(list_max(list_transform(amounts, lambda x: CAST(x AS INT))) AS INT) AS most, sha256('{"id":' || doc_id || ',"source":"' || source || '"}') AS digest FROM w"""

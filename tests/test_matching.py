@@ -7,25 +7,38 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from meshwork.functions import text
+from meshwork.functions import dates, text
 from meshwork.operators import graph, matching, shapes
 
 DATES = [
     ("6/1/2027", "2027-06-01", "2027-06-01"), ("June 2027", "2027-06-30", "2027-06-01"), ("Q2 2028", "2028-06-30", "2028-04-01"), ("Summer 2027", "2027-08-31", "2027-06-01"), ("2029", "2029-12-31", "2029-01-01"),
     ("12/1/2026; 6/1/2028", "2028-06-01", "2026-12-01"), ("TBD", None, None), ("Phase 1: 2027; Phase 2: 2029", "2029-12-31", "2027-01-01"),
-    ("June 2027 (Phase 1), December 2029 (Phase 2)", "2029-12-31", "2027-06-01"), ("delayed from 2025 to 2027", "2027-12-31", "2025-01-01"), ("Q1 2026 to 2027 Q3", "2027-09-30", "2026-01-01"), ("5 June, 2027 and Jan. '28", "2028-01-31", "2027-06-05"), ("13/2027", None, None), ("Marion 2027", "2027-12-31", "2027-01-01"), ("4/31/2026", "2026-04-30", "2026-04-30"), (None, None, None),
+    ("June 2027 (Phase 1), December 2029 (Phase 2)", "2029-12-31", "2027-06-01"), ("delayed from 2025 to 2027", "2027-12-31", "2025-01-01"), ("Q1 2026 to 2027 Q3", "2027-09-30", "2026-01-01"), ("5 June, 2027 and Jan. '28", "2028-01-31", "2027-06-05"), ("13/2027", None, None), ("Marion 2027", "2027-12-31", "2027-01-01"), ("4/31/2026", "2026-04-30", "2026-04-30"), ("Dec 12/15/2026", "2026-12-15", "2026-12-15"), (None, None, None),
 ]
 
 
 @pytest.mark.parametrize("raw,end,start", DATES)
 def test_read_date(raw, end, start):
     iso = lambda d: d.isoformat() if d else None
-    assert (iso(matching.read_date(raw, True)), iso(matching.read_date(raw, False))) == (end, start)
+    assert (iso(dates.read_date(raw, True)), iso(dates.read_date(raw, False))) == (end, start)
+
+
+ISSUES = [
+    ("6/1/2027", None), ("June 2027", "date given as a month ('June 2027'); read as 2027-06-30"), (" Q2 2028", "date given as a quarter ('Q2 2028'); read as 2028-06-30"),
+    ("4/31/2026", "impossible date '4/31/2026' read as 4/30/2026"), ("13/2027", "invalid date '13/2027'"), ("TBD", "unparseable date 'TBD'"), (None, "unparseable date None"),
+    ("from 2025 to 2027", "several dates in 'from 2025 to 2027'; read the latest, 2027-12-31"),
+    ("2/30/2026, 1/5/2026", "several dates in '2/30/2026, 1/5/2026'; read the latest, 2026-02-28 (impossible date '2/30/2026' read as 2/28/2026)"), ("6/1/2027 (6/1/2027)", None),
+]
+
+
+@pytest.mark.parametrize("raw,issue", ISSUES)
+def test_how_a_date_was_read(raw, issue):
+    assert dates.read_dated(raw, True)[1] == issue
 
 
 def test_any_date_in_batches(spark):
     df = spark.createDataFrame([(r,) for r, _, _ in DATES], "raw string")
-    got = [r[0] for r in df.coalesce(1).select(matching.any_date(F.col("raw"))).collect()]
+    got = [r[0] for r in df.coalesce(1).select(dates.any_date(F.col("raw"))).collect()]
     assert got == [dt.date.fromisoformat(e) if e else None for _, e, _ in DATES]
 
 

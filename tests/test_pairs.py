@@ -1,13 +1,14 @@
 """Golden values of the pair engine, its classes, windows, orders and filters."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from meshwork.functions import classify, geo, intervals
-from meshwork.operators import filters, pairs
+from meshwork.operators import filters, pairs, rules
 
 # Ten starter projects (id, state, lat, lon, in service).
 STARTERS = [
@@ -136,3 +137,35 @@ def test_ground_of_pairs(spark):
     assert found == {"unchecked": [0], "clear": [1], "flood": [2], "habitat": [3], "protected": [4], "other": [0, 1, 2, 3, 4]}
     view = filters.PairQuery(ground="flood", utility="U2", shortlist=("a", "b"))
     assert filters.PairQuery.decode(view.encode()) == view and "ground" in view.conjuncts()
+
+
+def test_near_join_far_north_loses_no_pair(spark):
+    """Cells follow the greatest latitude of the rows, whatever the caller knows of it."""
+    rng = random.Random(8)
+    points = [(i, 58 + 3 * rng.random(), -100 + 4 * rng.random()) for i in range(150)] + [(200 + i, 89.9, 30.0 * i) for i in range(12)]
+    side = lambda s, rows: spark.createDataFrame(rows, "id long, lat double, lon double").select(F.struct("id", "lat", "lon").alias(s))
+    for reach in (5.0, 25.0, 60.0):
+        met = pairs.near_join(side("a", points[:80] + points[150:155]), side("b", points[80:150] + points[155:]), reach)
+        far = geo.haversine_asin(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
+        got = {(r[0], r[1]) for r in met.filter(far < reach).select("a.id", "b.id").collect()}
+
+        def miles(p, q):
+            s = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+            return 2 * 3958.8 * math.asin(min(1, math.sqrt(s)))
+
+        want = {(p[0], q[0]) for p in points[:80] + points[150:155] for q in points[80:150] + points[155:] if miles(p, q) < reach}
+        assert got == want and want
+
+
+def test_located_endpoints_keep_what_a_user_set(spark):
+    """An owner's mismatch doubts references and named places alone; no place has no radius."""
+    e = spark.createDataFrame([("p", i, n, 33.0, -81.0, True) for i, n in enumerate(["m", "own", "ref", "part", "exact", "none"])] + [("q", 0, "x", 33.0, -81.0, True)], "id string, pos int, name string, a_lat double, a_lon double, mismatch boolean")
+    at = lambda rows, keys: spark.createDataFrame(rows, f"{keys}, lat double, lon double")
+    manual = spark.createDataFrame([("p", 0, 33.0, -81.0, None, None), ("p", 1, 33.0, -81.0, "low", 2.5)], "id string, pos int, lat double, lon double, confidence string, radius_mi double")
+    places = spark.createDataFrame([("part", 33.0, -81.0, "osm-partial"), ("exact", 33.0, -81.0, "osm-exact")], "name string, lat double, lon double, method string")
+    found = rules.located_endpoints(e, manual, at([("ref", 33.1, -81.0)], "name string"), places, at([("q", 33.0, -81.0)], "id string"))
+    got = {(r.id, r.pos): (r.method, r.confidence, r.radius_mi) for r in found.collect()}
+    assert got == {
+        ("p", 0): ("manual", "high", 0.5), ("p", 1): ("manual", "low", 2.5), ("p", 2): ("reference", "medium", 1.5), ("p", 3): ("osm-partial", "medium", 1.5),
+        ("p", 4): ("osm-exact", "medium", 1.5), ("p", 5): (None, "none", None), ("q", 0): ("town", "low", 6.0),
+    }

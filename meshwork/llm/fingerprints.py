@@ -12,7 +12,9 @@ the prefix arrays.  ``likeness`` of two fingerprints is the greater of two share
 the longer text is a prefix and a suffix that both have (by binary search over the kept
 lengths), and what both have of the windows of either (exact while all are kept,
 estimated from the smallest hashes beyond).  The first suits a text whose end was
-replaced, the second one that was changed in several places.
+replaced, the second one that was changed in several places.  The first is at most
+the true share, and at least 0.84 of it; an estimate of the second, from ``KEPT`` hashes, has a
+standard error of 0.07 at most, and 0.25 is never passed in the tests.
 
 Where the arrays of two texts are in hand, ``common_extension`` gives exact lengths;
 each row has those of its text's and the next text's common prefix and suffix.
@@ -206,8 +208,8 @@ def _resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return sum(x in both for x in smallest) / len(smallest)
 
 
-def _common(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, full: int) -> int:
-    """Longest kept length at which both agree; agreement is monotone, so bisect."""
+def _common(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> int:
+    """Longest kept length at which both agree, never more than they share; agreement is monotone, so bisect."""
     low, high = 0, len(lengths)
     while low < high:
         mid = (low + high + 1) // 2
@@ -215,7 +217,7 @@ def _common(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, full: int) -> int
             low = mid
         else:
             high = mid - 1
-    return full if low == len(lengths) else int(lengths[low - 1]) if low else 0
+    return int(lengths[low - 1]) if low else 0
 
 
 def likeness(a: str, b: str) -> float:
@@ -231,7 +233,7 @@ def likeness(a: str, b: str) -> float:
     windows = [np.frombuffer(r[12 + 6 * m :], ">u4") for r, m in zip(raw, many)]
     few = min(sizes)
     lengths = _LENGTHS[: np.searchsorted(_LENGTHS, few, side="right")]
-    head, tail = (_common(spans[0][i], spans[1][i], lengths, few) for i in (0, 1))
+    head, tail = (_common(spans[0][i], spans[1][i], lengths) for i in (0, 1))
     shared = min(head + tail, few)
     return min(max(shared / max(sizes), _resemblance(*windows)), 1 - 1 / max(max(sizes), 2))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from meshwork.llm import bpe, fingerprints, jaccard, lines, mixing, quality, queries, topk, urls
 
-TABLES = ("documents", "embeddings", "pages", "conversations", "labels")
+TABLES = ("documents", "embeddings", "pages", "conversations", "labels", "benchmark")
 
 
 def rows_of(df):
@@ -86,6 +86,19 @@ def test_likeness_of_texts_changed_in_several_places(texts):
     assert near("a" * 5000, "a" * 5001) > 0.9 and near("x" + long[0] + "x", long[0]) > 0.9
 
 
+@pytest.mark.parametrize("n,shared", [(1000, 870), (2000, 1730), (500, 440), (500, 250), (64, 60), (10_000, 9_900)])
+def test_likeness_is_not_overstated(n, shared):
+    """Texts of one length that share their beginning or their end alone."""
+    rng = random.Random(n)
+    text = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    same, a, b = text(shared), text(n - shared - 1), text(n - shared - 1)
+    for x, y in ((same + "#" + a, same + "~" + b), (a + "#" + same, b + "~" + same)):
+        near = fingerprints.likeness(*(fingerprints.fingerprint(fingerprints.PrefixHashes(t)) for t in (x, y)))
+        both, either = len(windows(x) & windows(y)), len(windows(x) | windows(y))
+        assert 0.84 * shared / n - 1e-9 <= near <= max(shared / n, both / either + (0.25 if either > fingerprints.KEPT else 0)) + 1e-9
+        assert near <= shared / n + 0.1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abé𝄞", max_size=40), st.text(alphabet="abé𝄞", max_size=40), st.integers(0, 39), st.integers(0, 39))
 def test_prefix_hashes_find_extensions(a, b, i, j):

@@ -117,6 +117,37 @@ def stations(title: Column, limit: int = 3) -> Column:
     return F.slice(F.filter(parts, lambda x: F.length(x) > 1), 1, limit)
 
 
+#: Prefixes of the first plan's titles, voltages, words that end a station's name, and those that may begin one.
+PLAN_PREFIXES = ((r"(?i)^(SAV|GTC|MEAG|DU|SPC|GRID)\s*[:\-]\s*", ""), (r"(?i)^CC\s*[:\-–]\s*", ""), (r"(?i)^.*\bAT\s+", ""))
+VOLTAGE = r"(?i)\b\d{2,3}(?:\s*[-/]\s*\d{1,3})?\s*kv\b.*$"
+STOP_WORDS = (
+    "rebuild", "rebuilds", "reconductor", "construct", "construction", "upgrade", "upgrades", "replace", "replacement", "new", "line", "lines",
+    "tie", "tap", "loop", "sub", "substation", "switching station", "fold-in", "fold in", "network improvements", "improvements",
+    "relay", "modernization", "breaker", "breakers", "auto transformer", "autotransformer", "transformer", "statcom", "cap bank",
+    "series reactor", "reactors?", "conversion", "strategic", "solution", "project", "area", "bus", "jumper", "spdc", "second", "add",
+    "overstressed", "network", "switch", "transmission", "terminal", "equipment", "protection", "capacitor",
+)
+NAME_PREFIXES = ("line", "new", "project", "switch")
+STOP = rf"(?i)\b({'|'.join(STOP_WORDS)})\b.*$"
+LEAD = rf"(?i)^({'|'.join(NAME_PREFIXES)})\b"
+TITLE_MARKS = ((r"\([^)]*\)", " "), (r"#\s*\d+", " "), (VOLTAGE, ""))
+
+
+def title_stations(title: Column, plan: Column | None = None, limit: int = 3) -> Column:
+    """Station names of a title: before the colon, without brackets, ordinals and voltage, cut at dashes and &, and
+    each cut off where it turns into a description.  A descriptor may begin a name (Line Creek, Project Speedway).
+
+    Prefixes of sponsors are conventions of the plan "ga" alone.
+    """
+    if plan is not None:
+        title = F.when(plan == "ga", _chain(title, *PLAN_PREFIXES)).otherwise(title)
+    plain = _chain(F.split(title, ":").getItem(0), *TITLE_MARKS)
+    parts = F.transform(F.split(plain, r"\s*[-–&]\s*"), lambda x: F.regexp_replace(x, r"^[ ,/]+|[ ,/]+$", ""))
+    lead = lambda x: F.regexp_extract(x, LEAD, 1)
+    cut = lambda x: F.concat(lead(x), F.regexp_replace(F.substring(x, F.length(lead(x)) + 1, F.length(x)), STOP, ""))
+    return F.slice(F.filter(F.transform(parts, lambda x: F.trim(cut(x))), lambda x: F.length(x) > 1), 1, limit)
+
+
 def slip_years(text: Column) -> Column:
     """Years moved by 'Delayed from Y1 to Y2' or 'Advanced from Y1 to Y2'."""
     part = lambda g: F.regexp_extract(text, r"(?i)(?:delayed|advanced) from (\d{4}) to (\d{4})", g)

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, text
-from . import layers
+from . import layers, likeness
+from .common import checkpointed
 
 #: Confidences from worst to best.
 CONFIDENCES = ("none", "low", "ambiguous", "medium", "high")
+#: Fixed value: the ratio from which a name of the gazetteer is taken for a query.
+NEARLY = 0.9
 
 
 def gazetteer_items(elements: DataFrame) -> DataFrame:
@@ -40,6 +43,26 @@ def find_places(queries: DataFrame, items: DataFrame) -> DataFrame:
     return every.join(best, ["query_id", "tier"])
 
 
+def find_places_nearly(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """``find_places`` with a fourth tier, for what the first three don't find: names of more than five letters that are
+    nearly the same (``NEARLY``) and name no opposite direction, on the query's side of the border."""
+    found = checkpointed(find_places(queries, items))
+    rest = queries.join(found.select("query_id").distinct(), "query_id", "left_anti").withColumn("q", text.norm_name(F.col("query"))).filter(F.length("q") > 5)
+    grid = items.filter("NOT off_grid").select(F.struct("item", "norm").alias("id"), F.col("norm").alias("text"), F.col("state").alias("block"))
+    near = likeness.pairs_alike(rest.select(F.col("query_id").alias("id"), F.col("q").alias("text"), F.col("state").alias("block")), grid, NEARLY)
+    told = near.join(rest.select(F.col("query_id").alias("left"), "q"), "left").filter(text.compatible_directions(F.col("q"), F.col("right.norm")))
+    return found.unionByName(told.select(F.col("left").alias("query_id"), F.lit(4).alias("tier"), F.col("right.item").alias("item")).distinct())
+
+
+def endpoint_names(projects: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``id, names``: the stations of each project: a user's (``override_key, names``), else those its parser named, else its title's.
+
+    ``projects`` has ``id, override_key, plan, title, named`` (a list or null).
+    """
+    told = projects.join(overrides.select("override_key", F.col("names").alias("own")), "override_key", "left")
+    return told.select("id", F.coalesce("own", "named", text.title_stations(F.col("title"), F.col("plan"))).alias("names"))
+
+
 def confidence_rank(c: Column) -> Column:
     ranks = F.create_map(*[F.lit(x) for i, name in enumerate(CONFIDENCES) for x in (name, i)])
     return F.try_element_at(ranks, c)

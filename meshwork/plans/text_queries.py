@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..operators import links
 from ..sources.adapters import build
 
 TITLES = """
@@ -117,6 +118,19 @@ f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY page_id, href ORDE
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ends_with(href, '.pdf') DESC, pos) AS INTEGER) AS n, href, anchor FROM f QUALIFY n <= 200"""
 
 
+def q_report(spark, sf_dir):
+    """Title and links of whole pages, addresses in full."""
+    scanned = links.scan_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return links.page_report(scanned).select("page_id", "title", "n", "href", "text")
+
+
+SQL_REPORT = r"""WITH p AS (SELECT page_id, url, html, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site FROM pages), c AS (SELECT page_id, site, unnest(x) AS a, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT page_id, site, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS x FROM p)),
+l AS (SELECT page_id, pos, site || regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(regexp_extract(a, '>([^<]*)<', 1), '\s+', ' ', 'g')) AS text FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY contains(lower(href), '.pdf') DESC, pos) AS n FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1))
+SELECT p.page_id, substr(trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')), 1, 200) AS title, n, substr(href, 1, 300) AS href, substr(replace(text, '&amp;', '&'), 1, 90) AS text
+FROM p LEFT JOIN (SELECT * FROM f WHERE n <= 200) f USING (page_id)"""
+
+
 def q_quality(spark, sf_dir):
     """Issues of documents by level, in order of severity."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -129,5 +143,5 @@ def q_quality(spark, sf_dir):
 SQL_QUALITY = """WITH i AS (SELECT doc_id, 'error' AS level FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'warn' FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, 'info' FROM labels WHERE toxic = 0 AND quality = 1)
 SELECT source, level, count(*) AS n, CASE level WHEN 'error' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END AS severity FROM i JOIN documents USING (doc_id) GROUP BY source, level"""
 
-QUERIES = {"names_and_keys": q_names, "printed_dates": q_dates, "printed_money": q_money, "page_tokens": q_tokens, "page_links": q_links, "issue_levels": q_quality}
-SQL = {"names_and_keys": SQL_NAMES, "printed_dates": SQL_DATES, "printed_money": SQL_MONEY, "page_tokens": SQL_TOKENS, "page_links": SQL_LINKS, "issue_levels": SQL_QUALITY}
+QUERIES = {"names_and_keys": q_names, "printed_dates": q_dates, "printed_money": q_money, "page_tokens": q_tokens, "page_links": q_links, "page_report": q_report, "issue_levels": q_quality}
+SQL = {"names_and_keys": SQL_NAMES, "printed_dates": SQL_DATES, "printed_money": SQL_MONEY, "page_tokens": SQL_TOKENS, "page_links": SQL_LINKS, "page_report": SQL_REPORT, "issue_levels": SQL_QUALITY}

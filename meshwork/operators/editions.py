@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, text
+from .common import checkpointed
 from .matching import SAME_NAME, similarity
 from .pairs import near_join
 
@@ -53,8 +54,12 @@ def project_changes(matched: DataFrame) -> DataFrame:
     """Added, removed and changed projects; what changed, days moved and cost."""
     differs = lambda c: ~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
     both = F.col("o").isNotNull() & F.col("n").isNotNull()
-    # Ids that are unique match on the id alone; a name only counts as changed if it is quite another.
-    renamed = differs("name") & (similarity(text.norm_name(F.col("o.name")), text.norm_name(F.col("n.name"))) < SAME_NAME)
+    # Ids that are unique match on the id alone; a name only counts as changed if it is quite another.  Only
+    # records on both sides whose normalised names differ go through Python for their ratio.
+    names = checkpointed(matched.withColumns({"o_norm": text.norm_name(F.col("o.name")), "n_norm": text.norm_name(F.col("n.name"))}))
+    unlike = both & ~F.col("o_norm").eqNullSafe(F.col("n_norm"))
+    matched = names.filter(~unlike).withColumn("ratio", F.lit(1.0)).unionByName(names.filter(unlike).withColumn("ratio", similarity("o_norm", "n_norm")))
+    renamed = differs("name") & (F.col("ratio") < SAME_NAME)
     cost = (F.coalesce(F.col("o.cost_cents"), F.lit(0)) != 0) & (F.coalesce(F.col("n.cost_cents"), F.lit(0)) != 0) & differs("cost_cents")
     what = F.array_compact(F.array(F.when(renamed, "name"), F.when(differs("isd"), "date"), F.when(cost, "cost")))
     kind = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("changed")

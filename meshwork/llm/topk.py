@@ -312,7 +312,7 @@ def exact_top_k(
                 p = pivots_of(row["dim"])
                 q, c, r, radius = p[row["cell"]], p[row["other"]], row["q_radius"], row["radius"]
                 upper = c @ q + np.sqrt(q @ q) * radius + np.sqrt(c @ c) * r + r * radius
-                keep.append(bool(upper * (1 + 1e-9) + 1e-6 >= row["worst"]))
+                keep.append(bool(upper + abs(upper) * 1e-9 + 1e-6 >= row["worst"]))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["block", "dim", "other", "shards"])
 
     # One row for each block and cell of a length, and numbers alone: no vectors meet here.

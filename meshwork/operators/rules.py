@@ -116,21 +116,28 @@ def located_endpoints(endpoints: DataFrame, overrides: DataFrame, references: Da
     )
 
 
-def best_combination(candidates: DataFrame) -> DataFrame:
-    """Joint choice among the candidate places of a project's endpoints (three at most): the
-    combination of the least sum of miles between all, the first of equals.
+def best_combination(candidates: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """Joint choice among the candidate places of a project's endpoints (three at most, more raise an error): the
+    combination of the least sum of miles between all, and from all to the project's anchor
+    (``id, lat, lon``) where it has one; the first of equals.
 
     ``candidates`` has ``id, pos, choice, lat, lon``; combinations beyond ``COMBINATIONS``, in the
     order of the choices, are not looked at.
     """
     point = F.struct("choice", "lat", "lon")
-    first = candidates.groupBy("id").agg(F.min("pos").alias("p0"), F.max("pos").alias("p2"))
+    first = candidates.groupBy("id").agg(F.min("pos").alias("p0"), F.max("pos").alias("p2"), F.count_distinct("pos").alias("endpoints"))
+    if wide := first.filter("endpoints > 3").first():
+        raise ValueError(f"project {wide['id']} has {wide['endpoints']} endpoints, three are looked at")
     told = candidates.join(first, "id").withColumn("turn", F.when(F.col("pos") == F.col("p0"), 0).when(F.col("pos") == F.col("p2"), 2).otherwise(1))
     side = lambda t: told.filter(F.col("turn") == t).select("id", point.alias(f"c{t}"))
     combos = side(0).join(side(1), "id", "left").join(side(2), "id", "left")
+    if anchors is not None:
+        combos = combos.join(anchors.select("id", F.struct("lat", "lon").alias("anchor")), "id", "left")
     order = Window.partitionBy("id").orderBy(*[F.col(f"c{t}.choice").asc_nulls_first() for t in range(3)])
-    far = lambda a, b: F.coalesce(geo.haversine_asin(F.col(f"c{a}.lat"), F.col(f"c{a}.lon"), F.col(f"c{b}.lat"), F.col(f"c{b}.lon")), F.lit(0.0))
-    numbered = combos.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= COMBINATIONS).withColumn("cost", far(0, 1) + far(0, 2) + far(1, 2))
+    between = lambda a, b: F.coalesce(geo.haversine_asin(F.col(f"{a}.lat"), F.col(f"{a}.lon"), F.col(f"{b}.lat"), F.col(f"{b}.lon")), F.lit(0.0))
+    far = lambda a, b: between(f"c{a}", f"c{b}")
+    to_anchor = between("c0", "anchor") + between("c1", "anchor") + between("c2", "anchor") if anchors is not None else F.lit(0.0)
+    numbered = combos.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= COMBINATIONS).withColumn("cost", far(0, 1) + far(0, 2) + far(1, 2) + to_anchor)
     best = numbered.groupBy("id").agg(F.min_by(F.struct("c0", "c1", "c2", "cost"), F.struct(F.round("cost", 9).alias("cost"), "nth")).alias("b"))
     return best.select("id", *[F.col(f"b.c{t}.choice").alias(f"choice{t}") for t in range(3)], F.round("b.cost", 6).alias("cost"))
 

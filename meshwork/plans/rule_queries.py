@@ -154,14 +154,18 @@ CHOICES = f"SELECT e.id, e.pos, c.choice, CAST(e.lat AS DOUBLE) + c.choice * CAS
 
 
 def q_disambiguated(spark, sf_dir):
-    """Joint choice among the places that the endpoints of a project may be."""
-    return rules.best_combination(build(spark, sf_dir, CHOICES))
+    """Joint choice among the places that the endpoints of a project may be, near its anchor where it has one."""
+    return rules.best_combination(build(spark, sf_dir, CHOICES), build(spark, sf_dir, ZONE_ANCHORS))
+
+
+#: Every second project has a place from its zone.
+ZONE_ANCHORS = f"SELECT id, CAST(lat AS DOUBLE) + 0.1 AS lat, CAST(lon AS DOUBLE) - 0.1 AS lon FROM ({PROJECTS}) p WHERE lat IS NOT NULL AND ord % 2 = 0"
 
 
 _FAR = lambda a, b: f"coalesce({ASIN.format(a_lat=f'{a}.lat', a_lon=f'{a}.lon', b_lat=f'{b}.lat', b_lon=f'{b}.lon')}, 0)"
 SQL_DISAMBIGUATED = f"""WITH c AS ({plain(CHOICES)}), f AS (SELECT id, min(pos) AS p0, max(pos) AS p2 FROM c GROUP BY id), t AS (SELECT c.*, CASE WHEN pos = p0 THEN 0 WHEN pos = p2 THEN 2 ELSE 1 END AS turn FROM c JOIN f USING (id)),
-k AS (SELECT x.id, x.choice AS choice0, y.choice AS choice1, z.choice AS choice2, {_FAR('x', 'y')} + {_FAR('x', 'z')} + {_FAR('y', 'z')} AS cost
-  FROM (SELECT * FROM t WHERE turn = 0) x LEFT JOIN (SELECT * FROM t WHERE turn = 1) y ON y.id = x.id LEFT JOIN (SELECT * FROM t WHERE turn = 2) z ON z.id = x.id)
+k AS (SELECT x.id, x.choice AS choice0, y.choice AS choice1, z.choice AS choice2, {_FAR('x', 'y')} + {_FAR('x', 'z')} + {_FAR('y', 'z')} + {_FAR('x', 'n')} + {_FAR('y', 'n')} + {_FAR('z', 'n')} AS cost
+  FROM (SELECT * FROM t WHERE turn = 0) x LEFT JOIN (SELECT * FROM t WHERE turn = 1) y ON y.id = x.id LEFT JOIN (SELECT * FROM t WHERE turn = 2) z ON z.id = x.id LEFT JOIN ({plain(ZONE_ANCHORS)}) n ON n.id = x.id)
 SELECT id, choice0, choice1, choice2, round(cost, 6) AS cost FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(cost, 9), choice0, choice1 NULLS FIRST, choice2 NULLS FIRST) = 1"""
 
 

@@ -169,3 +169,16 @@ def test_located_endpoints_keep_what_a_user_set(spark):
         ("p", 0): ("manual", "high", 0.5), ("p", 1): ("manual", "low", 2.5), ("p", 2): ("reference", "medium", 1.5), ("p", 3): ("osm-partial", "medium", 1.5),
         ("p", 4): ("osm-exact", "medium", 1.5), ("p", 5): (None, "none", None), ("q", 0): ("town", "low", 6.0),
     }
+
+
+def test_joint_choice_with_an_anchor(spark):
+    """Two names of two places each: together they are near either way, the anchor tells which."""
+    east, west = -80.0, -83.0
+    rows = [("p", pos, choice, 33.0, lon + pos / 100) for pos in (0, 1) for choice, lon in ((0, west), (1, east))] + [("q", 0, 0, 33.0, west), ("q", 0, 1, 33.0, east)]
+    c = spark.createDataFrame(rows, "id string, pos int, choice int, lat double, lon double")
+    chosen = lambda *a: {r.id: (r.choice0, r.choice2) for r in rules.best_combination(c, *a).collect()}
+    assert chosen() == {"p": (0, 0), "q": (0, None)}
+    anchors = spark.createDataFrame([("p", 33.1, east), ("q", 33.1, east)], "id string, lat double, lon double")
+    assert chosen(anchors) == {"p": (1, 1), "q": (1, None)}
+    with pytest.raises(ValueError, match="4 endpoints"):
+        rules.best_combination(spark.createDataFrame([("p", i, 0, 33.0, west) for i in range(4)], c.schema))

@@ -1,4 +1,4 @@
-"""Queries without SQL: order-dependent matching, free dates, shapes and the streamed replay."""
+"""Queries without SQL: order-dependent matching, free dates and shapes; and the streamed replay, whose SQL is that of the batch."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from ..operators.common import shared_path
 from ..sources import sinks
 from ..sources.adapters import AREAS, ENDPOINTS, GAZETTEER, RECORDS, build
 from ..streaming import replay
-from .edition_queries import ordered
+from .edition_queries import SQL_CHANGES, ordered
 from .place_queries import q_area_shares
 
 #: Keys repeat here: the customer's key without its last digit, so that up to ten share one.
@@ -90,15 +90,13 @@ def q_evidence(spark, sf_dir):
 
 
 def q_stream_replay(spark, sf_dir):
-    """Editions replayed as a stream, read from a table of records."""
+    """Editions replayed as a stream, removals included: equal to the batch change log."""
     folder = shared_path(spark, "replay")
-    records = build(spark, sf_dir, RECORDS).select("plan", "rkey", F.col("edition").cast("long").alias("edition"), "name", F.col("isd").cast("string").alias("isd"), "cost_cents")
-    records.write.parquet(f"{folder}/records")
-    stream = spark.readStream.schema(records.schema).parquet(f"{folder}/records")
-    query = replay.replay(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/changes").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(replay.CHANGES).parquet(f"{folder}/changes")
+    rows = replay.marked(build(spark, sf_dir, RECORDS), editions.edition_steps(ordered(spark, sf_dir)))
+    rows.write.parquet(f"{folder}/rows")
+    log = replay.run(spark.readStream.schema(rows.schema).parquet(f"{folder}/rows"), folder)
+    return log.select("step", "rkey", "kind", F.array_join("what", "+").alias("what"), "days", "old_cost", "cost")
 
 
 QUERIES = {"match_reused_ids": q_match_reused, "lineage": q_lineage, "leader_clusters": q_clusters, "greedy_matches": q_greedy, "bipartite_matching": q_bipartite, "any_date": q_any_date, "shapes": q_shapes, "evidence": q_evidence, "stream_replay": q_stream_replay}
-SQL: dict[str, str] = {}
+SQL = {"stream_replay": SQL_CHANGES}

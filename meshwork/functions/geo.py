@@ -17,9 +17,9 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
 
 
 def haversine_asin(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS_PLACES) -> Column:
-    """Great-circle miles, by the asin form used for places and routes."""
+    """Great-circle miles, by the asin form used for places and routes; null if a coordinate is."""
     x = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * radius) * F.asin(F.sqrt(F.least(x, F.lit(1.0))))
+    return F.lit(2 * radius) * F.asin(F.sqrt(F.when(x > 1, 1.0).otherwise(x)))
 
 
 def plane_x(lon: Column, lat0: Column, radius: float = RADIUS_PLACES) -> Column:

@@ -116,32 +116,53 @@ def located_endpoints(endpoints: DataFrame, overrides: DataFrame, references: Da
     )
 
 
-def best_combination(candidates: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
-    """Joint choice among the candidate places of a project's endpoints (three at most, more raise an error): the
-    combination of the least sum of miles between all, and from all to the project's anchor
-    (``id, lat, lon``) where it has one; the first of equals.
+def _joint_choice(candidates: DataFrame, anchors: DataFrame | None) -> DataFrame:
+    """``id, b``: the best combination as a struct of ``c0, c1, c2`` (pos, choice, lat, lon; null where there is no such endpoint) and ``cost``.
 
-    ``candidates`` has ``id, pos, choice, lat, lon``; combinations beyond ``COMBINATIONS``, in the
-    order of the choices, are not looked at.
+    A combination's number follows from those of its parts, so only the first ``COMBINATIONS`` of a
+    project are made, whatever the number of candidates: a part is joined only while a number in reach is left.
     """
-    point = F.struct("choice", "lat", "lon")
+    point = F.struct("pos", "choice", "lat", "lon")
     first = candidates.groupBy("id").agg(F.min("pos").alias("p0"), F.max("pos").alias("p2"), F.count_distinct("pos").alias("endpoints"))
     if wide := first.filter("endpoints > 3").first():
         raise ValueError(f"project {wide['id']} has {wide['endpoints']} endpoints, three are looked at")
-    told = candidates.join(first, "id").withColumn("turn", F.when(F.col("pos") == F.col("p0"), 0).when(F.col("pos") == F.col("p2"), 2).otherwise(1))
-    side = lambda t: told.filter(F.col("turn") == t).select("id", point.alias(f"c{t}"))
-    combos = side(0).join(side(1), "id", "left").join(side(2), "id", "left")
+    turn = F.when(F.col("pos") == F.col("p0"), 0).when(F.col("pos") == F.col("p2"), 2).otherwise(1)
+    told = candidates.join(first, "id").withColumn("turn", turn)
+    told = told.withColumn("i", F.row_number().over(Window.partitionBy("id", "turn").orderBy("choice")).cast("long") - 1)
+    many = lambda t: F.greatest(F.count_if(F.col("turn") == t), F.lit(1))
+    sizes = told.groupBy("id").agg(many(1).alias("n1"), many(2).alias("n2"))
+    side = lambda t: told.filter(F.col("turn") == t).select(F.col("id").alias(f"id{t}"), point.alias(f"c{t}"), F.col("i").alias(f"i{t}"))
+    combos = sizes.join(side(0), F.col("id") == F.col("id0")).withColumn("nth", F.col("i0") * F.col("n1") * F.col("n2")).filter(F.col("nth") < COMBINATIONS)
+    for t, unit in ((1, F.col("n2")), (2, F.lit(1))):
+        at = F.col("nth") + F.col(f"i{t}") * unit
+        combos = combos.join(side(t), (F.col("id") == F.col(f"id{t}")) & (at < COMBINATIONS), "left").withColumn("nth", F.coalesce(at, F.col("nth")))
     if anchors is not None:
         combos = combos.join(anchors.select("id", F.struct("lat", "lon").alias("anchor")), "id", "left")
-    order = Window.partitionBy("id").orderBy(*[F.col(f"c{t}.choice").asc_nulls_first() for t in range(3)])
     between = lambda a, b: F.coalesce(geo.haversine_asin(F.col(f"{a}.lat"), F.col(f"{a}.lon"), F.col(f"{b}.lat"), F.col(f"{b}.lon")), F.lit(0.0))
-    far = lambda a, b: between(f"c{a}", f"c{b}")
     to_anchor = between("c0", "anchor") + between("c1", "anchor") + between("c2", "anchor") if anchors is not None else F.lit(0.0)
-    numbered = combos.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= COMBINATIONS).withColumn("cost", far(0, 1) + far(0, 2) + far(1, 2) + to_anchor)
-    best = numbered.groupBy("id").agg(F.min_by(F.struct("c0", "c1", "c2", "cost"), F.struct(F.round("cost", 9).alias("cost"), "nth")).alias("b"))
+    cost = between("c0", "c1") + between("c0", "c2") + between("c1", "c2") + to_anchor
+    numbered = combos.withColumn("cost", cost)
+    return numbered.groupBy("id").agg(F.min_by(F.struct("c0", "c1", "c2", "cost"), F.struct(F.round("cost", 9).alias("cost"), "nth")).alias("b"))
+
+
+def best_combination(candidates: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """Joint choice among the candidate places of a project's endpoints (three at most, more raise an error): the
+    combination of the least sum of miles between all, and from all to the project's anchor
+    (``id, lat, lon``) where it has one; the first of equals.
+
+    ``candidates`` has ``id, pos, choice, lat, lon``; combinations beyond ``COMBINATIONS``, in the
+    order of the choices, are not looked at.
+    """
+    best = _joint_choice(candidates, anchors)
     return best.select("id", *[F.col(f"b.c{t}.choice").alias(f"choice{t}") for t in range(3)], F.round("b.cost", 6).alias("cost"))
 
 
+def chosen_places(candidates: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """``id, pos, choice``: what ``best_combination`` takes for each endpoint that has candidates."""
+    parts = F.explode(F.array_compact(F.array("b.c0", "b.c1", "b.c2"))).alias("c")
+    return _joint_choice(candidates, anchors).select("id", parts).select("id", "c.pos", "c.choice")
+
+
 def reference_points(points: DataFrame, order: str = "ord") -> DataFrame:
     """``key, lat, lon, issues``: the first point of each key; others far from it are issues."""
     w = Window.partitionBy("key").orderBy(order)

@@ -140,7 +140,7 @@ def q_located(spark, sf_dir):
     return found.select("id", "pos", "method", "confidence", "radius_mi", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-ASIN = "2 * 3958.8 * asin(sqrt(least(1, pow(sin(radians({b_lat} - {a_lat}) / 2), 2) + cos(radians({a_lat})) * cos(radians({b_lat})) * pow(sin(radians({b_lon} - {a_lon}) / 2), 2))))"
+ASIN = "CASE WHEN {a_lat} + {a_lon} + {b_lat} + {b_lon} IS NOT NULL THEN 2 * 3958.8 * asin(sqrt(least(1, pow(sin(radians({b_lat} - {a_lat}) / 2), 2) + cos(radians({a_lat})) * cos(radians({b_lat})) * pow(sin(radians({b_lon} - {a_lon}) / 2), 2)))) END"
 SQL_LOCATED = f"""WITH e AS ({plain(MEANT)}), g AS (SELECT item, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM ({plain(GAZETTEER)})), t AS (
 SELECT e.id, e.pos, e.mismatch, CASE WHEN e.ord % 29 = 0 AND e.pos = 0 AND e.lat IS NOT NULL THEN 'manual'
   WHEN g.item % 3 = 0 AND (a_lat IS NULL OR {ASIN.format(a_lat='g.lat', a_lon='g.lon', b_lat='a_lat', b_lon='a_lon')} <= 80) THEN 'reference' WHEN g.item % 6 = 1 THEN 'osm-exact' WHEN g.item % 3 = 1 THEN 'osm-partial'

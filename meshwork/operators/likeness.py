@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .common import checkpointed
+from .common import by_distinct, checkpointed, few_or_merged
 from .matching import similarity
 
 
@@ -52,33 +52,50 @@ def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     asks = _prefixes(a, rarity, least).withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * least / (2 - least) - 1e-9), F.floor(F.col("n") * (2 - least) / least + 1e-9))))
     asks = asks.select(F.col("id").alias("left"), "block", "rare", "m")
     held = _prefixes(b, rarity, least).select(F.col("id").alias("right"), "block", "rare", F.col("n").alias("m"))
-    met = asks.join(held, ["block", "rare", "m"]).select("block", "left", "right").distinct()
-    told = met.join(a.select("block", F.col("id").alias("left"), F.col("letters").alias("x"), F.col("text").alias("a_text")), ["block", "left"])
-    told = told.join(b.select("block", F.col("id").alias("right"), F.col("letters").alias("y"), F.col("text").alias("b_text")), ["block", "right"])
+    met = asks.hint("merge").join(held, ["block", "rare", "m"]).select("block", "left", "right").distinct()
+    told = met.join(few_or_merged(a).select("block", F.col("id").alias("left"), F.col("letters").alias("x"), F.col("text").alias("a_text")), ["block", "left"])
+    told = told.join(few_or_merged(b).select("block", F.col("id").alias("right"), F.col("letters").alias("y"), F.col("text").alias("b_text")), ["block", "right"])
     bound = 2 * F.size(F.array_intersect("x", "y")) / (F.size("x") + F.size("y"))
     return told.withColumn("bound", bound).filter(F.col("bound") >= least).select("left", "right", "a_text", "b_text", "bound")
 
 
+def _texts(d: DataFrame, *first: Column) -> DataFrame:
+    """Distinct texts of a block, each its own id."""
+    named = F.struct("block", "text")
+    told = d.filter("text <> ''").groupBy("block", "text")
+    told = told.agg(*first) if first else told.agg(F.lit(1).alias("one")).drop("one")
+    return told.withColumn("id", named)
+
+
 def pairs_alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """``left, right, ratio`` of all pairs whose ratio is at least so much."""
-    told = candidates(left, right, least).withColumn("ratio", similarity("a_text", "b_text"))
-    return told.filter(F.col("ratio") >= least).select("left", "right", "ratio")
+    """``left, right, ratio`` of all pairs whose ratio is at least so much.
+
+    Equal texts of a block are compared once.
+    """
+    told = candidates(_texts(left), _texts(right), least).withColumn("ratio", similarity("a_text", "b_text"))
+    told = told.filter(F.col("ratio") >= least).select(F.col("left").alias("__a"), F.col("right").alias("__b"), "ratio")
+    side = lambda d, n, k: d.select(F.col("id").alias(n), F.struct("block", "text").alias(k)).distinct()
+    return told.join(side(left, "left", "__a"), "__a").join(side(right, "right", "__b").hint("merge"), "__b").select("left", "right", "ratio")
 
 
 def best_alike(left: DataFrame, right: DataFrame, least: float, order: str = "pos") -> DataFrame:
     """``left, right, ratio``: for each left text the right one of the greatest ratio, if that is at least so much; of equals the first
     by ``order``, a column of the right.
 
-    The ratio of each text's most promising candidate comes first; of the others only those whose bound is not below it.
+    Equal texts of a block are compared once, of the right ones the first stands for all.  The ratio of each text's
+    most promising candidate comes first; of the others only those whose bound is not below it.
     """
-    found = checkpointed(candidates(left, right.select("id", "text", "block"), least))
+    held = checkpointed(_texts(right, F.min(F.struct(F.col(order).alias("at"), F.col("id").alias("right"))).alias("first")))
+    found = checkpointed(candidates(_texts(left), held.select("id", "text", "block"), least))
     top = found.groupBy("left").agg(F.max_by(F.struct("a_text", "b_text"), "bound").alias("t"), F.max("bound").alias("most"))
     floors = checkpointed(top.select("left", similarity("t.a_text", "t.b_text").alias("reached")))
     open_ = found.join(floors, "left").filter(F.col("bound") >= F.col("reached"))
     told = open_.withColumn("ratio", similarity("a_text", "b_text")).filter(F.col("ratio") >= least)
-    ranked = told.join(right.select(F.col("id").alias("right"), F.col(order).alias("at")).distinct(), "right")
-    best = ranked.groupBy("left").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "at", "right")).alias("b"))
-    return best.select("left", F.col("b.right").alias("right"), (-F.col("b.r")).alias("ratio"))
+    ranked = told.join(held.select(F.col("id").alias("right"), "first"), "right")
+    best = ranked.groupBy("left").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "first.at", "first.right")).alias("b"))
+    asked = left.select(F.col("id").alias("__id"), F.struct("block", "text").alias("left")).join(few_or_merged(checkpointed(best)), "left")
+    own = asked.groupBy("__id").agg(F.min("b").alias("b"))
+    return own.select(F.col("__id").alias("left"), F.col("b.right").alias("right"), (-F.col("b.r")).alias("ratio"))
 
 
 def title_alternatives(title: Column) -> Column:
@@ -95,8 +112,9 @@ def own_slides(rows: DataFrame, slides: DataFrame) -> DataFrame:
     """``left, right, ratio``: the slide that describes each list row, by the title or one of its alternatives; one slide may describe
     several rows.  Both have ``id, title, block``, slides also ``pos``; titles are normalised without voltages and ordinals."""
     norm = lambda c: text.norm_name(F.regexp_replace(F.regexp_replace(c, VOLTS, " "), r"#\s*\d+", " "))
-    told = slides.select("id", "block", "pos", F.explode(title_alternatives(F.col("title"))).alias("alt"))
-    return best_alike(rows.select("id", "block", norm(F.col("title")).alias("text")), told.select("id", "block", "pos", norm(F.col("alt")).alias("text")), SAME_TITLE)
+    every = lambda title: F.transform(title_alternatives(title), norm)
+    told = by_distinct(slides, "title", "alts", every).select("id", "block", "pos", F.explode("alts").alias("text"))
+    return best_alike(by_distinct(rows, "title", "text", norm).select("id", "block", "text"), told, SAME_TITLE)
 
 
 def sample_status(sample: DataFrame, records: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -104,7 +122,7 @@ def sample_status(sample: DataFrame, records: DataFrame, dropped: DataFrame) ->
 
     All have ``id, name, block``, records and dropped ones also ``pos``; a project is still planned if a record is as like as ``SAME_PROJECT``.
     """
-    named = lambda d, *more: d.select("id", "block", *more, text.norm_name(F.col("name")).alias("text"))
+    named = lambda d, *more: by_distinct(d, "name", "text", text.norm_name).select("id", "block", *more, "text")
     held = best_alike(named(sample), named(records, "pos"), SAME_PROJECT).select(F.col("left").alias("id"), F.col("right").alias("now"))
     gone = best_alike(named(sample), named(dropped, "pos"), DROPPED).filter(F.col("ratio") > DROPPED).select(F.col("left").alias("id"), F.col("right").alias("was"))
     told = sample.select("id").join(held, "id", "left").join(gone, "id", "left")

@@ -36,8 +36,7 @@ def q_nearly_placed(spark, sf_dir):
         F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 3 == 0, F.expr("substring(p_name, 1, length(p_name) - 1)")).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" Primary"))).otherwise(F.col("p_name")).alias("query"),
         F.when(F.col("p_size") % 2 == 0, "SC").otherwise("GA").alias("state"),
     )
-    found = placement.find_places_nearly(asked, placement.gazetteer_items(build(spark, sf_dir, GAZETTEER)))
-    return found.groupBy("query_id", "tier").agg(F.count("*").alias("n"), F.min("item").alias("first_item"))
+    return placement.count_places(asked, placement.gazetteer_items(build(spark, sf_dir, GAZETTEER)), True)
 
 
 def q_own_slides(spark, sf_dir):
